@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 R_BOX = 6371000.0      # fixed value: radius behind the metre-to-degree box
 R_SPHERE = 6371009.0   # fixed value: mean earth radius of great-circle distances
@@ -39,7 +40,7 @@ def metre_box(lat, long, metres):
     return lat - dlat, lat + dlat, long - dlong, long + dlong
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def geodesic(lat1: pd.Series, long1: pd.Series, lat2: pd.Series, long2: pd.Series) -> pd.Series:
     """Ellipsoidal distance in metres: Vincenty's inverse formula (1975), vectorised.
 
