@@ -1 +1,95 @@
-SQL = {}
+"""DuckDB SQL for splits, scaling, metrics and validation: plain windows over whole groups."""
+
+from oracles.views import hash32, uniform, with_views as w
+
+_test = f"({hash32('venue_id', '42')} % 100 < 25)"
+_inner = f"({hash32('venue_id', '42:inner')} % 100 < 25)"
+_fold = f"({hash32('venue_id', 'fold42')} % 5)"
+_gap = uniform("venue_id", "gap")
+_s = f"""s AS MATERIALIZED (SELECT *, CASE WHEN {_gap} >= 0.1::DOUBLE THEN lat * 100 END AS f1, long + y AS f2,
+   ({_test} AND {_gap} < 0.5::DOUBLE)::INT AS dummy_rare, ({_gap} < 0.5::DOUBLE)::INT AS dummy_common, {_test} AS test,
+   {_fold} AS fold FROM v_scores)"""
+
+
+def chain(*ctes_and_body):
+    *ctes, body = ctes_and_body
+    return w("", "v_scores").rstrip() + ", " + ", ".join([_s, *ctes]) + " " + body
+
+
+def ndcg(src, group, k=300):
+    """CTEs ending in nd(group, ndcg): every row ranked by a window, ties averaged."""
+    return f"""r AS (SELECT *, rank() OVER (PARTITION BY {group} ORDER BY y DESC) AS rk, count(*) OVER (PARTITION BY {group}) AS n FROM {src}),
+      rel AS (SELECT *, (n - rk + 1) / n::DOUBLE AS rel FROM r),
+      pos AS (SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY prediction DESC) AS p,
+                     row_number() OVER (PARTITION BY {group} ORDER BY rel DESC) AS q FROM rel),
+      tied AS (SELECT {group}, avg(rel) * sum(CASE WHEN p <= {k} THEN 1 / log2(p + 1) ELSE 0 END) AS g FROM pos GROUP BY {group}, prediction),
+      dcg AS (SELECT {group}, sum(g) AS dcg FROM tied GROUP BY 1),
+      best AS (SELECT {group}, sum(CASE WHEN q <= {k} THEN rel / log2(q + 1) ELSE 0 END) AS best FROM pos GROUP BY 1),
+      nd AS (SELECT {group}, dcg / best AS ndcg FROM dcg JOIN best USING ({group})),
+      met AS (SELECT {group}, count(*) AS n, avg(abs(y - prediction)) AS mae, sqrt(avg(pow(y - prediction, 2))) AS rmse
+              FROM {src} GROUP BY 1),
+      allm AS (SELECT * FROM met JOIN nd USING ({group}))"""
+
+
+def _mean_pred(group):
+    return f"""g AS (SELECT {group}, sum(y) AS sy, count(*) AS c FROM s GROUP BY 1),
+      t AS (SELECT sum(y) AS sy, count(*) AS c FROM s),
+      p AS (SELECT venue_id, s.{group}, s.y, (t.sy - g.sy) / (t.c - g.c) AS prediction FROM s JOIN g USING ({group}), t)"""
+
+
+_round3 = "round(mae, 6) AS mae, round(rmse, 6) AS rmse, round(ndcg, 6) AS ndcg"
+_dummy = ", ".join(f"(category = '{c}')::INT AS \"dummy_{c.replace(' ', '_')}\"" for c in
+                   ["Bar", "Cocktail Bar", "Gastropub", "Pub", "Sports Bar", "Wine Bar"])
+
+
+def _z(col, src, std):
+    return f"round(({col} - (SELECT avg({col}) FROM {src})) / (SELECT {std}({col}) FROM {src}), 6)"
+
+
+SQL = {
+    "relevance": chain("""SELECT venue_id, rank() OVER (PARTITION BY region ORDER BY y DESC) AS rank,
+        round((count(*) OVER (PARTITION BY region) - rank() OVER (PARTITION BY region ORDER BY y DESC) + 1)
+          / (count(*) OVER (PARTITION BY region))::DOUBLE, 6) AS relevance FROM s"""),
+    "relevance_all": chain("""SELECT venue_id, rank() OVER (ORDER BY y DESC) AS rank,
+        round((count(*) OVER () - rank() OVER (ORDER BY y DESC) + 1) / (count(*) OVER ())::DOUBLE, 6) AS relevance FROM s"""),
+    "ndcg_at_k": chain(ndcg("s", "region"), "SELECT region, round(ndcg, 6) AS ndcg FROM nd"),
+    "regression_metrics": chain(ndcg("s", "region"), f"SELECT region, n, {_round3} FROM allm"),
+    "mape": chain("SELECT round(avg(abs((y - prediction) / y)) * 100, 6) AS mape FROM s"),
+    "error_coords": chain("SELECT venue_id, y - prediction AS error, round(lat, 6) AS lat, round(long, 6) AS long FROM s WHERE test"),
+    "dummy_category": w(f"SELECT venue_id, 'Bar' AS _category, {_dummy.replace('category =', 'org_category =')} FROM probes", "probes"),
+    "train_test_split": chain("SELECT venue_id, CASE WHEN test THEN 'test' ELSE 'train' END AS split FROM s"),
+    "nested_split": chain(f"""SELECT venue_id, CASE WHEN test THEN 'test' WHEN {_inner} THEN 'validation' ELSE 'train' END AS split,
+        dummy_common, (region = 'East')::INT AS "region_East", (region = 'North')::INT AS "region_North", (region = 'South')::INT AS "region_South",
+        (region = 'West')::INT AS "region_West", round(f2, 6) AS f2 FROM s"""),
+    "dead_levels": chain("""SELECT 'dummy_rare' AS column_name, sum(dummy_rare)::DOUBLE AS total, 1 AS dropped FROM s WHERE NOT test
+        UNION ALL SELECT 'dummy_common', sum(dummy_common)::DOUBLE, 0 FROM s WHERE NOT test
+        UNION ALL SELECT 'y', sum(y), 0 FROM s WHERE NOT test"""),
+    "impute_mean": chain("SELECT venue_id, round(coalesce(f1, (SELECT avg(f1) FROM s WHERE NOT test)), 6) AS f1 FROM s"),
+    "zscore": chain("tr AS (SELECT * FROM s WHERE NOT test)",
+                    f"SELECT venue_id, {_z('f1', 'tr', 'stddev_pop')} AS f1, {_z('f2', 'tr', 'stddev_pop')} AS f2 FROM s"),
+    "zscore_sample": chain(f"SELECT venue_id, coalesce({_z('f1', 's', 'stddev_samp')}, 0) AS f1, {_z('f2', 's', 'stddev_samp')} AS f2 FROM s"),
+    "zscore_global": chain("u AS (SELECT unnest([f2, y, lat]) AS x FROM s WHERE NOT test)", "ms AS (SELECT avg(x) AS m, stddev_pop(x) AS d FROM u)",
+                           "SELECT venue_id, round((f2 - m) / d, 6) AS f2, round((y - m) / d, 6) AS y, round((lat - m) / d, 6) AS lat FROM s, ms"),
+    "kfold_assign": chain("SELECT venue_id, fold::INT AS fold FROM s"),
+    "soos_metrics": chain(_mean_pred("region"), ndcg("p", "region"), f"SELECT region, n, {_round3} FROM allm"),
+    "soos_summary": chain(_mean_pred("region"), ndcg("p", "region"),
+        "wt AS (SELECT *, n / sum(n) OVER () AS wgt FROM allm)",
+        "av AS (SELECT sum(mae * wgt) AS a, sum(rmse * wgt) AS b, sum(ndcg * wgt) AS c FROM wt)",
+        """SELECT round(any_value(a), 6) AS mae, round(any_value(b), 6) AS rmse, round(any_value(c), 6) AS ndcg,
+           round(sqrt(sum(pow(mae - a, 2) * wgt)), 6) AS mae_std, round(sqrt(sum(pow(rmse - b, 2) * wgt)), 6) AS rmse_std,
+           round(sqrt(sum(pow(ndcg - c, 2) * wgt)), 6) AS ndcg_std FROM wt, av"""),
+    "fold_summary": chain(_mean_pred("fold"), ndcg("p", "fold"), """SELECT round(avg(mae), 2) AS mae, round(avg(rmse), 2) AS rmse,
+        round(avg(ndcg), 3) AS ndcg, round(stddev_pop(mae), 2) AS mae_std, round(stddev_pop(rmse), 2) AS rmse_std,
+        round(stddev_pop(ndcg), 3) AS ndcg_std FROM allm"""),
+    "error_table": chain("rg AS (SELECT DISTINCT region AS held FROM s)",
+        "mu AS (SELECT held, avg(f1) AS m FROM rg JOIN s ON region <> held GROUP BY 1)",
+        """fit AS (SELECT held, any_value(m) AS m, regr_slope(y, coalesce(f1, m)) AS b, regr_intercept(y, coalesce(f1, m)) AS a
+           FROM mu JOIN s ON region <> held GROUP BY 1)""",
+        """SELECT venue_id AS id, round(lat, 6) AS lat, round(long, 6) AS long, region, round(a + b * coalesce(f1, m), 4) AS prediction,
+           round(y - (a + b * coalesce(f1, m)), 4) AS error FROM s JOIN fit ON region = held"""),
+    "best_feature_count": chain("sw AS (SELECT (venue_id % 20 * 25)::INT AS dropped, round(avg(abs(y - prediction)), 6) AS mae FROM s GROUP BY 1)",
+                                "SELECT dropped, mae FROM sw ORDER BY mae, dropped LIMIT 1"),
+    "encode_text": """SELECT doc_id AS article_id, (('0x' || substr(md5(word), 1, 8))::BIGINT % 64)::INT AS dim, count(*)::DOUBLE AS val
+        FROM (SELECT doc_id, unnest(list_slice(regexp_extract_all(lower(text), '[\\p{L}\\p{N}\\p{M}_]+'), 1, 510)) AS word FROM documents)
+        GROUP BY 1, 2""",
+}

@@ -32,7 +32,7 @@ def _vectors(metres, weight, divide, extra_where="", src="probes"):
         {_art} AS dist FROM {src} p CROSS JOIN v_articles a WHERE {_art} < {metres}))"""
     flat = f"""flat AS (SELECT venue_id, article_id, wt, unnest(embedding) AS val, unnest(range(0, 64)) AS dim FROM inr {extra_where})"""
     return chain(base, pairs, flat, f"""SELECT venue_id, {'count(*) AS article_count,' if divide == 'c' else ''} dim::INT AS dim,
-        round(sum(wt * val) {'/ count(*)' if divide else ''}, 6) AS val FROM flat GROUP BY venue_id, dim""")
+        0::DOUBLE + round(sum(wt * val) {'/ count(*)' if divide else ''}, 6) AS val FROM flat GROUP BY venue_id, dim""")
 
 
 _tanh = "1 - exp(-pow(b + 0.3::DOUBLE, 6))"
@@ -121,4 +121,4 @@ SQL["out_of_region_features"] = chain(
     f"""inr AS (SELECT *, {_tanh} AS wt FROM (SELECT p.venue_id, a.article_id, a.embedding, 1 - {_art} / 2000::DOUBLE AS b
         FROM outside p CROSS JOIN v_articles a WHERE {_art} < 2000))""",
     "flat AS (SELECT venue_id, article_id, wt, unnest(embedding) AS val, unnest(range(0, 64)) AS dim FROM inr)",
-    "SELECT venue_id, dim::INT AS dim, round(sum(wt * val) / count(*), 6) AS val FROM flat GROUP BY venue_id, dim")
+    "SELECT venue_id, dim::INT AS dim, 0::DOUBLE + round(sum(wt * val) / count(*), 6) AS val FROM flat GROUP BY venue_id, dim")

@@ -64,7 +64,7 @@ VIEWS = {
             WHEN 6 THEN '{{{{coord|display=title}}}}' ELSE '' END
           || chr(10) || '''''''' || title || ''''''' lies in [[Town ' || t || '|the town]] by [[Park ' || t ||
           ']] &amp; [[Town ' || t || ']] &quot;x&quot; &amp;lt; [https://example.org/' || doc_id ||
-          ' site].<ref>note</ref>' || chr(10) || text || chr(10) || '== History ==' || chr(10) ||
+          ' site].<ref>note</ref>' || chr(10) || text || chr(10) || '[[File:a.jpg|thumb|View of [[Park ' || t || ']]]]' || chr(10) || '== History ==' || chr(10) ||
           '{{{{cite web|url=https://example.com/' || doc_id || '|note={{{{small|n}}}}}}}}Built long ago, see [[Park ' || t
           || ']].' || chr(10) AS text
         FROM (SELECT doc_id, text, 'Place ' || doc_id AS title, (doc_id % 17)::VARCHAR AS t,

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from placelens.functions.geo import distance, distance_weight
+from placelens.functions.hashing import uniform
 from placelens.operators import geo_features as gf
 from placelens.operators import relational as rel
 from placelens.operators import text_features as tf
@@ -121,9 +122,8 @@ def geo_features(spark, sf):
 
 @query()
 def great_circle(spark, sf):
-    """Distance of every venue to the city closest by key order (any fixed partner will do)."""
-    c = v.read(spark, sf, "customer").select("c_custkey", F.col("c_nationkey"))
-    from placelens.functions.hashing import uniform
+    """Great-circle distance between two points derived from every customer."""
+    c = v.read(spark, sf, "customer").select("c_custkey")
     ends = {f"{k}{i}": uniform("c_custkey", f"{k}{i}") * (170.0 if k == "lat" else 360.0) - (85.0 if k == "lat" else 180.0)
             for k in ("lat", "long") for i in (1, 2)}
     out = c.withColumns(ends)

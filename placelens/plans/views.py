@@ -114,7 +114,7 @@ def wikitext(spark, sf_dir):
         text(infobox, template, "\n'''Place ", key, "''' lies in [[Town ", town, "|the town]] by [[Park ",
              town, "]] &amp; [[Town ", town, "]] &quot;x&quot; &amp;lt; [https://example.org/", key,
              " site].<ref>note</ref>\n", F.col("text"),
-             "\n== History ==\n{{cite web|url=https://example.com/", key,
+             "\n[[File:a.jpg|thumb|View of [[Park ", town, "]]]]\n== History ==\n{{cite web|url=https://example.com/", key,
              "|note={{small|n}}}}Built long ago, see [[Park ", town, "]].\n").alias("text"),
     )
 
