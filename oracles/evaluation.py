@@ -90,6 +90,6 @@ SQL = {
     "best_feature_count": chain("sw AS (SELECT (venue_id % 20 * 25)::INT AS dropped, round(avg(abs(y - prediction)), 6) AS mae FROM s GROUP BY 1)",
                                 "SELECT dropped, mae FROM sw ORDER BY mae, dropped LIMIT 1"),
     "encode_text": """SELECT doc_id AS article_id, (('0x' || substr(md5(word), 1, 8))::BIGINT % 64)::INT AS dim, count(*)::DOUBLE AS val
-        FROM (SELECT doc_id, unnest(list_slice(regexp_extract_all(lower(text), '[\\p{L}\\p{N}\\p{M}_]+'), 1, 510)) AS word FROM documents)
+        FROM (SELECT doc_id, unnest(list_slice(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), 1, 510)) AS word FROM documents)
         GROUP BY 1, 2""",
 }

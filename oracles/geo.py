@@ -106,14 +106,17 @@ SQL = {
         """SELECT venue_id, article_count, area_density,
         round(sqrt(pow(lat - 40.730610::DOUBLE, 2) + pow(long + 73.935242::DOUBLE, 2)), 6) AS dist_center
         FROM probes JOIN g USING (venue_id) LEFT JOIN t USING (venue_id)"""),
-    "mean_token_length": """SELECT round(avg(least(len(regexp_extract_all(text, '\\w+|[^\\w\\s]')) + 2, 512)), 6) AS mean_tokens
-        FROM documents WHERE lang = 'en'""",
+    "mean_token_length": """SELECT round(avg(least(len(regexp_extract_all(text, '[\\p{L}\\p{N}\\p{M}_]+|[^\\p{L}\\p{N}\\p{M}_\\s]')) + 2, 512)), 6) AS mean_tokens
+        FROM documents""",
     "tfidf_long": chain(w("", "v_articles"), _tf, "SELECT article_id, word, tf, round(tfidf, 6) AS tfidf FROM tfidf"),
     "venue_tfidf": chain(w("", "probes", "v_articles"), _tf, _in_range(3400),
         f"pw AS (SELECT venue_id, article_id, {_tanh.replace('b +', '1 - dist / 3400::DOUBLE +')} AS wt FROM inr)",
         "pc AS (SELECT venue_id, count(*) AS c FROM pw GROUP BY 1)",
         "pv AS (SELECT venue_id, word, sum(wt * tfidf) / any_value(c) AS value FROM pw JOIN pc USING (venue_id) JOIN tfidf USING (article_id) GROUP BY 1, 2)",
-        "SELECT venue_id, count(*) AS words, round(sum(value), 4) AS total, round(max(value), 6) AS largest FROM pv GROUP BY 1"),
+        "SELECT venue_id, count(*) FILTER (value <> 0) AS words, round(sum(value), 4) AS total, round(max(value), 6) AS largest FROM pv GROUP BY 1"),
+    "venue_tfidf_words": chain(w("", "probes", "v_articles"), _tf, _in_range(400),
+        """SELECT venue_id, word, round(sum((1 - dist / 400::DOUBLE) * tfidf), 6) AS value FROM inr JOIN tfidf USING (article_id)
+        GROUP BY 1, 2 HAVING sum(tfidf) <> 0"""),
 }
 SQL["out_of_region_features"] = chain(
     w("", "bars", "in_region", "v_articles"),

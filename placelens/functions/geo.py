@@ -40,19 +40,25 @@ def metre_box(lat, long, metres):
     return lat - dlat, lat + dlat, long - dlong, long + dlong
 
 
-@F.pandas_udf(T.DoubleType())
-def geodesic(lat1: pd.Series, long1: pd.Series, lat2: pd.Series, long2: pd.Series) -> pd.Series:
+def haversine_np(lat1, long1, lat2, long2):
+    """great_circle for numpy arrays that broadcast against each other."""
+    h = (np.sin(np.radians(lat2 - lat1) / 2) ** 2
+         + np.cos(np.radians(lat1)) * np.cos(np.radians(lat2)) * np.sin(np.radians(long2 - long1) / 2) ** 2)
+    return 2 * R_SPHERE * np.arcsin(np.sqrt(np.minimum(h, 1)))
+
+
+def geodesic_np(lat1, long1, lat2, long2):
     """Ellipsoidal distance in metres: Vincenty's inverse formula (1975), vectorised.
 
     Near-antipodal pairs for which the iteration does not settle get the great-circle distance.
     """
-    p1, l1, p2, l2 = (np.radians(s.to_numpy(dtype=float)) for s in (lat1, long1, lat2, long2))
+    p1, l1, p2, l2 = map(np.radians, (lat1, long1, lat2, long2))
     a, f = WGS84_A, WGS84_F
     b = a * (1 - f)
     u1, u2 = np.arctan((1 - f) * np.tan(p1)), np.arctan((1 - f) * np.tan(p2))
     su1, cu1, su2, cu2 = np.sin(u1), np.cos(u1), np.sin(u2), np.cos(u2)
     diff = (l2 - l1 + np.pi) % (2 * np.pi) - np.pi
-    lam = diff.copy()
+    lam = diff
     with np.errstate(all="ignore"):
         for _ in range(60):
             sl, cl = np.sin(lam), np.cos(lam)
@@ -74,11 +80,15 @@ def geodesic(lat1: pd.Series, long1: pd.Series, lat2: pd.Series, long2: pd.Serie
         corr = small * ss * (c2m + small / 4 * (cs * (2 * c2m ** 2 - 1)
                              - small / 6 * c2m * (4 * ss ** 2 - 3) * (4 * c2m ** 2 - 3)))
         out = b * big * (sigma - corr)
-        h = np.sin((p2 - p1) / 2) ** 2 + np.cos(p1) * np.cos(p2) * np.sin(diff / 2) ** 2
-        sphere = 2 * R_SPHERE * np.arcsin(np.sqrt(np.minimum(h, 1)))
-    missing = np.isnan(p1) | np.isnan(l1) | np.isnan(p2) | np.isnan(l2)
-    out = np.where(settled & (np.abs(lam) <= np.pi), out, sphere)
-    return pd.Series(out).mask(missing)
+    missing = np.isnan(p1 + l1 + p2 + l2)
+    good = settled & (np.abs(lam) <= np.pi) & ~np.isnan(out)
+    return np.where(missing, np.nan, np.where(good, out, haversine_np(lat1, long1, lat2, long2)))
+
+
+@F.pandas_udf(T.DoubleType())
+def geodesic(lat1: pd.Series, long1: pd.Series, lat2: pd.Series, long2: pd.Series) -> pd.Series:
+    """geodesic_np as a Column function (Arrow batches)."""
+    return pd.Series(geodesic_np(*(x.to_numpy(dtype=float) for x in (lat1, long1, lat2, long2))))
 
 
 def distance(method, lat1, long1, lat2, long2):
@@ -102,3 +112,13 @@ def distance_weight(dist, radius, kind="tanh"):
     if kind == "tanh":
         return 1 - F.exp(-F.pow(base + 0.3, 6))
     raise ValueError(f"unknown weight {kind!r}")
+
+
+def weight_np(dist, radius, kind="tanh"):
+    """distance_weight for numpy arrays; objects at or beyond the radius weigh 0."""
+    base = 1 - dist / radius
+    if kind is None or kind == "None":
+        w = np.ones_like(base)
+    else:
+        w = {"linear": lambda b: b, "cubic": lambda b: b ** 3, "tanh": lambda b: 1 - np.exp(-(b + 0.3) ** 6)}[kind](base)
+    return np.where(dist < radius, w, 0.0)

@@ -8,9 +8,10 @@ and wrap around evenly, so the antimeridian and the poles need no special case.
 
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from placelens.functions.geo import R_SPHERE, distance
+from placelens.functions.geo import R_SPHERE, distance, geodesic_np, haversine_np, metre_box, weight_np
 
 MARGIN = 1.01          # covers the gap between spherical and ellipsoidal distances
 SMALL_TABLE = 10_000   # rows up to which a measured helper table is broadcast
@@ -111,9 +112,48 @@ def radius_join(probes, objects, radius, method="haversine", dist="dist", **name
 
 def rectangle_join(probes, objects, half_side, **names):
     """Pairs with the object strictly inside the square of `half_side` metres around the probe."""
-    from placelens.functions.geo import metre_box
     lat, long = names.get("lat", "lat"), names.get("long", "long")
     o_lat, o_long = F.col(names.get("o_lat", "o_lat")), F.col(names.get("o_long", "o_long"))
     lo1, hi1, lo2, hi2 = metre_box(lat, long, half_side)
     near = candidate_pairs(probes, objects, half_side * math.sqrt(2), **names)
     return near.filter((lo1 < o_lat) & (o_lat < hi1) & (lo2 < o_long) & (o_long < hi2))
+
+
+def blocks(spots, objects, radius, spot_block=1_000, object_block=1_000):
+    """Both sides keyed for a cogrouped block computation: (spots, objects, keys, objects_cut).
+
+    Here a spot sits in one cell and objects are copied to the cells they reach, so a spot's result
+    is complete within one block unless its cell holds more than `object_block` objects. Fuller
+    cells are cut into pieces on either side; every pair of pieces meets once, so no block ever
+    holds more than about spot_block x object_block pairs.
+    """
+    spots = spots.withColumn("_cell", object_cell("lat", "long", radius))
+    objects = objects.withColumn("_cell", F.explode(probe_cells("o_lat", "o_long", radius)))
+    sides = []
+    for df, cols, limit, piece in ((spots, ("lat", "long"), spot_block, "_sp"), (objects, ("o_lat", "o_long"), object_block, "_op")):
+        sides.append((hot_cells(df, "_cell", limit), cols, piece))
+
+    def cut(df, own):
+        for i, (hot, cols, piece) in enumerate(sides):
+            n = F.lit(1)
+            if hot is not None:
+                df = df.join(hot, "_cell", "left")
+                n = F.coalesce("pieces", F.lit(1))
+            which = F.pmod(F.xxhash64(*cols), n).cast("int") if i == own else F.explode(F.sequence(F.lit(0), n - 1))
+            df = df.withColumn(piece, which).drop("pieces")
+        return df
+
+    return cut(spots, 0), cut(objects, 1), ["_cell", "_sp", "_op"], sides[1][0] is not None
+
+
+def block_weights(spots, objects, radius, method, weight):
+    """(weights, in-range mask) of all pairs of one block, as matrices spots x objects."""
+    a, b = (spots[c].to_numpy(dtype=float)[:, None] for c in ("lat", "long"))
+    c, d = (objects[x].to_numpy(dtype=float)[None, :] for x in ("o_lat", "o_long"))
+    dist = haversine_np(a, b, c, d)
+    if method == "geodesic":
+        i, j = np.nonzero(dist < radius * MARGIN)
+        exact = np.full(dist.shape, np.inf)
+        exact[i, j] = geodesic_np(a[i, 0], b[i, 0], c[0, j], d[0, j])
+        dist = exact
+    return weight_np(dist, radius, weight), dist < radius

@@ -15,7 +15,7 @@ from placelens.plans import views as v
 from placelens.plans.geo_queries import PLACE_CATEGORIES, places, probes
 from placelens.plans.registry import query
 from placelens.plans.venue_queries import r6
-from placelens.session import cut_lineage
+from placelens.session import cut_lineage, spread
 
 BAR_CATEGORIES = ["Bar", "Cocktail Bar", "Gastropub", "Pub", "Sports Bar", "Wine Bar"]
 GEO = ["area_density", "area_entropy", "competition", "traffic_access", "dist_center"]
@@ -243,7 +243,7 @@ def best_feature_count(spark, sf):
 
 @query()
 def encode_text(spark, sf):
-    docs = v.read(spark, sf, "documents").select(F.col("doc_id").alias("article_id"), "text")
+    docs = spread(v.read(spark, sf, "documents").select(F.col("doc_id").alias("article_id"), "text"))
     out = encode(docs)
     return out.select("article_id", F.posexplode("embedding").alias("dim", "val")).filter("val > 0").select(
         "article_id", "dim", F.col("val").cast("double").alias("val"))

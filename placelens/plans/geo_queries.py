@@ -14,6 +14,7 @@ from placelens.operators.nearest import closest_city, nearest
 from placelens.plans import views as v
 from placelens.plans.registry import query
 from placelens.plans.venue_queries import bars_with_region, r6
+from placelens.session import cut_lineage
 
 PLACE_CATEGORIES = [c for c in v.CATEGORIES if c not in rel.BUS_CATEGORIES] + ["Bus"]
 
@@ -196,8 +197,7 @@ def combine_features(spark, sf):
 
 @query()
 def mean_token_length(spark, sf):
-    docs = v.read(spark, sf, "documents").filter(F.col("lang").isin("en"))
-    return words.mean_token_length(docs).select(r6("mean_tokens").alias("mean_tokens"))
+    return words.mean_token_length(v.read(spark, sf, "documents")).select(r6("mean_tokens").alias("mean_tokens"))
 
 
 @query()
@@ -206,10 +206,24 @@ def tfidf_long(spark, sf):
     return words.tfidf_long(docs).select("article_id", "word", "tf", r6("tfidf").alias("tfidf"))
 
 
+def word_table(spark, sf):
+    """Word values of all articles, stored as the stage that the venue features read."""
+    return cut_lineage(words.tfidf_long(v.articles(spark, sf, spread_text=True).select("article_id", "text")))
+
+
 @query()
 def venue_tfidf(spark, sf):
-    """Weighted word sums per venue (3,400 m), reported per venue: words, total and largest value."""
-    arts = v.articles(spark, sf).select("article_id", "lat", "long", "text")
-    out = words.venue_words(probes(spark, sf), arts, words.tfidf_long(arts))
-    return out.groupBy("venue_id").agg(F.count("*").alias("words"), F.round(F.sum("value"), 4).alias("total"),
-                                       F.round(F.max("value"), 6).alias("largest"))
+    """Weighted word means per venue (3,400 m), reported per venue: words, total and largest value."""
+    features, _ = words.venue_words(probes(spark, sf), v.articles(spark, sf), word_table(spark, sf))
+    x = F.col("total")
+    per_block = features.select("venue_id", F.size(F.filter(x, lambda a: a != 0)).alias("c"),
+                                F.aggregate(x, F.lit(0.0), lambda a, b: a + b).alias("s"), F.array_max(x).alias("m"))
+    return per_block.groupBy("venue_id").agg(F.sum("c").alias("words"), F.round(F.sum("s"), 4).alias("total"),
+                                             F.round(F.max("m"), 6).alias("largest"))
+
+
+@query()
+def venue_tfidf_words(spark, sf):
+    """The long form: every venue and word within 400 m."""
+    found = words.venue_words(probes(spark, sf), v.articles(spark, sf), word_table(spark, sf), max_dist=400, weight="linear", mean=False)
+    return words.venue_words_long(*found).withColumn("value", r6("value"))

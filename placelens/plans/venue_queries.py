@@ -7,7 +7,7 @@ from placelens.operators import relational as rel
 from placelens.operators.regions import point_in_polygon
 from placelens.plans import views as v
 from placelens.plans.registry import query
-from placelens.session import shared_dir
+from placelens.session import cut_lineage, shared_dir
 from placelens.sources import articles as art
 from placelens.sources import files
 
@@ -25,7 +25,8 @@ def visits_us(spark, sf):
 
 
 def visits_city(spark, sf):
-    return rel.box_filter(visits_us(spark, sf), *CITY_BOX, exclude=CITY_HOLE)
+    # visits per venue are a stored stage of the pipeline: later filters run on the small table
+    return rel.box_filter(cut_lineage(visits_us(spark, sf)), *CITY_BOX, exclude=CITY_HOLE)
 
 
 def bars(spark, sf):

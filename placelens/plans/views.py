@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from placelens.functions.hashing import uniform
 from placelens.operators.regions import polygons_from_rings
+from placelens.session import spread
 
 # Category names of the derived venues, in the order of the brand number.
 CATEGORIES = [
@@ -62,8 +63,9 @@ def cities(spark, sf_dir):
     )
 
 
-def articles(spark, sf_dir):
+def articles(spark, sf_dir, spread_text=False):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(docs) if spread_text else docs
     vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return docs.join(vectors, docs.doc_id == vectors.vec_id).select(
         F.col("doc_id").alias("article_id"),
@@ -81,7 +83,7 @@ def regions(spark):
 def wikitext(spark, sf_dir):
     """Article source around every document: coordinate template (form by doc_id % 8), infobox,
     links, entities, a heading. Numbers in the templates come from the key's hash."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(read(spark, sf_dir, "documents").select("doc_id", "text"))
     key = F.col("doc_id").cast("string")
     frac = {t: F.lpad(F.floor(uniform("doc_id", t) * 10000).cast("string"), 4, "0")
             for t in ("wlat", "wlong")}

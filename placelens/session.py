@@ -45,3 +45,12 @@ def cut_lineage(df):
     path = shared_dir(spark, "cut")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(scan):
+    """Use all cores on a small input: a plain scan with fewer splits than cores is repartitioned.
+
+    Large tables have more splits than the cluster has cores and are left as they are.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
