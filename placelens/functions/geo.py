@@ -70,7 +70,7 @@ def geodesic_np(lat1, long1, lat2, long2):
             c2m = np.where(c2a == 0, 0.0, cs - 2 * su1 * su2 / c2a)
             c = f / 16 * c2a * (4 + f * (4 - 3 * c2a))
             new = diff + (1 - c) * f * sa * (sigma + c * ss * (c2m + c * cs * (2 * c2m ** 2 - 1)))
-            settled = np.abs(new - lam) < 1e-12
+            settled = np.abs(new - lam) < 1e-14
             lam = new
             if np.all(settled | np.isnan(new)):
                 break

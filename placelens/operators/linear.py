@@ -15,17 +15,17 @@ MAX_FEATURES = 8_192   # moments need d x d numbers per group on the driver
 GROUP_LIMIT = 200_000_000   # numbers that the moments of all groups may hold together
 
 
-def mllib_pipeline(features, target, kind="ols", alpha=1.0, n=None, max_iter=1000, tol=1e-12):
-    """Standardised OLS, lasso or ridge as a Spark ML pipeline (ridge needs the row count `n`).
+def mllib_pipeline(train, features, target, kind="ols", alpha=1.0, max_iter=1000, tol=1e-12):
+    """Standardised OLS, lasso or ridge as a Spark ML pipeline with the usual penalties: lasso minimises
+    |y - Xw|^2 / 2n + alpha |w|_1, ridge |y - Xw|^2 + alpha |w|^2, on features of population std 1.
 
-    A common factor on all features does not change OLS; for the penalised models the scaler's sample
-    std differs from the population std by sqrt(n / (n - 1)), which lambda absorbs.
+    Two facts of the library are corrected for: its scaler uses the sample std, and its ridge penalty
+    is relative to the std of the target.
     """
-    reg = {"ols": dict(regParam=0.0), "lasso": dict(regParam=alpha, elasticNetParam=1.0),
-           "ridge": dict(regParam=alpha / n if n else 0.0, elasticNetParam=0.0)}[kind]
-    if n and n > 1:
-        ratio = (n - 1) / n   # (population std / sample std)^2
-        reg["regParam"] *= ratio if kind == "ridge" else ratio ** 0.5
+    s = train.agg(F.count(target).alias("n"), F.stddev_pop(target).alias("std")).first()
+    shrink = (s.n - 1) / s.n if s.n else 1.0   # (population std / sample std)^2
+    reg = {"ols": dict(regParam=0.0), "lasso": dict(regParam=alpha * shrink ** 0.5, elasticNetParam=1.0),
+           "ridge": dict(regParam=alpha / max(s.n, 1) * (s.std or 1.0) * shrink, elasticNetParam=0.0)}[kind]
     return Pipeline(stages=[
         VectorAssembler(inputCols=features, outputCol="_raw"),
         StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True, withStd=True),

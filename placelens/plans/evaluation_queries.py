@@ -183,7 +183,7 @@ def _single_fit(spark, sf, kind):
     """Standardised model on the training rows; metrics of the test rows."""
     table = pr.impute_mean(geo_model_table(spark, sf), GEO, ~pr.in_test("venue_id"))
     train = table.filter(~pr.in_test("venue_id"))
-    model = linear.mllib_pipeline(GEO + DUMMIES, "y", kind, n=train.count() if kind != "ols" else None).fit(train)
+    model = linear.mllib_pipeline(train, GEO + DUMMIES, "y", kind).fit(train)
     m = ev.regression_metrics(model.transform(table.filter(pr.in_test("venue_id"))).select("y", "prediction"))
     return m.select("n", *[F.round(c, 4).alias(c) for c in ("mae", "rmse", "ndcg")])
 
