@@ -164,10 +164,15 @@ def region_articles(pages, lat_range, long_range, template="coord"):
     pages that remain.
     """
     point = extract_coordinates("text", first_only=True)
+
+    def in_box(p):
+        return ((F.lit(lat_range[0]) < p["lat"]) & (p["lat"] < F.lit(lat_range[1]))
+                & (F.lit(long_range[0]) < p["long"]) & (p["long"] < F.lit(long_range[1])))
+
+    # a generator yields the point only where it fits, so the parser runs once per page; a filter on
+    # the parsed column would be pushed down and repeat it for every comparison
     inside = (pages.filter(F.array_contains(template_names("text"), template.lower()))
-              .withColumn("coords", point)
-              .filter((F.lit(lat_range[0]) < F.col("coords.lat")) & (F.col("coords.lat") < F.lit(lat_range[1]))
-                      & (F.lit(long_range[0]) < F.col("coords.long")) & (F.col("coords.long") < F.lit(long_range[1]))))
+              .select("*", F.explode(F.filter(F.array(point), in_box)).alias("coords")))
     keep = [c for c in pages.columns if c not in ("title", "text")]
     out = inside.select(*keep, "title", "coords", infobox_map("text").alias("properties"), strip_markup("text").alias("plain"),
                         internal_links("text").alias("wikilinks"), external_links("text").alias("exlinks"))

@@ -13,27 +13,32 @@ def column_name(category, suffix="_count"):
     return category.lower().replace(" ", "_") + suffix
 
 
+def _count_columns(categories):
+    return [F.sum(F.when(F.col("category") == c, F.col("n")).otherwise(0)).alias(column_name(c)) for c in categories]
+
+
 def category_counts(counts, probes, categories, key="venue_id"):
     """One column per category with the neighbour count, 0 if none. `counts` is long (key, category, n)."""
-    wide = counts.groupBy(key).agg(*[
-        F.sum(F.when(F.col("category") == c, F.col("n")).otherwise(0)).alias(column_name(c)) for c in categories])
+    wide = counts.groupBy(key).agg(*_count_columns(categories))
     return probes.select(key).join(wide, key, "left").na.fill(0)
 
 
-def neighbourhood(counts, probes, key="venue_id", category="category"):
-    """area_density, area_entropy and competition per probe, from long counts (key, category, n).
+def neighbourhood(counts, probes, categories=(), key="venue_id", category="category"):
+    """Counts per listed category, area_density, area_entropy and competition per probe, from the long
+    counts (key, category, n) in one aggregation.
 
     Competition compares the probe's unified category with the neighbours' own ones.
     """
     own = probes.select(key, F.col(category).alias("_own"))
     total = counts.groupBy(key).agg(
-        F.sum("n").alias("area_density"), F.sum(F.col("n") * F.log2("n")).alias("_nlogn"),
+        *_count_columns(categories), F.sum("n").alias("_density"), F.sum(F.col("n") * F.log2("n")).alias("_nlogn"),
         F.map_from_entries(F.collect_list(F.struct("category", "n"))).alias("_by"))   # one entry per category
-    d = F.col("area_density")
+    d = F.col("_density")
     same = F.coalesce(F.col("_by")[F.col("_own")], F.lit(0))
     # -sum(f log2 f) with f = n/d equals log2 d - sum(n log2 n)/d
     return own.join(total, key, "left").select(
-        key, F.coalesce(d, F.lit(0)).alias("area_density"),
+        key, *[F.coalesce(column_name(c), F.lit(0)).alias(column_name(c)) for c in categories],
+        F.coalesce(d, F.lit(0)).alias("area_density"),
         F.coalesce(F.greatest(F.log2(d) - F.col("_nlogn") / d, F.lit(0.0)), F.lit(0.0)).alias("area_entropy"),
         (-same / d).alias("competition"))
 
@@ -63,8 +68,7 @@ def geo_features(probes, places, categories, max_dist=200, centre=CENTRE, key="v
     """
     counts = count_within(probes, places, Box(max_dist), key=key, leaf=leaf)
     out = with_dist_center(probes, centre)
-    for part in (category_counts(counts, probes, categories, key), neighbourhood(counts, probes, key),
-                 traffic_access(probes, places, key)):
+    for part in (neighbourhood(counts, probes, categories, key), traffic_access(probes, places, key)):
         out = out.join(part, key)
     order = [*probes.columns, *[column_name(c) for c in categories], "area_density", "area_entropy", "competition",
              "traffic_access", "dist_center"]

@@ -19,7 +19,7 @@ def rank_table(df, value, group=None):
     """
     spark, keys = df.sparkSession, _list(group)
     hist = df.groupBy(*keys, value).agg(F.count("*").alias("n"))
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1_000)
     cuts = hist.agg(F.percentile_approx(value, [i / buckets for i in range(1, buckets)] or [0.5], 10_000)).first()[0] or []
     bounds = F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]).cast("array<double>")
     v = F.col(value).cast("double")

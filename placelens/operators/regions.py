@@ -28,7 +28,7 @@ def _on_edge(e, x, y):
             & (y >= F.least(e["y1"], e["y2"])) & (y <= F.greatest(e["y1"], e["y2"])))
 
 
-def point_in_polygon(points, regions, key="venue_id", bands=32, name="region"):
+def point_in_polygon(points, regions, key="venue_id", columns=32, name="region"):
     """Add the name of the region that strictly contains each point, NULL if none.
 
     A feature's rings together follow the even-odd rule, so holes and several parts work; of
@@ -44,7 +44,8 @@ def point_in_polygon(points, regions, key="venue_id", bands=32, name="region"):
                     F.count("*").alias("n")).first()
     if not ext.n:
         return points.withColumn(name, F.lit(None).cast("string"))
-    step_y, step_x = max((ext.yy - ext.y) / bands, 1e-9), max((ext.xx - ext.x) / bands, 1e-9)
+    bands = min(max(columns, ext.n // 64), 8_192)   # detailed outlines get finer bands, so slices stay short
+    step_y, step_x = max((ext.yy - ext.y) / bands, 1e-9), max((ext.xx - ext.x) / columns, 1e-9)
 
     def band(y):
         return F.floor((y - F.lit(ext.y)) / F.lit(step_y))
@@ -58,8 +59,8 @@ def point_in_polygon(points, regions, key="venue_id", bands=32, name="region"):
                 .agg(F.collect_list("e").alias("edges"),
                      F.min(F.least("e.x1", "e.x2")).alias("x_lo"), F.max(F.greatest("e.x1", "e.x2")).alias("x_hi")))
     slices = per_band.withColumn("column", F.explode(F.sequence(column(F.col("x_lo")), column(F.col("x_hi")))))
-    # an edge reaches at most `bands` + 1 bands, and each of those slices as many columns
-    if ext.n * (bands + 1) ** 2 <= SLICE_EDGES_BROADCAST:
+    size = slices.agg(F.sum(F.size("edges"))).first()[0]
+    if size <= SLICE_EDGES_BROADCAST:
         slices = F.broadcast(slices)
     x, y = F.col("long"), F.col("lat")
     crossings = F.aggregate("edges", F.lit(0), lambda acc, e: acc + _crossing(e, x, y))
