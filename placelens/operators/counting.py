@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from placelens.functions.geo import distance, haversine_from_gaps, metre_box
 from placelens.operators.grid import MARGIN, hot_cells, object_cell, probe_cells
+from placelens.session import cut_lineage
 
 MAX_DEPTH = 15
 
@@ -99,7 +100,7 @@ def _descend(asks, spots, shape, key, by, leaf):
     """Open hot cells level by level; returns the tables of counted parts."""
     ext = spots.groupBy("cell").agg(*[f(c).alias(a) for c, f, a in (
         ("o_lat", F.min, "a0"), ("o_lat", F.max, "a1"), ("o_long", F.min, "b0"), ("o_long", F.max, "b1"))])
-    unit = spots.join(ext, "cell")
+    unit = cut_lineage(spots.join(ext, "cell"))   # read again at every level
 
     def step(x, lo, hi, depth):   # part number along one axis, within the bounds of the cell
         share = F.when(F.col(hi) > F.col(lo), (F.col(x) - F.col(lo)) / (F.col(hi) - F.col(lo))).otherwise(0.0)
@@ -125,7 +126,7 @@ def _descend(asks, spots, shape, key, by, leaf):
             nodes = nodes.withColumn("up", F.struct(p["cell"].alias("cell"), F.shiftright(p["i"], 2).alias("i"),
                                                     F.shiftright(p["j"], 2).alias("j")))
         met = front.select(key, "lat", "long", "up").join(nodes, "up").filter(~shape.misses())
-        met = met.withColumn("whole", shape.covers())
+        met = cut_lineage(met.withColumn("whole", shape.covers()).select(key, "lat", "long", "part", "spots", "whole"))
         inside = met.filter("whole").select(key, "part").join(totals.select("part", by, "n"), "part")
         counted.append(inside.select(key, by, "n"))
         rim = met.filter(~F.col("whole"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from placelens.functions.geo import distance
 from placelens.operators.counting import box_distance
 from placelens.operators.grid import MARGIN, SMALL_TABLE
+from placelens.session import cut_lineage
 
 MAX_DEPTH = 13
 
@@ -25,7 +26,8 @@ def nearest(probes, objects, key="venue_id", by=None, method="degrees", label=No
     cat = by or "_all"
     objs = objects if by else objects.withColumn("_all", F.lit(0))
     name = F.min(label) if label else F.lit(None).cast("string")
-    spots = objs.groupBy("o_lat", "o_long", cat).agg(name.alias("_label"))
+    # stored: every level below reads it again
+    spots = cut_lineage(objs.groupBy("o_lat", "o_long", cat).agg(name.alias("_label")))
     ext = spots.agg(F.min("o_lat").alias("a0"), F.max("o_lat").alias("a1"), F.min("o_long").alias("b0"),
                     F.max("o_long").alias("b1"), F.count("*").alias("n"), F.collect_set(cat).alias("cats")).first()
     out_cols = [key] + ([by] if by else []) + ["dist"] + ([label] if label else [])
@@ -41,15 +43,22 @@ def nearest(probes, objects, key="venue_id", by=None, method="degrees", label=No
         return (spots.withColumn("i", side("o_lat", ext.a0, ext.a1, depth))
                 .withColumn("j", side("o_long", ext.b0, ext.b1, depth)))
 
-    def parts(depth):
+    def finest(depth):
         return placed(depth).groupBy(cat, "i", "j").agg(
             F.count("*").alias("spots"), F.min("o_lat").alias("lat_lo"), F.max("o_lat").alias("lat_hi"),
             F.min("o_long").alias("long_lo"), F.max("o_long").alias("long_hi"),
             F.min(F.struct("o_lat", "o_long")).alias("member"))
 
+    def parts(level):   # coarser levels are rolled up from the finest one
+        up = depth - level
+        return table if not up else table.groupBy(cat, F.shiftright("i", 2 * up).alias("i"), F.shiftright("j", 2 * up).alias("j")).agg(
+            F.min("lat_lo").alias("lat_lo"), F.max("lat_hi").alias("lat_hi"), F.min("long_lo").alias("long_lo"),
+            F.max("long_hi").alias("long_hi"), F.min("member").alias("member"))
+
     depth = min(MAX_DEPTH, max(1, math.ceil(math.log(max(ext.n / leaf, 1), 16))))
-    while depth < MAX_DEPTH and not parts(depth).filter(F.col("spots") > leaf).isEmpty():
+    while depth < MAX_DEPTH and not finest(depth).filter(F.col("spots") > leaf).isEmpty():
         depth += 1
+    table = cut_lineage(finest(depth).drop("spots"))
 
     metric = "degrees" if method == "degrees" else "haversine"
     slack = MARGIN if method == "geodesic" else 1.0 + 1e-9

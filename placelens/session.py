@@ -24,6 +24,9 @@ def get_session(app="placelens", **overrides):
     return builder.getOrCreate()
 
 
+_STAGES = []
+
+
 def shared_dir(spark, purpose):
     """A new path under the folder named by spark.checkpoint.dir.
 
@@ -36,11 +39,21 @@ def shared_dir(spark, purpose):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="placelens-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return os.path.join(base, f"{purpose}-{uuid.uuid4().hex}")
+    path = os.path.join(base, f"{purpose}-{uuid.uuid4().hex}")
+    _STAGES.append(path)
+    return path
+
+
+def drop_stages(spark):
+    """Delete the stage tables written so far. Call it once their DataFrames are no longer needed."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _STAGES:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_STAGES.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def cut_lineage(df):
-    """Reliable checkpoint into the shared folder, so a lost executor costs no recomputation."""
+    """Write to the shared folder and read back, so a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = shared_dir(spark, "cut")
     df.write.parquet(path)
