@@ -5,7 +5,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from placelens.functions.hashing import hash32
-from placelens.operators.ranking import _list, ndcg
+from placelens.operators.ranking import _list, ndcg, score_counts
 
 
 def mape(df, y="y", pred="prediction"):
@@ -15,9 +15,10 @@ def mape(df, y="y", pred="prediction"):
 def regression_metrics(df, group=None, y="y", pred="prediction", k=300):
     """Rows (group, n, mae, rmse, ndcg)."""
     keys = _list(group)
-    err = F.col(y) - F.col(pred)
-    basic = df.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(F.abs(err)).alias("mae"), F.sqrt(F.avg(err * err)).alias("rmse"))
-    rank = ndcg(df, y, pred, group, k)
+    cells = score_counts(df, y, pred, group)
+    err, c, n = F.col(y) - F.col(pred), F.col("c"), F.sum("c")
+    basic = cells.groupBy(*keys).agg(n.alias("n"), (F.sum(F.abs(err) * c) / n).alias("mae"), F.sqrt(F.sum(err * err * c) / n).alias("rmse"))
+    rank = ndcg(df, y, pred, group, k, cells)
     if keys:
         return basic.join(rank, keys)
     return basic.withColumn("_one", F.lit(0)).join(rank.withColumn("_one", F.lit(0)), "_one").drop("_one")

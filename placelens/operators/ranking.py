@@ -5,20 +5,23 @@ import math
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from placelens.session import cut_lineage
+
 
 def _list(x):
     return [] if x is None else [x] if isinstance(x, str) else list(x)
 
 
-def rank_table(df, value, group=None):
+def rank_table(df, value, group=None, weight=None):
     """Rows (group, value, n, rank, total): competition rank of every distinct value, largest first.
+    A row stands for `weight` rows if that column is named.
 
     Rows are first counted per value. The distinct values are then cut into buckets at approximate
     quantiles; a running count inside each bucket plus the sum of the buckets above gives the rank.
     No window spans a whole group, so one group may hold most of the table.
     """
     spark, keys = df.sparkSession, _list(group)
-    hist = df.groupBy(*keys, value).agg(F.count("*").alias("n"))
+    hist = df.groupBy(*keys, value).agg((F.sum(weight) if weight else F.count("*")).alias("n"))
     buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1_000)
     cuts = hist.agg(F.percentile_approx(value, [i / buckets for i in range(1, buckets)] or [0.5], 10_000)).first()[0] or []
     bounds = F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]).cast("array<double>")
@@ -44,7 +47,13 @@ def relevance(df, value, group=None):
     return df.join(ranks, [*_list(group), value])
 
 
-def ndcg(df, y="y", pred="prediction", group=None, k=300):
+def score_counts(df, y="y", pred="prediction", group=None):
+    """Rows (group, y, prediction, c), stored: all metrics derive from these counts, so the table (and the
+    models behind it) is evaluated once."""
+    return cut_lineage(df.groupBy(*_list(group), y, pred).agg(F.count("*").alias("c")))
+
+
+def ndcg(df, y="y", pred="prediction", group=None, k=300, cells=None):
     """NDCG@k per group with relevance from the rank of y; tied predictions share their gain evenly.
 
     Only the k highest distinct predictions can earn anything, so all that follows the first counts
@@ -59,13 +68,13 @@ def ndcg(df, y="y", pred="prediction", group=None, k=300):
     def discount(start, count):   # summed discounts of the positions start+1 .. start+count
         return F.get(table, F.least(start + count, F.lit(k)).cast("int")) - F.get(table, F.least(start, F.lit(k)).cast("int"))
 
-    cells = df.groupBy(*keys, y, pred).agg(F.count("*").alias("c"))
+    cells = score_counts(df, y, pred, group) if cells is None else cells
     order = Window.partitionBy(*keys).orderBy(F.desc(pred))
     top = (cells.groupBy(*keys, pred).agg(F.sum("c").alias("size"))
            .withColumn("_i", F.row_number().over(order)).filter(F.col("_i") <= k).drop("_i"))
     start = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     top = top.withColumn("start", start).filter(F.col("start") < k)
-    ranks = rank_table(df, y, group).withColumn("rel", _relevance())
+    ranks = rank_table(cells, y, group, weight="c").withColumn("rel", _relevance())
     gains = (cells.join(top, [*keys, pred]).join(ranks.select(*keys, y, "rel"), [*keys, y])
              .groupBy(*keys, pred, "size", "start").agg(F.sum(F.col("c") * F.col("rel")).alias("gain")))
     dcg = gains.groupBy(*keys).agg(F.sum(F.col("gain") / F.col("size") * discount(F.col("start"), F.col("size"))).alias("dcg"))
