@@ -222,3 +222,47 @@ def components(edges: DataFrame) -> DataFrame:
         now, path = after, to
     roots = now.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("component"))
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
+
+
+# ---- encoding by distinct chunks ---------------------------------------------------------------------------------
+
+def expand(start, size):
+    """Indices start[i] .. start[i] + size[i] - 1 of all i, one after another."""
+    total = int(size.sum())
+    before = np.cumsum(size) - size
+    return np.arange(total) + np.repeat(start - before, size)
+
+
+class ChunkCache:
+    """Token ids of distinct chunks of text, so that a chunk is encoded once per worker and not once per occurrence.
+
+    `encode(list of bytes)` gives (ids of all chunks one after another, number of ids of each). Chunks are known by 64-bit
+    hash and length; the cache is emptied at `limit` entries, so its memory is bounded.
+    """
+
+    def __init__(self, encode, dtype, limit=400_000):
+        self.encode, self.dtype, self.limit = encode, dtype, limit
+        self.clear()
+
+    def clear(self):
+        self.slot, self.start, self.size, self.ids = {}, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.dtype)
+
+    def ids_of(self, keys, chunk):
+        """(ids, number of ids per key); chunk(i) gives the bytes of occurrence i."""
+        names, first, at = np.unique(keys, return_index=True, return_inverse=True)
+        if len(self.slot) + len(names) > self.limit:
+            self.clear()
+        get = self.slot.get
+        slots = np.array([get(k, -1) for k in names.tolist()], np.int64)
+        new = np.flatnonzero(slots < 0)
+        if len(new):
+            ids, size = self.encode([chunk(i) for i in first[new].tolist()])
+            at_slot = np.arange(len(self.slot), len(self.slot) + len(new))
+            slots[new] = at_slot
+            self.slot.update(zip(names[new].tolist(), at_slot.tolist()))
+            self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
+            self.size = np.concatenate([self.size, size])
+            self.ids = np.concatenate([self.ids, ids.astype(self.dtype)])
+        slots = slots[at.ravel()]
+        size = self.size[slots]
+        return self.ids[expand(self.start[slots], size)], size
