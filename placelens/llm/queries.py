@@ -3,12 +3,14 @@
 from placelens.llm.pieces import op2_sentencepiece
 from placelens.llm.quality import op4_quality
 from placelens.llm.toxicity import op7_toxicity
+from placelens.llm.wavelet import op5_wavelet
 from placelens.llm.warc import op3_warc
 
 QUERIES = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_warc": op3_warc,
     "op4_quality": op4_quality,
+    "op5_wavelet": op5_wavelet,
     "op7_toxicity": op7_toxicity,
 }
 
