@@ -1,5 +1,6 @@
 """Registered queries of the ten corpus operators, with their SQL twins where SQL can express them."""
 
+from placelens.llm.decontamination import op8_decontamination
 from placelens.llm.pieces import op2_sentencepiece
 from placelens.llm.quality import op4_quality
 from placelens.llm.toxicity import op7_toxicity
@@ -12,6 +13,7 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op5_wavelet": op5_wavelet,
     "op7_toxicity": op7_toxicity,
+    "op8_decontamination": op8_decontamination,
 }
 
 SQL = {
