@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from placelens.llm.common import PUNCTUATION, _BYTE_CODES, LOWER, mix, record_batch, slices, span_hashes, spans, table, text_bytes
 
-SAMPLE = 20_000        # labelled rows that the fit reads at most
+SAMPLE = 12_000        # labelled rows that the fit reads at most
 BUCKETS = 1 << 20
 BEGINNING = 5          # bytes of a word's beginning
 FEATURES = 1024        # features kept, by chi-square
