@@ -1,6 +1,7 @@
 """Registered queries of the ten corpus operators, with their SQL twins where SQL can express them."""
 
 from placelens.llm.decontamination import op8_decontamination
+from placelens.llm.line_dedup import op10_line_dedup
 from placelens.llm.ngram_join import op9_ngram_join
 from placelens.llm.pieces import op2_sentencepiece
 from placelens.llm.quality import op4_quality
@@ -16,6 +17,7 @@ QUERIES = {
     "op7_toxicity": op7_toxicity,
     "op8_decontamination": op8_decontamination,
     "op9_ngram_join": op9_ngram_join,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 SQL = {
