@@ -7,9 +7,11 @@ from placelens.llm.pieces import op2_sentencepiece
 from placelens.llm.quality import op4_quality
 from placelens.llm.toxicity import op7_toxicity
 from placelens.llm.wavelet import op5_wavelet
+from placelens.llm.vectors import op1_vector_dedup
 from placelens.llm.warc import op3_warc
 
 QUERIES = {
+    "op1_vector_dedup": op1_vector_dedup,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_warc": op3_warc,
     "op4_quality": op4_quality,
