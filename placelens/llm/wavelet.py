@@ -20,7 +20,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from placelens.llm.common import ChunkCache, _BYTE_CODES, record_batch, slices, span_hashes, spans, stage, table, text_bytes
+from placelens.llm.common import ChunkCache, LOWER, _BYTE_CODES, record_batch, slices, span_hashes, spans, stage, table, text_bytes
 from placelens.llm.warc import _open
 from placelens.session import shared_dir
 
@@ -154,6 +154,9 @@ class WaveletMatrix:
 
 BREAKS = np.zeros(256, bool)
 BREAKS[[10, 32]] = True          # white space to the tokenizer, whatever follows or precedes it
+_MARKS, _ALNUM = np.zeros(256, bool), np.zeros(256, bool)
+_MARKS[list(b".,;:!?")] = True
+_ALNUM[[c for c in range(128) if chr(c).isalnum()]] = True
 _CACHES = {}
 
 
@@ -167,7 +170,7 @@ def _chunk_cache(path):
             size = np.bincount(np.array(found.word_ids, np.int64), minlength=len(chunks)) if found.ids else np.zeros(len(chunks), np.int64)
             return np.array(found.ids, np.uint32), size.astype(np.int64)
 
-        _CACHES[path] = ChunkCache(encode, np.uint32)
+        _CACHES[path] = ChunkCache(encode, np.uint32, 600_000)
     return _CACHES[path]
 
 
@@ -175,7 +178,12 @@ def encode_column(column, path):
     """Token ids of a text column, each row ended by END_ID: (ids, row bounds)."""
     data, offsets = text_bytes(column)
     start, end = spans(data, offsets, BREAKS)
-    keys = span_hashes(_BYTE_CODES[data], start, end)
+    # a mark after an ASCII letter or digit begins a word of its own to the tokenizer
+    mark = np.flatnonzero(_MARKS[data[1:]] & _ALNUM[data[:-1]]) + 1 if len(data) else start
+    mark = mark[~np.isin(mark, offsets)]
+    start, end = np.union1d(start, mark), np.union1d(end, mark)
+    # the tokenizer lowers case, but only after it has looked for its special strings
+    keys = span_hashes(_BYTE_CODES[data if b"<|" in data.tobytes() else LOWER[data]], start, end)
     ids, size = _chunk_cache(path).ids_of(keys, lambda i: data[start[i]:end[i]].tobytes())
     total = np.concatenate([[0], np.cumsum(size)])[np.searchsorted(start, offsets)]
     bounds = total + np.arange(len(total))
