@@ -3,6 +3,7 @@
 from placelens.llm.decontamination import op8_decontamination
 from placelens.llm.line_dedup import op10_line_dedup
 from placelens.llm.ngram_join import op9_ngram_join
+from placelens.llm.pii import op6_pii
 from placelens.llm.pieces import op2_sentencepiece
 from placelens.llm.quality import op4_quality
 from placelens.llm.toxicity import op7_toxicity
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_warc": op3_warc,
     "op4_quality": op4_quality,
     "op5_wavelet": op5_wavelet,
+    "op6_pii": op6_pii,
     "op7_toxicity": op7_toxicity,
     "op8_decontamination": op8_decontamination,
     "op9_ngram_join": op9_ngram_join,
