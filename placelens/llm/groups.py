@@ -1,17 +1,17 @@
 """Links within candidate groups of any size: blocks of bounded size, joined inside, then across what is still apart.
 
-A group is a set of items among which all links must be found, as far as the connected components need them. Its items are
-dealt to blocks; the group's first item is copied into every block. Each block is joined by itself. Groups that are then one
-component are done, whatever their size. In the others, every item outside the group's largest component meets all items of
-its group, again in blocks; pairs already in one component are not looked at. So a large group of mutually similar items
-costs about one look at each item, and no pair of different components is left out.
+All links among the items of a group must be found, as far as connected components need them. First every item meets its
+smallest lead, in blocks of bounded size, each with a copy of the lead; groups that are then one component are done,
+whatever their size. The others are joined whole, block by block; pairs already in one component are not looked at. Where
+such a group has several blocks and is still not one component, every item outside its largest component meets all its items,
+again in blocks. So a large group of mutually similar items costs about one look at each item, and no pair is left out.
 """
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from placelens.llm.common import PAIR, components, record_batch, stage
+from placelens.llm.common import PAIR, broadcast_if_small, components, record_batch, stage
 
 BLOCK = 256
 
@@ -39,36 +39,65 @@ def runs(batches, keys):
         yield pa.Table.from_batches(held)
 
 
-def link_groups(groups, items, block_links):
-    """Components of the links inside candidate groups.
+def _known(rows, found, item="item"):
+    """`rows` with the component found so far of each item, itself if none."""
+    found = broadcast_if_small(found.select(F.col("node").alias(item), F.col("component").alias("known")))
+    return rows.join(found, item, "left").withColumn("known", F.coalesce("known", item))
 
-    groups: gid, item (long), an item in one group only. items: item, payload (string). block_links(left, right) gets lists
-    of payloads and, per payload, the component known so far, and returns index pairs into left + right of a set of links
-    that connects whatever is linked; right is None for a join of left with itself. Returns node, component.
-    """
-    sizes = groups.groupBy("gid").agg(F.count("*").alias("n"), F.min("item").alias("lead"))
-    groups = groups.join(sizes, "gid").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    groups, _ = stage(groups, "groups")
+
+def _block_join(groups, items, block_links):
+    """Links inside each block of the groups (gid, item, known, blocks); the group's lead is copied into all blocks."""
     own = F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int")
     dealt = groups.withColumn("block", F.explode(
-        F.when(F.col("item") == F.col("lead"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))))
+        F.when(F.col("item") == F.col("gid"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))))
 
     def join(batches):
         for run in runs(batches, 2):
-            names = run.column("item").to_numpy()
-            names, at = np.unique(names, return_index=True)
-            pairs = block_links((run.column("payload").take(pa.array(at)).to_pylist(), list(range(len(names)))), None)
+            names, at = np.unique(run.column("item").to_numpy(), return_index=True)
+            at = pa.array(at)
+            pairs = block_links((run.column("payload").take(at).to_pylist(), run.column("known").take(at).to_pylist()), None)
             if pairs:
                 a, b = zip(*pairs)
                 yield record_batch(PAIR, names[list(a)], names[list(b)])
 
-    first = dealt.join(items, "item").select("gid", "block", "item", "payload")
-    first = first.repartition("gid", "block").sortWithinPartitions("gid", "block").mapInArrow(join, "a long, b long")
-    links, _ = stage(first, "links")
+    rows = dealt.join(items, "item").select("gid", "block", "item", "known", "payload")
+    links = rows.repartition("gid", "block").sortWithinPartitions("gid", "block").mapInArrow(join, "a long, b long")
+    return stage(links, "links")[0]
+
+
+def _sized(groups):
+    sizes = groups.groupBy("gid").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    return stage(groups.join(sizes, "gid"), "groups")[0]
+
+
+def link_groups(pairs, items, block_links):
+    """Components of all links inside candidate groups: columns node, component.
+
+    pairs: gid, item (long); the group gid consists of the item gid, its lead, and the items paired with it. items: item,
+    payload (string). block_links(left, right) gets lists of payloads and of the components known so far, and returns index
+    pairs into left + right of links that connect whatever is linked and not yet in one component; right is None for a join
+    of left with itself.
+    """
+    # every item once, with its smallest lead: joins most of what belongs together
+    once = pairs.groupBy("item").agg(F.min("gid").alias("gid")).select("gid", "item")
+    once = once.union(once.select("gid", F.col("gid").alias("item"))).distinct().withColumn("known", F.col("item"))
+    links = _block_join(_sized(once), items, block_links)
     found = components(links)
 
-    large = groups.where("blocks > 1").join(found.withColumnRenamed("node", "item"), "item", "left")
-    large, _ = stage(large.withColumn("component", F.coalesce("component", "item")), "large")
+    # all groups whose items are not of one component yet, whole
+    led = _known(_known(pairs, found).withColumnRenamed("known", "own"), found, "gid")
+    open_ = led.where("own != known").select("gid").distinct()
+    rest = pairs.join(broadcast_if_small(open_), "gid", "left_semi")
+    rest = _known(rest.union(open_.select("gid", F.col("gid").alias("item"))).distinct(), found)
+    rest = _sized(rest)
+    if rest.isEmpty():
+        return found
+    links = links.union(_block_join(rest, items, block_links))
+    found, _ = stage(components(links), "components")
+
+    # in groups of several blocks: what is outside the largest component meets all
+    large = _known(rest.where("blocks > 1").drop("known"), found).withColumnRenamed("known", "component")
+    large, _ = stage(large, "large")
     parts = large.groupBy("gid", "component").count().groupBy("gid").agg(
         F.max_by("component", F.struct("count", "component")).alias("most"), F.count("*").alias("parts"))
     large = large.join(parts.where("parts > 1"), "gid")
@@ -76,6 +105,7 @@ def link_groups(groups, items, block_links):
     counts = apart.groupBy("gid").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("probes"))
     if counts.isEmpty():
         return found
+    own = F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int")
     probe = F.pmod(F.xxhash64("item", F.lit(1)), F.col("probes")).cast("int")
     left = apart.join(counts, "gid").select("gid", "item", "component", probe.alias("p"), F.explode(
         F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("side"))
@@ -91,10 +121,10 @@ def link_groups(groups, items, block_links):
                 at = np.flatnonzero(side == s)
                 lists.append((payload.take(pa.array(at)).to_pylist(), known[at].tolist(), names[at].tolist()))
             if lists[0][0] and lists[1][0]:
-                pairs = block_links(lists[0][:2], lists[1][:2])
-                if pairs:
+                linked = block_links(lists[0][:2], lists[1][:2])
+                if linked:
                     both = lists[0][2] + lists[1][2]
-                    yield record_batch(PAIR, [both[i] for i, _ in pairs], [both[j] for _, j in pairs])
+                    yield record_batch(PAIR, [both[i] for i, _ in linked], [both[j] for _, j in linked])
 
     cells = left.union(right).join(items, "item").select("gid", "p", "block", "side", "item", "component", "payload")
     more = cells.repartition("gid", "p", "block").sortWithinPartitions("gid", "p", "block").mapInArrow(meet, "a long, b long")
@@ -125,7 +155,11 @@ def stars(batches):
         sig, lead, last = int(s[-1]), int(leads[-1]), int(d[-1])
 
 
-def candidate_groups(signatures):
-    """Items connected by shared signatures (sig, item long): columns gid, item. Groups of one item are left out."""
+def candidate_pairs(signatures):
+    """Groups of items that share a signature with their lead: columns gid, item. From rows sig, item (long).
+
+    The lead of a signature is its smallest item; a group is all that one lead leads, so it holds each set of items that
+    share a signature, and never grows by chains of signatures.
+    """
     shared = signatures.repartition("sig").sortWithinPartitions("sig", "item").mapInArrow(stars, "a long, b long")
-    return components(shared).select(F.col("component").alias("gid"), F.col("node").alias("item"))
+    return shared.distinct().toDF("gid", "item")

@@ -3,8 +3,8 @@
 A line is a part of a text between line feeds, trimmed of ASCII white space, A-Z in lower case. Its set holds its shingles of
 Q characters (the whole line, if shorter); two lines are similar at a Jaccard similarity of SIMILAR or more. Every distinct
 line gets BANDS * ROWS minima of multiplied shingle hashes; ROWS minima make a band. A pair at the threshold shares no band
-with probability (1 - 0.8^5)^24 < 1e-4. Lines connected by shared bands form candidate groups, in which exact similarities
-are taken in blocks; links make components by distributed union-find. Of each component the first occurrence by (doc_id,
+with probability (1 - 0.8^5)^24 < 1e-4. A line and all that share a band of which it is the smallest line form a candidate
+group, in which exact similarities are taken in blocks; links make components by distributed union-find. Of each component the first occurrence by (doc_id,
 line number) stays, all others go. ROWS should grow with the logarithm of the corpus, so that unrelated lines seldom meet.
 
 Blank lines take no part and stay. Rows with null id or null text are left as they are. Repeated rows of one id and text are
@@ -19,7 +19,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from placelens.llm.common import (ASCII_SPACE, Forest, LOWER, _BYTE_CODES, broadcast_if_small, expand, mix, randoms,
                                   record_batch, signed, slices, span_hashes, spans, stage, table, text_bytes)
-from placelens.llm.groups import candidate_groups, link_groups
+from placelens.llm.groups import candidate_pairs, link_groups
 
 Q = 8
 SIMILAR = (80, 100)
@@ -149,7 +149,7 @@ def line_components(texts):
                     sig, item = signatures_of(data, start, end, key)
                     yield record_batch(SIGNATURES, signed(sig), signed(item))
 
-    groups, _ = stage(candidate_groups(texts.mapInArrow(sign, "sig long, item long")), "candidates")
+    pairs, _ = stage(candidate_pairs(texts.mapInArrow(sign, "sig long, item long")), "candidates")
 
     def write(batches):
         for batch in batches:
@@ -159,9 +159,9 @@ def line_components(texts):
                 raw = data.tobytes()
                 yield record_batch(LINES, signed(key[once]), [raw[start[i]:end[i]].decode() for i in once.tolist()])
 
-    wanted = broadcast_if_small(groups.select("item"))
+    wanted = broadcast_if_small(pairs.select("gid").union(pairs.select("item")).distinct().toDF("item"))
     lines = texts.mapInArrow(write, "item long, payload string").join(wanted, "item", "left_semi").dropDuplicates(["item"])
-    return link_groups(groups, lines, block_links)
+    return link_groups(pairs, lines, block_links)
 
 
 def removed_lines(texts):

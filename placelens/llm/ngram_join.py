@@ -8,7 +8,8 @@ exact, in these steps:
    overlapping ranges; for a range whose linked sets differ in at most d shingles, the shingles are dealt by hash to d + m
    parts, and each part's shingles give one signature. At least m parts of two linked sets agree; sets with fewer than m
    empty parts leave those out. A passage that many documents share fills a part alone only where it is most of the text.
-3. Nodes connected by shared signatures form candidate groups; within these, blocks of bounded size build signature trees.
+3. A node and all that share a signature of which it is the smallest node form a candidate group; within these, blocks of
+   bounded size build signature trees.
    A tree node holds the OR of its sets' token bitmaps, its range of sizes, and the largest number of shingles of a set that
    share a bit. Two trees (or one with itself) are traversed together; a pair of nodes is left when the sizes cannot reach the
    threshold, when the common bits bound the overlap below what is needed, or when all its sets are in one component already.
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from placelens.llm.common import (Forest, broadcast_if_small, components, mix, record_batch, shingle_set, signed, slices,
                                   stage, table, text_bytes, words)
-from placelens.llm.groups import candidate_groups, link_groups
+from placelens.llm.groups import candidate_pairs, link_groups
 
 SIZES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64())])
 SIGNATURES = pa.schema([("sig", pa.int64()), ("item", pa.int64())])
@@ -247,15 +248,16 @@ def ngram_join(documents, n=5, num=80, den=100):
 
     single = texts.where("doc_id IS NOT NULL AND text IS NOT NULL")
     single = single.join(broadcast_if_small(copies.select("doc_id")), "doc_id", "left_anti")
-    groups, _ = stage(candidate_groups(single.mapInArrow(sign, "sig long, item long")), "candidates")
+    pairs, _ = stage(candidate_pairs(single.mapInArrow(sign, "sig long, item long")), "candidates")
 
     def block_links(left, right):
         sides = [None if side is None else (sets_of(pa.array(side[0], pa.string()), n), side[1]) for side in (left, right)]
         return tree_links(*sides, num, den)
 
-    wanted = broadcast_if_small(groups.select(F.col("item").alias("doc_id")))
+    wanted = pairs.select("gid").union(pairs.select("item")).distinct()
+    wanted = broadcast_if_small(wanted.toDF("doc_id"))
     items = single.join(wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("item"), F.col("text").alias("payload"))
-    found = link_groups(groups, items, block_links)
+    found = link_groups(pairs, items, block_links)
     # a copy is linked with the first of its kind; ids that hold several texts connect what each of them links with
     links = found.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
     found = components(links.union(copies.select("doc_id", "first")))
