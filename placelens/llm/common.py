@@ -59,7 +59,7 @@ _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 def _powers(n):
     if len(_POWERS[0]) <= n:
-        size = max(n + 1, SLICE_BYTES + 1)
+        size = max(n + 1, 1 << 19)
         for k, base in enumerate((_BASE, _INVERSE)):
             p = np.full(size, base, np.uint64)
             p[0] = 1

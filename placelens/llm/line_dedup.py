@@ -24,6 +24,7 @@ from placelens.llm.groups import candidate_pairs, link_groups
 Q = 8
 SIMILAR = (80, 100)
 BANDS, ROWS = 24, 5
+SLICE = 1 << 19       # bytes of text that a task works on at once; the arrays take some hundred times as much
 
 SIGNATURES = pa.schema([("sig", pa.int64()), ("item", pa.int64())])
 LINES = pa.schema([("item", pa.int64()), ("payload", pa.string())])
@@ -143,7 +144,7 @@ def line_components(texts):
     """Components (node, component) of similar distinct lines of `texts` (doc_id, text); lines without others are left out."""
     def sign(batches):
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size=SLICE):
                 data, _, _, start, end, key = lines_of(part.column(1))
                 if len(key):
                     sig, item = signatures_of(data, start, end, key)
@@ -153,7 +154,7 @@ def line_components(texts):
 
     def write(batches):
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size=SLICE):
                 data, _, _, start, end, key = lines_of(part.column(1))
                 _, once = np.unique(key, return_index=True)
                 raw = data.tobytes()
@@ -168,7 +169,7 @@ def removed_lines(texts):
     """doc_id and line (number from 0) of every line that a similar or equal earlier one stands for."""
     def occur(batches):
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size=SLICE):
                 _, row, number, _, _, key = lines_of(part.column(1))
                 yield record_batch(OCCURRENCES, signed(key), part.column(0).to_numpy()[row], number.astype(np.int32))
 
@@ -192,7 +193,7 @@ def dedup_lines(documents, broadcast_lines=1_000_000):
     joined = documents.join(gone, F.col("doc_id").cast("long") == F.col("__id"), "left").drop("__id")
 
     def cut(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             at = batch.schema.get_field_index("text")
             texts, lists = batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
             lines, kept = [], []
