@@ -3,7 +3,7 @@
 A line is a part of a text between line feeds, trimmed of ASCII white space, A-Z in lower case. Its set holds its shingles of
 Q characters (the whole line, if shorter); two lines are similar at a Jaccard similarity of SIMILAR or more. Every distinct
 line gets BANDS * ROWS minima of multiplied shingle hashes; ROWS minima make a band. A pair at the threshold shares no band
-with probability (1 - 0.8^5)^24 < 1e-4. A line and all that share a band of which it is the smallest line form a candidate
+with probability (1 - 0.8^4)^20 < 3e-5. A line and all that share a band of which it is the smallest line form a candidate
 group, in which exact similarities are taken in blocks; links make components by distributed union-find. Of each component the first occurrence by (doc_id,
 line number) stays, all others go. ROWS should grow with the logarithm of the corpus, so that unrelated lines seldom meet.
 
@@ -23,8 +23,9 @@ from placelens.llm.groups import candidate_pairs, link_groups
 
 Q = 8
 SIMILAR = (80, 100)
-BANDS, ROWS = 24, 5
-SLICE = 1 << 19       # bytes of text that a task works on at once; the arrays take some hundred times as much
+BANDS, ROWS = 20, 4
+SENT = 1_000_000       # as many keys of candidate lines at most are sent to the tasks; more are joined by a shuffle
+SLICE = 1 << 18       # bytes of text that a task works on at once; the arrays take some hundred times as much
 
 SIGNATURES = pa.schema([("sig", pa.int64()), ("item", pa.int64())])
 LINES = pa.schema([("item", pa.int64()), ("payload", pa.string())])
@@ -55,21 +56,21 @@ def character_shingles(data, start, end):
     data = data[expand(start, size)]
     stop = np.cumsum(size)
     head = np.flatnonzero((data & 0xC0) != 0x80)
-    width = np.diff(np.append(head, len(data)))
-    padded = np.concatenate([data, np.zeros(4, np.uint8)]).astype(np.uint64)
-    code = np.zeros(len(head), np.uint64)
-    for j in range(4):
-        code += np.where(width > j, padded[np.minimum(head + j, len(data))] << np.uint64(8 * j), np.uint64(0))
+    code = data[head].astype(np.uint64)
+    if len(head) < len(data):                                          # characters of several bytes
+        width = np.diff(np.append(head, len(data)))
+        for j in range(1, 4):
+            more = np.flatnonzero(width > j)
+            code[more] |= data[head[more] + j].astype(np.uint64) << np.uint64(8 * j)
     at = np.searchsorted(head, stop - size)
     chars = np.diff(np.append(at, len(head)))
     code = np.concatenate([mix(code), np.zeros(Q, np.uint64)])
     factors = randoms(Q, 31) | np.uint64(1)
     total = np.zeros(len(head), np.uint64)
-    short = np.repeat(chars, chars)
-    left = short - (np.arange(len(head)) - np.repeat(at, chars))       # characters from here to the end of the line
     for j in range(Q):
-        inside = left > j
-        total += np.where(inside, code[j:j + len(head)] * factors[j], np.uint64(0))
+        total += code[j:j + len(head)] * factors[j]
+    short = np.flatnonzero((chars > 0) & (chars < Q))                   # the whole line is its one shingle
+    total[at[short]] = span_hashes(_BYTE_CODES[data], (stop - size)[short], stop[short]) if len(short) else 0
     count = np.maximum(chars - Q + 1, np.minimum(chars, 1))
     return mix(total[expand(at, count)]), count
 
@@ -152,16 +153,24 @@ def line_components(texts):
 
     pairs, _ = stage(candidate_pairs(texts.mapInArrow(sign, "sig long, item long")), "candidates")
 
+    wanted, _ = stage(pairs.select("gid").union(pairs.select("item")).distinct().toDF("item"), "wanted")
+    few = wanted.limit(SENT + 1).count() <= SENT
+    sent = texts.sparkSession.sparkContext.broadcast(np.sort(wanted.toArrow().column(0).to_numpy()) if few else None)
+
     def write(batches):
         for batch in batches:
             for part in slices(batch, size=SLICE):
                 data, _, _, start, end, key = lines_of(part.column(1))
-                _, once = np.unique(key, return_index=True)
+                key, once = np.unique(signed(key), return_index=True)
+                if sent.value is not None:
+                    asked = np.isin(key, sent.value)
+                    key, once = key[asked], once[asked]
                 raw = data.tobytes()
-                yield record_batch(LINES, signed(key[once]), [raw[start[i]:end[i]].decode() for i in once.tolist()])
+                yield record_batch(LINES, key, [raw[start[i]:end[i]].decode() for i in once.tolist()])
 
-    wanted = broadcast_if_small(pairs.select("gid").union(pairs.select("item")).distinct().toDF("item"))
-    lines = texts.mapInArrow(write, "item long, payload string").join(wanted, "item", "left_semi").dropDuplicates(["item"])
+    lines = texts.mapInArrow(write, "item long, payload string")
+    lines = (lines if few else lines.join(wanted, "item", "left_semi")).dropDuplicates(["item"])
+    lines, _ = stage(lines, "candidate-lines")
     return link_groups(pairs, lines, block_links)
 
 
@@ -195,18 +204,22 @@ def dedup_lines(documents, broadcast_lines=1_000_000):
     def cut(batches):
         for batch in (part for whole in batches for part in slices(whole)):
             at = batch.schema.get_field_index("text")
-            texts, lists = batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
-            lines, kept = [], []
-            for i, (text, drop) in enumerate(zip(texts, lists)):
-                parts = text.split("\n") if text is not None else []
-                total = sum(1 for p in parts if p.strip(" \t\n\r\x0b\x0c"))
-                lines.append(total)
-                kept.append(total - len(drop or ()))
-                if drop and text is not None:
-                    drop = set(drop)
-                    texts[i] = "\n".join(p for k, p in enumerate(parts) if k not in drop) if kept[-1] else ""
+            _, row, _, _, _, _ = lines_of(batch.column(at))
+            lines = np.bincount(row, minlength=batch.num_rows)
+            gone = batch.column(batch.num_columns - 1)
+            kept = lines.copy()
+            text = batch.column(at)
+            if gone.null_count < batch.num_rows:
+                texts = text.to_pylist()
+                for i in np.flatnonzero(gone.is_valid().to_numpy(zero_copy_only=False)).tolist():
+                    drop = set(gone[i].as_py())
+                    if texts[i] is not None:
+                        kept[i] -= len(drop)
+                        parts = texts[i].split("\n")
+                        texts[i] = "\n".join(p for k, p in enumerate(parts) if k not in drop) if kept[i] else ""
+                text = pa.array(texts, text.type)
             columns = [*batch.columns[:-1], pa.array(lines, pa.int64()), pa.array(kept, pa.int64())]
-            columns[at] = pa.array(texts, batch.column(at).type)
+            columns[at] = text
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "__lines", "__kept"])
 
     return joined.mapInArrow(cut, StructType([*documents.schema, StructField("__lines", LongType()),
