@@ -3,6 +3,7 @@
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -19,17 +20,20 @@ def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     from placelens.plans import all_queries
-    from placelens.session import get_session
+    from placelens.session import drop_stages, get_session
     spark = get_session("bench", **{
         "spark.master": f"local[{cpus}]", "spark.driver.memory": os.environ.get("BENCH_MEMORY", "12g"),
-        "spark.sql.shuffle.partitions": cpus})
+        "spark.sql.shuffle.partitions": cpus,
+        "spark.checkpoint.dir": tempfile.mkdtemp(prefix="placelens-bench-")})
     spark.sparkContext.setLogLevel("ERROR")
     queries, times, cold = all_queries(), {}, {}
 
     def run(name):
         start = time.time()
         queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        return round(time.time() - start, 3)
+        took = round(time.time() - start, 3)
+        drop_stages(spark)
+        return took
 
     for name in sys.argv[1:] or HEADLINE:
         cold[name] = run(name)   # code generation and JIT

@@ -13,7 +13,9 @@ from placelens.functions.coordinates import extract_coordinates
 
 # Entities and their characters, replaced in this order (so `&amp;lt;` ends as `<`).
 ENTITIES = [("&quot;", '"'), ("&amp;", "&"), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " ")]
-NESTED_LINKS = 4   # links are resolved from the inside out; captions hold links at most a few deep
+# Tags whose content is no part of the text that a reader sees.
+INVISIBLE = ["ref", "math", "ce", "chem", "gallery", "graph", "imagemap", "inputbox", "score", "section", "templatedata",
+             "timeline", "categorytree"]
 
 
 def _c(x):
@@ -51,13 +53,20 @@ def wikilinks(text):
     return F.array_sort(F.array_distinct(F.regexp_extract_all(_c(text), F.lit(r"\[\[([^\]|]*)"), F.lit(1))))
 
 
+def _live(text):
+    """The text without comments and without what nowiki tags switch off."""
+    return F.regexp_replace(_c(text), r"(?is)<!--.*?-->|<nowiki\s*/>|<nowiki>.*?</nowiki\s*>", "")
+
+
 def internal_links(text):
     """All link targets in order, repeats kept."""
-    return F.transform(F.regexp_extract_all(_c(text), F.lit(r"\[\[([^\[\]|]*)"), F.lit(1)), lambda t: F.trim(t))
+    return F.transform(F.regexp_extract_all(_live(text), F.lit(r"\[\[([^\[\]|]*)"), F.lit(1)), lambda t: F.trim(t))
 
 
 def external_links(text):
-    return F.regexp_extract_all(_c(text), F.lit(r"(https?://[^\s\[\]|{}<>\"]+)"), F.lit(1))
+    """URLs of http(s), ftp(s) and mailto, and those in brackets that leave out the scheme."""
+    url = r"((?:\b(?:https?|ftps?)://|\bmailto:|(?<=\[)//)[^\s\[\]|{}<>\"]+)"
+    return F.regexp_extract_all(_live(text), F.lit(url), F.lit(1))
 
 
 def template_names(text):
@@ -104,6 +113,47 @@ def _split_parameters(body):
     return parts + [body[at:]]
 
 
+_TAGS = "|".join(INVISIBLE)
+_COMMENT = re.compile(r"<!--.*?-->", re.S)
+_EMPTY_TAG = re.compile(rf"<(?:{_TAGS})\b[^<>]*/>", re.I)
+_UNSEEN = re.compile(rf"<({_TAGS})\b[^<>]*>.*?</\1\s*>", re.I | re.S)
+_TAG = re.compile(r"<[^<>]*>")
+_BRACKET = re.compile(r"[\[\]]")
+
+
+def _without_tags(text):
+    """No comments, no tags; what invisible tags hold goes with them."""
+    return _TAG.sub("", _UNSEEN.sub("", _EMPTY_TAG.sub("", _COMMENT.sub("", text))))
+
+
+def _resolve_links(text):
+    """[[target|caption]] becomes caption and [[target]] target, nested to any depth, in one scan."""
+    out, marks, at = [], [], 0          # pieces so far; places in `out` of brackets that are still open or left over
+    end = len(text)
+    while True:
+        m = _BRACKET.search(text, at)
+        if not m:
+            break
+        out.append(text[at:m.start()])
+        at = m.end()
+        if (m.group() == "]" and at < end and text[at] == "]" and len(marks) > 1
+                and out[marks[-1]] == out[marks[-2]] == "[" and not any(out[marks[-2] + 1:marks[-1]])):
+            caption = "".join(out[marks[-1] + 1:])
+            del out[marks[-2]:], marks[-2:]
+            out.append(caption.split("|", 1)[-1])
+            at += 1
+        else:
+            marks.append(len(out))
+            out.append(m.group())
+    return "".join(out) + text[at:]
+
+
+@F.pandas_udf(T.StringType())
+def drop_tags_and_links(text: pd.Series) -> pd.Series:
+    """The text without comments and tags, links replaced by their captions."""
+    return text.map(lambda t: _resolve_links(_without_tags(t)), na_action="ignore")
+
+
 @F.pandas_udf(T.StringType())
 def drop_templates(text: pd.Series) -> pd.Series:
     """The text without its templates, nested ones included."""
@@ -121,7 +171,7 @@ def _infobox(text):
             if not eq:
                 unnamed += 1
                 key, value = str(unnamed), p
-            pairs.append((key.strip(), _without_templates(value)))
+            pairs.append((key.strip(), _resolve_links(_without_tags(_without_templates(value)))))
         return dict(pairs)   # a repeated name keeps its last value
     return None
 
@@ -132,18 +182,14 @@ def _infobox_raw(text: pd.Series) -> pd.Series:
 
 
 def _plain(text):
-    """Markup other than templates to plain text; headings keep their `==`."""
-    out = F.regexp_replace(_c(text), r"(?s)<!--.*?-->", "")
-    out = F.regexp_replace(out, r"<[^<>]*>", "")
-    for _ in range(NESTED_LINKS):
-        out = F.regexp_replace(out, r"\[\[(?:[^\[\]|]*\|)?([^\[\]]*)\]\]", "$1")
-    out = F.regexp_replace(out, r"\[https?://[^\s\[\]]+\s*([^\[\]]*)\]", "$1")
+    """External links, quotes and entities to plain text, after tags and links; headings keep their `==`."""
+    out = F.regexp_replace(_c(text), r"\[(?:(?:https?|ftps?):|mailto:(?=[^\s\[\]])|(?=//))(?://)?[^\s\[\]]+\s*([^\[\]]*)\]", "$1")
     out = decode_entities(F.regexp_replace(out, r"'{2,}", ""))
     return F.regexp_replace(F.regexp_replace(out, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 
 def strip_markup(text):
-    return _plain(drop_templates(_c(text)))
+    return _plain(drop_tags_and_links(drop_templates(_c(text))))
 
 
 def infobox_map(text):

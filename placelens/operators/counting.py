@@ -48,9 +48,7 @@ class Disc:
         return distance(self.method, "lat", "long", lat, long) < self.reach
 
     def covers(self):
-        # the farthest point of a small latitude/longitude rectangle is one of its corners
-        corners = [distance("haversine", "lat", "long", a, b) for a in ("lat_lo", "lat_hi") for b in ("long_lo", "long_hi")]
-        return F.greatest(*corners) < self.reach / MARGIN
+        return farthest() < self.reach / MARGIN
 
     def misses(self):
         return box_distance() >= self.reach * MARGIN
@@ -66,6 +64,17 @@ def box_distance():
     return haversine_from_gaps(gap("lat", "lat_lo", "lat_hi"), dlong, F.cos(F.radians("lat")) * low_cos)
 
 
+def farthest():
+    """Upper bound of the great-circle distance from (lat, long) to any point of the box lat_lo..long_hi, at the poles,
+    across the antimeridian and for boxes of any width: the largest gaps and the largest cosine, each taken by itself."""
+    dlat = F.greatest(F.abs(F.col("lat") - F.col("lat_lo")), F.abs(F.col("lat") - F.col("lat_hi")))
+    middle = F.abs(F.col("long") - (F.col("long_lo") + F.col("long_hi")) / 2) % 360
+    dlong = F.least(F.least(middle, 360 - middle) + (F.col("long_hi") - F.col("long_lo")) / 2, F.lit(180.0))
+    wide_cos = F.when((F.col("lat_lo") <= 0) & (F.col("lat_hi") >= 0), F.lit(1.0)).otherwise(
+        F.greatest(F.cos(F.radians("lat_lo")), F.cos(F.radians("lat_hi"))))
+    return haversine_from_gaps(dlat, dlong, F.cos(F.radians("lat")) * wide_cos)
+
+
 def merge_locations(objects, by):
     """One row per (location, category) with its number of objects in `n`."""
     return objects.groupBy("o_lat", "o_long", by).agg(F.count("*").alias("n"))

@@ -9,7 +9,8 @@ from placelens.operators.ranking import _list, ndcg, score_counts
 
 
 def mape(df, y="y", pred="prediction"):
-    return df.agg((F.avg(F.abs((F.col(y) - F.col(pred)) / F.col(y))) * 100).alias("mape"))
+    """Mean absolute error in per cent of the target; rows with a zero target have no such error and are left out."""
+    return df.agg((F.avg(F.abs(F.try_divide(F.col(y) - F.col(pred), F.col(y)))) * 100).alias("mape"))
 
 
 def regression_metrics(df, group=None, y="y", pred="prediction", k=300):

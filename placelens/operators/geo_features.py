@@ -82,13 +82,3 @@ def count_and_nearest(probes, objects, max_dist, method="haversine", key="venue_
     counts = count_within(probes, objects, Disc(max_dist, method), key=key, leaf=leaf)
     return near.join(counts, [key, "category"], "left").select(
         key, "category", F.coalesce("n", F.lit(0)).alias("count"), "dist")
-
-
-def dist_columns(long, categories, key="venue_id"):
-    """`<cat>_count` and `<cat>_dist` columns from count_and_nearest."""
-    cols = []
-    for c in categories:
-        hit = F.col("category") == c
-        cols += [F.sum(F.when(hit, F.col("count")).otherwise(0)).alias(column_name(c)),
-                 F.min(F.when(hit, F.col("dist"))).alias(column_name(c, "_dist"))]
-    return long.groupBy(key).agg(*cols)

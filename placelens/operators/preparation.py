@@ -98,12 +98,12 @@ def zscore(df, columns, train=None, std="population"):
 
 
 def zscore_global(df, columns, train=None):
-    """One mean and one population std over all values of all columns together."""
+    """One mean and one population std over all known values of all columns together; centred before squaring."""
     base = df if train is None else df.filter(train)
     total = base.agg(*[F.sum(F.col(c).cast("double")).alias(f"s_{c}") for c in columns],
-                     *[F.sum(F.pow(F.col(c).cast("double"), 2)).alias(f"q_{c}") for c in columns],
-                     F.count("*").alias("n")).first()
-    n = total.n * len(columns)
-    mean = sum(total[f"s_{c}"] for c in columns) / n
-    spread = (sum(total[f"q_{c}"] for c in columns) / n - mean ** 2) ** 0.5
-    return df.withColumns({c: (F.col(c) - mean) / spread for c in columns})
+                     *[F.count(c).alias(f"n_{c}") for c in columns]).first()
+    n = sum(total[f"n_{c}"] for c in columns)
+    mean = sum(total[f"s_{c}"] or 0.0 for c in columns) / max(n, 1)
+    squares = base.agg(*[F.sum(F.pow(F.col(c).cast("double") - mean, 2)).alias(c) for c in columns]).first()
+    spread = (sum(squares[c] or 0.0 for c in columns) / max(n, 1)) ** 0.5
+    return df.withColumns({c: (F.col(c) - mean) / (spread or 1.0) for c in columns})

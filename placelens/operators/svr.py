@@ -5,6 +5,9 @@ minimised by majorisation (each round a weighted ridge problem; the objective ne
 is one distributed pass that sums dims x dims numbers; the models of all held-out groups share it.
 """
 
+import itertools
+import warnings
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -45,9 +48,13 @@ def _normal_equations(z, y, w, eps, tiny):
     return z.T @ (z * weight[:, None]), z.T @ pull, np.maximum(np.abs(r) - eps, 0).sum()
 
 
-def predict_left_out(df, group, features="features", target="y", c=1.0, eps=0.1, dims=128, gamma=None, rounds=15,
+def predict_left_out(df, group, features="features", target="y", c=1.0, eps=0.1, dims=128, gamma=None, rounds=None,
                      tol=1e-3, seed=7, name="prediction"):
-    """Out-of-group SVR predictions of all rows. The input is cached while the rounds run."""
+    """Out-of-group SVR predictions of all rows. The input is cached while the rounds run.
+
+    Rounds run until no objective falls by more than `tol` of its value, which happens because it never rises and is
+    bounded below. `rounds` sets a limit; if it is met earlier, a warning says so.
+    """
     spark = df.sparkSession
     data = df.select(F.col(group).cast("string").alias("g"), features, F.col(target).cast("double").alias("t")).persist()
     try:
@@ -56,7 +63,10 @@ def predict_left_out(df, group, features="features", target="y", c=1.0, eps=0.1,
         shared = spark.sparkContext.broadcast(maps)   # groups x features x dims numbers, independent of the rows
         weights = {g: np.concatenate([[m.ybar], np.zeros(dims)]) for g, m in maps.items()}
         best = {g: np.inf for g in maps}
-        for _ in range(rounds):
+        for done in itertools.count():
+            if done == rounds:
+                warnings.warn(f"support-vector regression stopped after {rounds} rounds, before it converged", stacklevel=2)
+                break
             sums = _pass(data, features, shared, weights, eps)
             active = False
             for g, total in sums.items():

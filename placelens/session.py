@@ -1,7 +1,6 @@
 """Session settings and the shared scratch folder."""
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -28,17 +27,10 @@ _STAGES = []
 
 
 def shared_dir(spark, purpose):
-    """A new path under the folder named by spark.checkpoint.dir.
-
-    Falls back to a local temporary folder only where Spark itself is local; on a cluster the
-    setting is required, because other machines must be able to read what is written here.
-    """
+    """A new path under the folder named by spark.checkpoint.dir, which all executors must share."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="placelens-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     path = os.path.join(base, f"{purpose}-{uuid.uuid4().hex}")
     _STAGES.append(path)
     return path

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from placelens.functions.text import decode_entities
 from placelens.operators.regions import EDGE
 
 
@@ -80,8 +81,10 @@ def read_boundaries(spark, path):
 
 def html_links(pages, html="html", keep=("page_id",)):
     """Every href of an <a>, with its position in the page."""
-    found = F.regexp_extract_all(F.col(html), F.lit(r'<a\s[^>]*href="([^"]*)"'), F.lit(1))
-    return pages.select(*keep, F.posexplode(found).alias("position", "href"))
+    anchor = r"""(?is)<a(?=\s)(?:"[^"]*"|'[^']*'|[^>"'])*?\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))"""
+    found = F.regexp_extract_all(F.col(html), F.lit(anchor), F.lit(0))
+    values = F.transform(found, lambda x: decode_entities(F.concat(*[F.regexp_extract(x, anchor, i) for i in (1, 2, 3)])))
+    return pages.select(*keep, F.posexplode(values).alias("position", "href"))
 
 
 def html_list_items(pages, wanted, contains=(), excludes=(), html="html", keep=("page_id",)):

@@ -22,10 +22,15 @@ def read_tsv(spark, path, schema):
 
 
 def read_pages_xml(spark, path):
-    """(title, timestamp, text) per <page>; reads .bz2 directly. Missing fields are NULL."""
-    pages = spark.read.format("xml").option("rowTag", "page").schema(DUMP_PAGE).load(path)
-    return pages.select("title", F.col("revision.timestamp").alias("timestamp"),
-                        F.col("revision.text._VALUE").alias("text"))
+    """(title, timestamp, text) per <page>; reads .bz2 directly. Missing fields are NULL, as are all of a malformed page.
+
+    The end tag of a page is the line separator, so one large file, also a bz2 file, is read in many splits.
+    """
+    pieces = spark.read.option("lineSep", "</page>").text(path)
+    begin = F.regexp_extract("value", r"(?s)(<page[\s>].*)", 1)
+    pages = pieces.select(begin.alias("page")).where("page != ''")
+    pages = pages.select(F.from_xml(F.concat("page", F.lit("</page>")), DUMP_PAGE, {"rowTag": "page"}).alias("p"))
+    return pages.select("p.title", F.col("p.revision.timestamp").alias("timestamp"), F.col("p.revision.text._VALUE").alias("text"))
 
 
 def write_pages_xml(pages, path):

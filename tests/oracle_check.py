@@ -3,6 +3,7 @@
 import glob
 import os
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -44,11 +45,12 @@ def differences(got, want):
 
 
 def main(argv):
-    from placelens.session import get_session
+    from placelens.session import drop_stages, get_session
     from placelens.plans import all_queries
     from oracles import all_sql
     sf_dir = f"{ROOT}/{argv[0] if argv else 'sf0.001'}"
-    spark = get_session(**{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g", "spark.master": "local[8]"})
+    spark = get_session(**{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g", "spark.master": "local[8]",
+                           "spark.checkpoint.dir": tempfile.mkdtemp(prefix="placelens-oracle-")})
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(sf_dir)
     sql = all_sql()
@@ -70,6 +72,7 @@ def main(argv):
             print(f"ERR {name} {res}", flush=True)
         if res:
             failed.append(name)
+        drop_stages(spark)
     print("failed:", failed)
 
 

@@ -55,6 +55,22 @@ def test_counts_equal_brute_force_also_in_hot_cells(spark, shape, leaf):
     assert {(x.id, x.category): x.n for x in got} == want and len(got) == len(want)
 
 
+@pytest.mark.parametrize("lats, longs, radius", AREAS[1:])
+@pytest.mark.parametrize("leaf", [1, 2_000])
+def test_disc_counts_at_poles_and_antimeridian(spark, lats, longs, radius, leaf):
+    a, b = points(40, lats, longs, 6), points(150, lats, longs, 7, "o_").drop(columns="id").assign(category="x")
+    inside = haversine_np(a.lat.values[:, None], a.long.values[:, None], b.o_lat.values[None], b.o_long.values[None]) < radius
+    got = count_within(spark.createDataFrame(a), spark.createDataFrame(b), Disc(radius), key="id", leaf=leaf).collect()
+    assert {x.id: x.n for x in got} == {i: int(n) for i, n in enumerate(inside.sum(axis=1)) if n}
+
+
+def test_disc_at_a_pole_is_not_covered_by_a_wide_part(spark):
+    a = spark.createDataFrame([(1, 89.998, 180.0)], "id int, lat double, long double")
+    b = spark.createDataFrame([(89.997, -179.9, "x"), (89.997, 179.9, "x"), (89.997, 0.0, "x")], "o_lat double, o_long double, category string")
+    for leaf in (1, 2_000):
+        assert [r.n for r in count_within(a, b, Disc(500), key="id", leaf=leaf).collect()] == [2]
+
+
 @pytest.mark.parametrize("method", ["degrees", "haversine", "geodesic"])
 @pytest.mark.parametrize("lats, longs", [((40.68, 40.76), (-74.02, -73.92)), ((-80, 85), (-180, 180)), ((-2, 2), (175, 185))])
 def test_nearest_equals_brute_force(spark, method, lats, longs):

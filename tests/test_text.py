@@ -3,6 +3,7 @@
 import bz2
 import hashlib
 import json
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from placelens.functions import text as tx
 from placelens.functions.coordinates import extract_coordinates, is_coordinate
 from placelens.operators import relational as rel
 from placelens.operators.encoding import encode_text
-from placelens.operators.words import tfidf_long, tfidf_vectors
+from placelens.operators.words import tfidf_long
 from placelens.sources import articles as art
 from placelens.sources import files
 
@@ -71,7 +72,7 @@ def test_infobox_and_markup(spark):
     text = ("{{Other|a=b}}{{Infobox x\n| name = The [[Big|big]] '''one'''\n| note = {{small|{{x}}}} kept\n| none =\n| map = [[File:a|b]]\n| pos\n}}"
             "Hello <ref>r</ref> [[A|label]] [[B]] [http://x.y site] [[File:c.jpg|thumb|see [[D]]]] {{t|{{u}}}}done\n\n\n\n== H ==\n")
     assert one(spark, text, tx.infobox_map("t")) == {"name": "The big one", "note": "kept", "map": "b", "1": "pos"}
-    assert one(spark, text, tx.strip_markup("t")) == "Hello r label B site thumb|see D done\n\n== H =="
+    assert one(spark, text, tx.strip_markup("t")) == "Hello  label B site thumb|see D done\n\n== H =="
     assert one(spark, "plain", tx.infobox_map("t")) is None and one(spark, None, tx.strip_markup("t")) is None
     assert one(spark, "{{a|b {{c}} }} {{open", tx.strip_markup("t")) == "{{open"
 
@@ -141,14 +142,46 @@ def test_html(spark):
     assert [r.href for r in art.html_links(page).collect()] == ["/d"]
 
 
-def test_tfidf_forms_agree(spark):
+def test_tfidf_of_known_counts(spark):
     docs = spark.createDataFrame([(1, "apple pear apple"), (2, "apple plum"), (3, "pear fig the")], "article_id int, text string")
-    long = {(r.article_id, r.word): r.tfidf for r in tfidf_long(docs).collect()}
-    model = tfidf_vectors(docs)
-    vocab = model.stages[2].vocabulary
-    rows = model.transform(docs).select("article_id", "features").collect()
-    vec = {(r.article_id, vocab[i]): v for r in rows for i, v in zip(r.features.indices, r.features.values)}
-    assert vec.keys() == long.keys() and all(abs(vec[k] - long[k]) < 1e-12 for k in vec)
+    got = {(r.article_id, r.word): (r.tf, r.tfidf) for r in tfidf_long(docs).collect()}
+    idf = math.log(4 / 3)
+    assert got == {(1, "apple"): (2, 2 * idf), (1, "pear"): (1, idf), (2, "apple"): (1, idf), (3, "pear"): (1, idf)}
+
+
+def test_a_bz2_dump_is_read_in_several_splits(spark, tmp_path):
+    rows = [(f"T{k}", "2020-01-01", f"{hashlib.sha256(str(k).encode()).hexdigest() * 20} & <{k}>") for k in range(3000)]
+    files.write_pages_xml(spark.createDataFrame(rows, "title string, timestamp string, text string").coalesce(1), str(tmp_path / "d"))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        pages = files.read_pages_xml(spark, str(tmp_path / "d"))
+        parts = [r.p for r in pages.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert len(parts) > 1 and sorted(map(tuple, pages.collect())) == sorted(rows)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_markup_that_readers_do_not_see(spark):
+    deep = "core"
+    for c in "fedcba":
+        deep = f"[[{c}|{deep}]]"
+    cases = {"A town.<ref>Smith 1999</ref> End <math>x^2</math>!<ref name=a/> z": "A town. End ! z", deep: "core",
+             "x [[A|b [[c]] d]] y": "x b c d y", "[[[x]]] [ftp://h/a name] [//h/b more] [mailto:x@y z]": "[x] name more z",
+             "a<!-- [[no]] -->b <gallery>\nF.jpg|t\n</gallery>c": "ab c", "]] [[ x": "]] [[ x"}
+    df = spark.createDataFrame(list(enumerate(cases)), "i int, text string")
+    got = {r.text: r.t for r in df.select("text", tx.strip_markup("text").alias("t")).collect()}
+    assert got == cases
+    links = spark.createDataFrame([("<!-- [[no]] http://no -->[[a]] <nowiki>[[no]]</nowiki> ftp://f/x [//h/p t] mailto:q@w.e http://k",)], "text string")
+    r = links.select(tx.internal_links("text").alias("i"), tx.external_links("text").alias("e")).first()
+    assert r.i == ["a"] and r.e == ["ftp://f/x", "//h/p", "mailto:q@w.e", "http://k"]
+
+
+def test_anchors_in_every_quoting(spark):
+    page = """<a href='one'>1</a><A HREF="two?a=1&amp;b=2">2</A><a href=three>3</a><a data-href="no">-</a><a
+        class="x" href = "four">4</a><a title="href='no'" href="five">5</a>"""
+    got = art.html_links(spark.createDataFrame([(1, page)], "page_id int, html string"))
+    assert [r.href for r in got.orderBy("position").collect()] == ["one", "two?a=1&b=2", "three", "four", "five"]
 
 
 def test_encoder_is_pluggable(spark):
