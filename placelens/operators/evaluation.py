@@ -75,12 +75,15 @@ def leave_groups_out(df, group, fit):
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def cross_validate(df, predict, key="venue_id", k=5, seed=42, y="y"):
-    """k-fold summary; `predict(df, "fold")` returns df with out-of-fold predictions."""
-    return fold_summary(regression_metrics(predict(assign_folds(df, key, k, seed), "fold"), "fold", y))
+def cross_validate(df, predict, key="venue_id", k=5, seed=42, y="y", **options):
+    """k-fold summary; `predict(df, "fold", **options)` returns df with out-of-fold predictions."""
+    return fold_summary(regression_metrics(predict(assign_folds(df, key, k, seed), "fold", **options), "fold", y))
 
 
-def soos_validate(df, predict, group="region", y="y", per_region=False):
-    """Spatial out-of-sample validation: size-weighted summary, or the metrics of every region."""
-    metrics = regression_metrics(predict(df, group), group, y)
+def soos_validate(df, predict, group="region", y="y", per_region=False, **options):
+    """Spatial out-of-sample validation: size-weighted summary, or the metrics of every region.
+
+    Rows without a region help to train every model and are not part of the metrics.
+    """
+    metrics = regression_metrics(predict(df, group, **options).filter(F.col(group).isNotNull()), group, y)
     return metrics if per_region else weighted_summary(metrics)

@@ -11,8 +11,20 @@ from pyspark.sql import functions as F
 
 from placelens.operators.preparation import dead_levels
 
-MAX_FEATURES = 8_192   # moments need d x d numbers per group on the driver
-GROUP_LIMIT = 200_000_000   # numbers that the moments of all groups may hold together
+GROUP_LIMIT = 200_000_000   # numbers that the moments of all groups may hold together on the driver
+
+
+class Moment:
+    """Sum of (1, x - shift, y)(1, x - shift, y)^T over some rows; the shift keeps large offsets from cancelling."""
+
+    def __init__(self, m, shift):
+        self.m, self.shift = m, shift
+        self.n = m[0, 0]
+        self.near = m[0, 1:-1] / self.n            # mean of x - shift
+        self.mean, self.ybar = self.near + shift, m[0, -1] / self.n
+        self.cov = m[1:-1, 1:-1] / self.n - np.outer(self.near, self.near)
+        self.cxy = m[1:-1, -1] / self.n - self.near * self.ybar
+        self.var = np.maximum(np.diag(self.cov), 0)
 
 
 def mllib_pipeline(train, features, target, kind="ols", alpha=1.0, max_iter=1000, tol=1e-12):
@@ -54,13 +66,17 @@ def _has_null(c):
 
 
 def train_means(df, group, features="features"):
-    """{g: feature means over all rows outside group g}, NULLs skipped."""
+    """{g: feature means over all rows outside group g}, NULLs skipped, and the means over all rows.
+
+    Rows without a group are outside every group.
+    """
     cols = df.select(F.col(group).cast("string").alias("g"), features)
 
     def partial(batches):
         acc = {}
         for pdf in batches:
-            for g, part in pdf.groupby("g")[features]:
+            for g, part in pdf.groupby("g", dropna=False)[features]:
+                g = None if pd.isna(g) else g
                 x = np.stack(part.to_numpy())
                 known = ~np.isnan(x)
                 acc[g] = acc.get(g, 0) + np.stack([np.where(known, x, 0).sum(axis=0), known.sum(axis=0)])
@@ -71,49 +87,46 @@ def train_means(df, group, features="features"):
     rows = parts.groupBy("g").agg(vector_to_array(Summarizer.sum(array_to_vector("row"))).alias("row")).collect()   # one per group
     sums = {r.g: np.array(r.row).reshape(2, -1) for r in rows}
     total = sum(sums.values())
-    return {g: (total - x)[0] / np.maximum((total - x)[1], 1) for g, x in sorted(sums.items())}
+    return ({g: (total - x)[0] / np.maximum((total - x)[1], 1) for g, x in sorted((k, v) for k, v in sums.items() if k is not None)},
+            total[0] / np.maximum(total[1], 1))
 
 
-def moments(df, group, features="features", target="y", held=None):
-    """{(group, held): M} with M the sum of (1, x, y)(1, x, y)^T over the rows.
+def moments(df, group, shift, features="features", target="y"):
+    """{group: M} with M the sum of (1, x - shift, y)(1, x - shift, y)^T over the rows; None is the group of rows without one.
 
     Each task adds up its rows; the partial matrices are summed by row in a shuffle, so no task and
     no message ever holds more than the result.
     """
     spark = df.sparkSession
-    cols = df.select(F.col(group).cast("string").alias("g"), (F.col(held).cast("string") if held else F.lit(None).cast("string")).alias("held"),
-                     features, F.col(target).cast("double").alias("t"))
+    cols = df.select(F.col(group).cast("string").alias("g"), features, F.col(target).cast("double").alias("t"))
 
     def partial(batches):
         acc = {}
         for pdf in batches:
-            for (g, h), part in pdf.groupby(["g", "held"], dropna=False):
-                x = np.column_stack([np.ones(len(part)), np.stack(part[features].to_numpy()), part["t"].to_numpy()])
-                key = (g, None if pd.isna(h) else h)
-                acc[key] = acc.get(key, 0) + x.T @ x
-        for (g, h), m in acc.items():
-            yield pd.DataFrame({"g": g, "held": h, "i": np.arange(len(m)), "row": list(m)}).astype({"held": object})
-
-    parts = cols.coalesce(spark.sparkContext.defaultParallelism).mapInPandas(partial, "g string, held string, i int, row array<double>")
-    total = parts.groupBy("g", "held", "i").agg(vector_to_array(Summarizer.sum(array_to_vector("row"))).alias("row"))
+            for g, part in pdf.groupby("g", dropna=False):
+                x = np.column_stack([np.ones(len(part)), np.stack(part[features].to_numpy()) - shift, part["t"].to_numpy()])
+                g = None if pd.isna(g) else g
+                acc[g] = acc.get(g, 0) + x.T @ x
+        for g, m in acc.items():
+            yield pd.DataFrame({"g": g, "i": np.arange(len(m)), "row": list(m)}).astype({"g": object})
+
+    parts = cols.coalesce(spark.sparkContext.defaultParallelism).mapInPandas(partial, "g string, i int, row array<double>")
+    total = parts.groupBy("g", "i").agg(vector_to_array(Summarizer.sum(array_to_vector("row"))).alias("row"))
     out = {}
     for r in total.toLocalIterator():   # groups x (d + 2) rows, size checked by the caller
-        out.setdefault((r.g, r.held), {})[r.i] = r.row
+        out.setdefault(r.g, {})[r.i] = np.array(r.row)
     return {k: np.array([m[i] for i in range(len(m))]) for k, m in out.items()}
 
 
-def solve(m, kind="lasso", alpha=1.0, scale="feature", use=None):
-    """(intercept, coefficients) in the original units from the moment matrix.
+def solve(moment, kind="lasso", alpha=1.0, scale="feature", use=None, centre=0.0):
+    """(intercept, coefficients) in the original units; the intercept is the model's value at x = centre.
 
     scale: per feature (population std), `global` (one mean and std for all) or None. `use` selects
     features; others get 0. Features without spread get 0.
     """
-    n, d = m[0, 0], len(m) - 2
-    mean, ybar = m[0, 1:-1] / n, m[0, -1] / n
-    cov = m[1:-1, 1:-1] / n - np.outer(mean, mean)
-    cxy = m[1:-1, -1] / n - mean * ybar
-    var = np.maximum(np.diag(cov), 0)
-    alive = var > 1e-12 * np.maximum(mean ** 2, 1e-300)
+    n, cov, cxy, var, mean = moment.n, moment.cov, moment.cxy, moment.var, moment.mean
+    d = len(mean)
+    alive = var > 1e-12 * np.maximum(moment.near ** 2, 1e-300)
     if use is not None:
         alive &= np.isin(np.arange(d), use)
     idx = np.flatnonzero(alive)
@@ -122,7 +135,7 @@ def solve(m, kind="lasso", alpha=1.0, scale="feature", use=None):
         if scale == "feature":
             s = np.sqrt(var[idx])
         elif scale == "global":
-            s = np.full(len(idx), np.sqrt(max((np.diag(m)[1:-1][idx] / n).mean() - mean[idx].mean() ** 2, 1e-300)))
+            s = np.full(len(idx), np.sqrt(max(var[idx].mean() + mean[idx].var(), 1e-300)))
         else:
             s = np.ones(len(idx))
         a, b = cov[np.ix_(idx, idx)] / np.outer(s, s), cxy[idx] / s
@@ -133,7 +146,7 @@ def solve(m, kind="lasso", alpha=1.0, scale="feature", use=None):
         else:
             w = _lasso(a, b, alpha)
         coef[idx] = w / s
-    return ybar - mean @ coef, coef
+    return moment.ybar - (mean - centre) @ coef, coef
 
 
 def _lasso(a, b, alpha, sweeps=5_000, tol=1e-10):
@@ -156,46 +169,52 @@ def _lasso(a, b, alpha, sweeps=5_000, tol=1e-10):
 
 
 def held_out_moments(df, group, features="features", target="y"):
-    """(means, {g: moments of all rows outside g}), NULL features filled with the training means.
+    """(means, {g: Moment of all rows outside g}), NULL features filled with the training means.
 
     A row without NULLs enters once, whichever group is held out. A row with NULLs is filled with
-    the means of each training set it belongs to, so it is copied once per other group.
+    the means of each training set it belongs to, so it is copied once per other group. A row without a group belongs to
+    every training set and is never held out.
     """
-    means = train_means(df, group, features)
+    means, shift = train_means(df, group, features)
     names = list(means)
-    d = len(next(iter(means.values())))
-    if d > MAX_FEATURES or len(names) ** 2 * (d + 2) ** 2 > GROUP_LIMIT:
+    d = len(shift)
+    if 2 * len(names) * (d + 2) ** 2 > GROUP_LIMIT:
         raise ValueError("too many features or groups for moment matrices; use leave_groups_out with a Spark ML pipeline")
-    whole = moments(df.filter(~_has_null(features)), group, features, target)
+    whole = moments(df.filter(~_has_null(features)), group, shift, features, target)
     gaps = df.filter(_has_null(features))
     spark = df.sparkSession
     table = spark.createDataFrame([(str(g), list(map(float, mu))) for g, mu in means.items()], "held string, mu array<double>")
     # one row per group and at most GROUP_LIMIT numbers, checked above
     copies = (gaps.withColumn("held", F.explode(F.array(*[F.lit(str(g)) for g in names])))
-              .filter(F.col("held") != F.col(group).cast("string")).join(F.broadcast(table), "held")
+              .filter(~F.col("held").eqNullSafe(F.col(group).cast("string"))).join(F.broadcast(table), "held")
               .withColumn(features, F.zip_with(features, "mu", lambda x, m: F.coalesce(x, m))))
-    partial = moments(copies, group, features, target, held="held")
-    out = {}
-    for g in names:
-        parts = [m for (h, _), m in whole.items() if h != str(g)] + [m for (_, held), m in partial.items() if held == str(g)]
-        out[g] = sum(parts)
-    return means, out
+    partial = moments(copies, "held", shift, features, target)
+    total = sum(whole.values())
+    return means, {g: Moment(total - whole.get(g, 0) + partial.get(g, 0), shift) for g in names}
 
 
 def apply_models(df, group, models, means, features="features", name="prediction"):
-    """Predict every row with its group's model; `models` maps group to (intercept, coefficients)."""
+    """Predict every row with its group's model; `models` maps group to (value at the group's means, coefficients).
+
+    A row without a group gets NULL.
+    """
     rows = [(str(g), float(b), list(map(float, w)), list(map(float, means[g]))) for g, (b, w) in models.items()]
     table = df.sparkSession.createDataFrame(rows, "_g string, _b double, _w array<double>, _mu array<double>")
-    filled = F.zip_with(features, "_mu", lambda x, m: F.coalesce(x, m))
-    value = F.aggregate(F.zip_with(filled, "_w", lambda x, w: x * w), F.col("_b"), lambda acc, x: acc + x)
-    out = df.drop(name).join(F.broadcast(table), F.col(group).cast("string") == F.col("_g"))   # one row per group
+    gap = F.zip_with(features, "_mu", lambda x, m: F.coalesce(x - m, F.lit(0.0)))
+    value = F.aggregate(F.zip_with(gap, "_w", lambda x, w: x * w), F.col("_b"), lambda acc, x: acc + x)
+    out = df.drop(name).join(F.broadcast(table), F.col(group).cast("string") == F.col("_g"), "left")   # one row per group
     return out.withColumn(name, value).drop("_g", "_b", "_w", "_mu")
 
 
-def predict_left_out(df, group, features="features", target="y", kind="lasso", alpha=1.0, scale="feature"):
-    """Out-of-group predictions of all rows: two passes for the moments, one to predict."""
+def predict_left_out(df, group, features="features", target="y", kind="lasso", alpha=1.0, scale="feature", names=None, drops=()):
+    """Out-of-group predictions of all rows: two passes for the moments, one to predict.
+
+    `drops` leaves out features by name; `names` are then the names of the feature array's places.
+    """
+    use = None if not drops else np.array([i for i, n in enumerate(names) if n not in set(drops)], dtype=int)
     means, held = held_out_moments(df, group, features, target)
-    return apply_models(df, group, {g: solve(m, kind, alpha, scale) for g, m in held.items()}, means, features)
+    models = {g: solve(m, kind, alpha, scale, use, means[g]) for g, m in held.items()}
+    return apply_models(df, group, models, means, features)
 
 
 def eliminate(m, names, step=25, keep=1, protect=()):
@@ -203,7 +222,7 @@ def eliminate(m, names, step=25, keep=1, protect=()):
 
     Each round fits ridge on the standardised features and removes the `step` smallest coefficients.
     """
-    std = np.sqrt(np.maximum(np.diag(m)[1:-1] / m[0, 0] - (m[0, 1:-1] / m[0, 0]) ** 2, 0))
+    std = np.sqrt(m.var)
     left = [i for i, n in enumerate(names) if n not in protect]
     fixed = [i for i, n in enumerate(names) if n in protect]
     removed = []
@@ -226,18 +245,19 @@ def feature_ranking(df, names, features="features", target="y", step=25, k=5, ke
     means, held = held_out_moments(folded, "fold", features, target)
     orders = {g: eliminate(m, names, step, protect=protect) for g, m in held.items()}
     counts = list(range(0, len(names) - len(protect), step))
-    errors = sweep_predictions(folded, "fold", {g: _sweep_models(m, names, orders[g], counts) for g, m in held.items()}, means, counts, features)
+    errors = sweep_predictions(folded, "fold", {g: _sweep_models(m, names, orders[g], counts, means[g]) for g, m in held.items()}, means, counts, features)
     mae = errors.groupBy("dropped").agg(F.avg(F.abs(F.col(target) - F.col("prediction"))).alias("mae"))
     best = mae.orderBy("mae", "dropped").first()
-    everything = sum(held.values()) / max(len(held) - 1, 1)   # each row is in k - 1 of the k training sets
+    parts = list(held.values())
+    everything = Moment(sum(p.m for p in parts) / max(len(parts) - 1, 1), parts[0].shift)   # each row is in k - 1 of the k training sets
     order = eliminate(everything, names, step, protect=protect)
     rows = [(i + 1, n, bool(i >= best.dropped)) for i, n in enumerate(order)]
     return df.sparkSession.createDataFrame(rows, "removal_order int, feature string, kept boolean")
 
 
-def _sweep_models(m, names, worst, counts, kind="ridge"):
+def _sweep_models(m, names, worst, counts, centre, kind="ridge"):
     at = {n: i for i, n in enumerate(names)}
-    return [solve(m, kind, 1.0, use=np.array([at[n] for n in names if n not in set(worst[:c])], dtype=int)) for c in counts]
+    return [solve(m, kind, 1.0, use=np.array([at[n] for n in names if n not in set(worst[:c])], dtype=int), centre=centre) for c in counts]
 
 
 def sweep_predictions(df, group, models, means, counts, features="features"):
@@ -254,7 +274,7 @@ def sweep_predictions(df, group, models, means, counts, features="features"):
             out = [None] * len(pdf)
             for g, rows in pdf.groupby(pdf[group].astype(str)).indices.items():
                 b, w, mu = packed.value[g]
-                part = np.where(np.isnan(x[rows]), mu, x[rows]) @ w + b
+                part = np.where(np.isnan(x[rows]), 0, x[rows] - mu) @ w + b
                 for r, p in zip(rows, part):
                     out[r] = p
             yield pdf.drop(columns=[features]).assign(predictions=out)
@@ -270,7 +290,7 @@ def feature_sweep(df, names, worst, group="region", counts=None, step=25, featur
     from placelens.operators.evaluation import regression_metrics
     counts = counts or list(range(0, len(worst), step))
     means, held = held_out_moments(df, group, features, target)
-    models = {g: _sweep_models(m, names, worst, counts, kind) for g, m in held.items()}
+    models = {g: _sweep_models(m, names, worst, counts, means[g], kind) for g, m in held.items()}
     rows = sweep_predictions(df, group, models, means, counts, features)
     per = regression_metrics(rows.select("dropped", group, target, "prediction"), ["dropped", group], y=target)
     w = F.sum("n")

@@ -22,16 +22,14 @@ class _Maps:
 
     def __init__(self, moment, mean, dims, gamma, seed):
         d = len(mean)
-        n = moment[0, 0]
-        self.fill = mean
-        self.mean = moment[0, 1:-1] / n
-        std = np.sqrt(np.maximum(np.diag(moment)[1:-1] / n - self.mean ** 2, 0))
+        self.fill, self.mean = mean, moment.mean
+        std = np.sqrt(moment.var)
         self.std = np.where(std > 1e-12, std, 1.0)
         rng = np.random.default_rng(seed)
         live = max(int((std > 1e-12).sum()), 1)
         self.omega = rng.normal(size=(d, dims)) * np.sqrt(2 * (gamma or 1 / live))
         self.phase = rng.uniform(0, 2 * np.pi, dims)
-        self.ybar = moment[0, -1] / n
+        self.ybar = moment.ybar
 
     def __call__(self, x):
         x = (np.where(np.isnan(x), self.fill, x) - self.mean) / self.std

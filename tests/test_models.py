@@ -1,5 +1,7 @@
 """Ranks, NDCG, splits, linear and kernel models against direct computations."""
 
+import warnings
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -152,3 +154,60 @@ def test_elimination_keeps_the_informative_features(spark):
     got = {r.dropped: r.mae for r in sweep.collect()}
     assert sorted(got) == [0, 5, 10] and got[10] < 0.2
     assert linear.best_feature_count(sweep).first().dropped in got
+
+
+def test_a_large_offset_is_no_constant(spark):
+    rows = [(k, [1.6e9 + k], 3.0 * k - 7, "ab"[k % 2]) for k in range(400)]
+    df = spark.createDataFrame(rows, "venue_id int, features array<double>, y double, g string")
+    for kind in ("ols", "lasso"):
+        got = linear.predict_left_out(df, "g", kind=kind, alpha=1e-9).agg(F.max(F.abs(F.col("prediction") - F.col("y"))).alias("e")).first().e
+        assert got < 1e-6
+
+
+def test_rows_without_a_group_train_every_model(spark):
+    x, y, g = data(gaps=False)
+    lost = np.where(np.arange(len(y)) % 5 == 0, None, g)
+    got = linear.predict_left_out(frame(spark, x, y, g).drop("g").join(
+        spark.createDataFrame([(i, v) for i, v in enumerate(lost.tolist())], "venue_id int, g string"), "venue_id"), "g", kind="ols")
+    got = got.toPandas().sort_values("venue_id")
+    lost = np.array(lost, dtype=object)
+    for h in "abc":
+        te = lost == h
+        want = reference_fit(x[~te], y[~te], "ols", 1.0)(x[te])
+        np.testing.assert_allclose(got.prediction.values[te], want, atol=1e-6)
+    assert got.prediction[[v is None for v in lost]].isna().all()
+
+
+def test_named_features_can_be_dropped(spark):
+    x, y, g = data(gaps=False)
+    names = [f"f{i}" for i in range(x.shape[1])]
+    got = linear.predict_left_out(frame(spark, x, y, g), "g", kind="ols", names=names, drops=["f1", "f2"]).toPandas().sort_values("venue_id")
+    keep = [i for i in range(x.shape[1]) if i not in (1, 2)]
+    te = g == "a"
+    np.testing.assert_allclose(got.prediction.values[te], reference_fit(x[~te][:, keep], y[~te], "ols", 1.0)(x[te][:, keep]), atol=1e-6)
+    a = ev.cross_validate(frame(spark, x, y, g), linear.predict_left_out, names=names, drops=["f1"]).first()
+    assert a.mae is not None
+
+
+def test_size_limit_admits_the_widths_in_use():
+    assert 2 * 5 * (3_882 + 2) ** 2 <= linear.GROUP_LIMIT
+
+
+def test_svr_defaults_converge(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(200, 2))
+    y = np.sin(x[:, 0]) * 3 + x[:, 1]
+    df = frame(spark, x, y, np.where(np.arange(200) < 120, "a", "b"))
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", UserWarning)
+        got = svr.predict_left_out(df, "g").toPandas()
+    assert (got.prediction - got.y).abs().mean() < 1.0
+    with pytest.warns(UserWarning, match="before it converged"):
+        svr.predict_left_out(df, "g", rounds=1)
+
+
+def test_errors_in_per_cent_and_global_scores_take_gaps(spark):
+    df = spark.createDataFrame([(0.0, 1.0), (2.0, 1.0), (4.0, 5.0)], "y double, prediction double")
+    assert ev.mape(df).first().mape == pytest.approx(37.5)
+    z = pr.zscore_global(spark.createDataFrame([(1.0, None), (3.0, 5.0)], "a double, b double"), ["a", "b"]).collect()
+    assert z[0].a == pytest.approx(-1.2247, abs=1e-4) and z[0].b is None
