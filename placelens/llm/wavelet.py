@@ -179,9 +179,13 @@ def encode_column(column, path):
     data, offsets = text_bytes(column)
     start, end = spans(data, offsets, BREAKS)
     # a mark after an ASCII letter or digit begins a word of its own to the tokenizer
-    mark = np.flatnonzero(_MARKS[data[1:]] & _ALNUM[data[:-1]]) + 1 if len(data) else start
-    mark = mark[~np.isin(mark, offsets)]
-    start, end = np.union1d(start, mark), np.union1d(end, mark)
+    mark = np.zeros(len(data) + 1, bool)
+    if len(data):
+        mark[1:-1] = _MARKS[data[1:]] & _ALNUM[data[:-1]]
+    mark[offsets] = False
+    first, last = mark.copy(), mark
+    first[start], last[end] = True, True
+    start, end = np.flatnonzero(first), np.flatnonzero(last)
     # the tokenizer lowers case, but only after it has looked for its special strings
     keys = span_hashes(_BYTE_CODES[data if b"<|" in data.tobytes() else LOWER[data]], start, end)
     ids, size = _chunk_cache(path).ids_of(keys, lambda i: data[start[i]:end[i]].tobytes())
