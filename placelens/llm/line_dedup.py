@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from placelens.llm.common import (ASCII_SPACE, Forest, LOWER, _BYTE_CODES, broadcast_if_small, expand, mix, randoms,
+from placelens.llm.common import (ASCII_SPACE, Forest, LOWER, _BYTE_CODES, broadcast_if_small, distinct, expand, mix, randoms,
                                   record_batch, signed, slices, span_hashes, spans, stage, table, text_bytes)
 from placelens.llm.groups import candidate_pairs, link_groups
 
@@ -98,7 +98,7 @@ def _sets(lines):
     data, offsets = text_bytes(pa.array(lines, pa.string()))
     hashes, count = character_shingles(data, offsets[:-1], offsets[1:])
     stop = np.cumsum(count)
-    return [np.unique(hashes[a:b]) for a, b in zip((stop - count).tolist(), stop.tolist())]
+    return [distinct(hashes[a:b]) for a, b in zip((stop - count).tolist(), stop.tolist())]
 
 
 def similar(x, y):

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from placelens.llm.common import record_batch, slices, spans, stage, table, text_bytes, words
+from placelens.llm.common import distinct, record_batch, slices, spans, stage, table, text_bytes, words
 
 POSITIVES = 15_000
 UNLABELLED = 30_000
@@ -60,17 +60,17 @@ def surface_features(column):
         else np.zeros(0, np.uint64)
     line_bounds = np.searchsorted(line_start, offsets)
     out["lines"] = np.log1p(np.diff(line_bounds))
-    distinct, top, triples, lines = (np.zeros(n) for _ in range(4))
+    distinct_words, top, triples, lines = (np.zeros(n) for _ in range(4))
     for i in range(n):
         w = word[bounds[i]:bounds[i + 1]]
         if len(w):
             _, counts = np.unique(w, return_counts=True)
-            distinct[i], top[i] = len(counts) / len(w), counts.max() / len(w)
+            distinct_words[i], top[i] = len(counts) / len(w), counts.max() / len(w)
             t = w[:-2] + w[1:-1] * np.uint64(3) + w[2:] * np.uint64(9)
-            triples[i] = len(np.unique(t)) / len(t) if len(t) else 1
+            triples[i] = len(distinct(t)) / len(t) if len(t) else 1
             x = line[line_bounds[i]:line_bounds[i + 1]]
-            lines[i] = len(np.unique(x)) / max(len(x), 1)
-    out |= {"distinct_words": distinct, "top_word": top, "distinct_triples": triples, "distinct_lines": lines}
+            lines[i] = len(distinct(x)) / max(len(x), 1)
+    out |= {"distinct_words": distinct_words, "top_word": top, "distinct_triples": triples, "distinct_lines": lines}
     return [out[k].astype(np.float32) for k in NAMES]
 
 
