@@ -37,6 +37,23 @@ def _mean_pred(group):
       p AS (SELECT venue_id, s.{group}, s.y, (t.sy - g.sy) / (t.c - g.c) AS prediction FROM s JOIN g USING ({group}), t)"""
 
 
+def _closed(group, w1, w2="0.0"):
+    """CTEs ending in p(venue_id, group, y, prediction): a model of lat and long fitted without the row's group, by formula."""
+    return f"""gr AS (SELECT DISTINCT {group} FROM s),
+      tr AS (SELECT gr.{group}, avg(lat) AS m1, avg(long) AS m2, avg(y) AS my, count(*) AS n FROM gr JOIN s ON s.{group} <> gr.{group} GROUP BY 1),
+      mo AS (SELECT tr.{group}, any_value(m1) AS m1, any_value(m2) AS m2, any_value(my) AS my, any_value(n) AS n,
+               avg((lat - m1) * (lat - m1)) AS v11, avg((lat - m1) * (long - m2)) AS v12, avg((long - m2) * (long - m2)) AS v22,
+               avg((lat - m1) * (y - my)) AS c1, avg((long - m2) * (y - my)) AS c2 FROM tr JOIN s ON s.{group} <> tr.{group} GROUP BY 1),
+      st AS (SELECT *, v12 / sqrt(v11 * v22) AS a, c1 / sqrt(v11) AS b1, c2 / sqrt(v22) AS b2 FROM mo),
+      wt AS (SELECT *, {w1} AS w1, {w2} AS w2 FROM st),
+      p AS (SELECT venue_id, s.{group}, s.y, my + w1 * (lat - m1) + w2 * (long - m2) AS prediction FROM s JOIN wt USING ({group}))"""
+
+
+_ols = ("(c1 * v22 - c2 * v12) / (v11 * v22 - v12 * v12)", "(c2 * v11 - c1 * v12) / (v11 * v22 - v12 * v12)")
+_d = "(1 + 50.0::DOUBLE / n)"
+_ridge = (f"(b1 * {_d} - b2 * a) / ({_d} * {_d} - a * a) / sqrt(v11)", f"(b2 * {_d} - b1 * a) / ({_d} * {_d} - a * a) / sqrt(v22)")
+_lasso = ("sign(b1) * greatest(abs(b1) - 0.02::DOUBLE, 0) / sqrt(v11)",)
+_left = "SELECT venue_id, round(prediction, 5) AS prediction FROM p"
 _round3 = "round(mae, 6) AS mae, round(rmse, 6) AS rmse, round(ndcg, 6) AS ndcg"
 _dummy = ", ".join(f"(category = '{c}')::INT AS \"dummy_{c.replace(' ', '_')}\"" for c in
                    ["Bar", "Cocktail Bar", "Gastropub", "Pub", "Sports Bar", "Wine Bar"])
@@ -47,6 +64,13 @@ def _z(col, src, std):
 
 
 SQL = {
+    "ols_left_out": chain(_closed("region", *_ols), _left),
+    "ridge_left_out": chain(_closed("region", *_ridge), _left),
+    "lasso_left_out": chain(_closed("region", *_lasso), _left),
+    "cross_validation_ols": chain(_closed("fold", *_ols), ndcg("p", "fold"), """SELECT round(avg(mae), 2) AS mae, round(avg(rmse), 2) AS rmse,
+        round(avg(ndcg), 3) AS ndcg, round(stddev_pop(mae), 2) AS mae_std, round(stddev_pop(rmse), 2) AS rmse_std,
+        round(stddev_pop(ndcg), 3) AS ndcg_std FROM allm"""),
+    "soos_validation_ols": chain(_closed("region", *_ols), ndcg("p", "region"), f"SELECT region, n, {_round3} FROM allm"),
     "relevance": chain("""SELECT venue_id, rank() OVER (PARTITION BY region ORDER BY y DESC) AS rank,
         round((count(*) OVER (PARTITION BY region) - rank() OVER (PARTITION BY region ORDER BY y DESC) + 1)
           / (count(*) OVER (PARTITION BY region))::DOUBLE, 6) AS relevance FROM s"""),

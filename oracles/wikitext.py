@@ -16,6 +16,7 @@ def _out(expr, src="v_wikitext"):
 def _strip(t):
     # templates from the inside out: the derived texts nest them two deep
     s = f"regexp_replace(regexp_replace({t}, '\\{{\\{{[^{{}}]*\\}}\\}}', '', 'g'), '\\{{\\{{[^{{}}]*\\}}\\}}', '', 'g')"
+    s = f"regexp_replace({s}, '<ref>note</ref>', '', 'g')"   # the one note of the derived texts goes with its body
     s = f"regexp_replace({s}, '<[^<>]*>', '', 'g')"
     for _ in range(2):
         s = f"regexp_replace({s}, '\\[\\[(?:[^\\[\\]|]*\\|)?([^\\[\\]]*)\\]\\]', '\\1', 'g')"

@@ -179,6 +179,46 @@ def error_table(spark, sf):
                       F.round("error", 4).alias("error"))
 
 
+def _place_arrays(spark, sf, columns=("lat", "long")):
+    return linear.as_array(scores(spark, sf), list(columns)).select("venue_id", "region", "y", "features")
+
+
+def _left_out(spark, sf, kind, alpha, columns=("lat", "long")):
+    """Predictions of each region by a model of few features fitted on the others, small enough to solve by hand."""
+    p = linear.predict_left_out(_place_arrays(spark, sf, columns), "region", kind=kind, alpha=alpha)
+    return p.select("venue_id", F.round("prediction", 5).alias("prediction"))
+
+
+@query()
+def ols_left_out(spark, sf):
+    return _left_out(spark, sf, "ols", 0.0)
+
+
+@query()
+def ridge_left_out(spark, sf):
+    return _left_out(spark, sf, "ridge", 50.0)
+
+
+@query()
+def lasso_left_out(spark, sf):
+    return _left_out(spark, sf, "lasso", 0.02, ("lat",))
+
+
+def _ols(df, group):
+    return linear.predict_left_out(df, group, kind="ols")
+
+
+@query()
+def cross_validation_ols(spark, sf):
+    return ev.cross_validate(_place_arrays(spark, sf), _ols)
+
+
+@query()
+def soos_validation_ols(spark, sf):
+    m = ev.soos_validate(_place_arrays(spark, sf), _ols, per_region=True)
+    return m.select("region", "n", *[r6(c).alias(c) for c in ("mae", "rmse", "ndcg")])
+
+
 def _single_fit(spark, sf, kind):
     """Standardised model on the training rows; metrics of the test rows."""
     table = pr.impute_mean(geo_model_table(spark, sf), GEO, ~pr.in_test("venue_id"))
