@@ -43,6 +43,32 @@ _tf = f"""tok AS (SELECT article_id, unnest(regexp_extract_all(lower(text), '\\p
   tfidf AS (SELECT article_id, word, tf, tf * ln(((SELECT count(*) FROM v_articles) + 1)::DOUBLE / (df + 1)) AS tfidf
             FROM tf JOIN df USING (word))"""
 
+def _geodesic(metres, rounds=8):
+    """CTEs ending in geo(venue_id, article_id, dist): the inverse formula on the ellipsoid with a fixed number of rounds."""
+    f = "(1 / 298.257223563::DOUBLE)"
+    a, b = "6378137.0::DOUBLE", f"(6378137.0::DOUBLE * (1 - {f}))"
+    u = lambda x: f"atan((1 - {f}) * tan(radians({x})))"
+    ctes = [f"""g0 AS (SELECT venue_id, article_id, sin(u1) AS su1, cos(u1) AS cu1, sin(u2) AS su2, cos(u2) AS cu2, diff, diff AS lam FROM (
+        SELECT p.venue_id, a.article_id, {u('p.lat')} AS u1, {u('a.lat')} AS u2, radians(a.long - p.long) AS diff
+        FROM probes p CROSS JOIN v_articles a WHERE abs(p.lat - a.lat) < 0.1::DOUBLE AND abs(p.long - a.long) < 0.1::DOUBLE)
+        WHERE abs(u1 - u2) + abs(diff) > 0)"""]
+    for k in range(rounds):
+        ctes += [f"""a{k} AS (SELECT *, sqrt(pow(cu2 * sin(lam), 2) + pow(cu1 * su2 - su1 * cu2 * cos(lam), 2)) AS ss,
+                   su1 * su2 + cu1 * cu2 * cos(lam) AS cs FROM g{k})""",
+                 f"b{k} AS (SELECT *, atan2(ss, cs) AS sigma, cu1 * cu2 * sin(lam) / ss AS sa FROM a{k})",
+                 f"c{k} AS (SELECT *, 1 - sa * sa AS c2a, cs - 2 * su1 * su2 / (1 - sa * sa) AS c2m FROM b{k})",
+                 f"d{k} AS (SELECT *, {f} / 16 * c2a * (4 + {f} * (4 - 3 * c2a)) AS c FROM c{k})"]
+        if k < rounds - 1:
+            ctes.append(f"""g{k + 1} AS (SELECT venue_id, article_id, su1, cu1, su2, cu2, diff, diff + (1 - c) * {f} * sa * (sigma + c * ss *
+                (c2m + c * cs * (2 * c2m * c2m - 1))) AS lam FROM d{k})""")
+    ctes += [f"e AS (SELECT *, c2a * ({a} * {a} - {b} * {b}) / ({b} * {b}) AS k FROM d{rounds - 1})",
+             """h AS (SELECT *, 1 + k / 16384 * (4096 + k * (-768 + k * (320 - 175 * k))) AS big,
+                k / 1024 * (256 + k * (-128 + k * (74 - 47 * k))) AS small FROM e)""",
+             f"""geo AS (SELECT * FROM (SELECT venue_id, article_id, {b} * big * (sigma - small * ss * (c2m + small / 4 * (cs * (2 * c2m * c2m - 1)
+                - small / 6 * c2m * (4 * ss * ss - 3) * (4 * c2m * c2m - 3)))) AS dist FROM h) WHERE dist < {metres})"""]
+    return ctes
+
+
 SQL = {
     "rect_neighbours": chain(w("", "probes", "places"), _near, "SELECT venue_id, place_id FROM near"),
     "radius_join": chain(w("", "probes", "v_articles"), _in_range(500),
@@ -84,6 +110,7 @@ SQL = {
         {uniform('c_custkey', 'lat1')} * 170::DOUBLE - 85::DOUBLE AS a, {uniform('c_custkey', 'long1')} * 360::DOUBLE - 180::DOUBLE AS b,
         {uniform('c_custkey', 'lat2')} * 170::DOUBLE - 85::DOUBLE AS c, {uniform('c_custkey', 'long2')} * 360::DOUBLE - 180::DOUBLE AS d
         FROM customer)""",
+    "geodesic_distance": chain(w("", "probes", "v_articles"), *_geodesic(500), "SELECT venue_id, article_id, round(dist, 6) AS dist FROM geo"),
     "distance_weights": chain(w("", "probes", "v_articles"), _in_range(500), """SELECT venue_id, article_id, round(b, 6) AS w_linear,
         round(b * b * b, 6) AS w_cubic, round(1 - exp(-pow(b + 0.3::DOUBLE, 6)), 6) AS w_tanh
         FROM (SELECT *, 1 - dist / 500::DOUBLE AS b FROM inr)"""),

@@ -7,7 +7,7 @@ from placelens.plans import all_queries
 from tests.oracle_check import ROOT, differences, duck
 
 SF = f"{ROOT}/sf0.001"
-ROWS_ONLY = {"geodesic_distance", "fit_ols", "fit_lasso", "fit_ridge", "fit_svr_rff", "cross_validation", "soos_validation",
+ROWS_ONLY = {"fit_ols", "fit_lasso", "fit_ridge", "fit_svr_rff", "cross_validation", "soos_validation",
              "feature_ranking", "feature_sweep"}
 
 
