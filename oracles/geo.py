@@ -110,7 +110,7 @@ SQL = {
         {uniform('c_custkey', 'lat1')} * 170::DOUBLE - 85::DOUBLE AS a, {uniform('c_custkey', 'long1')} * 360::DOUBLE - 180::DOUBLE AS b,
         {uniform('c_custkey', 'lat2')} * 170::DOUBLE - 85::DOUBLE AS c, {uniform('c_custkey', 'long2')} * 360::DOUBLE - 180::DOUBLE AS d
         FROM customer)""",
-    "geodesic_distance": chain(w("", "probes", "v_articles"), *_geodesic(500), "SELECT venue_id, article_id, round(dist, 6) AS dist FROM geo"),
+    "geodesic_distance": chain(w("", "probes", "v_articles"), *_geodesic(500), "SELECT venue_id, article_id, round(dist, 4) AS dist FROM geo"),
     "distance_weights": chain(w("", "probes", "v_articles"), _in_range(500), """SELECT venue_id, article_id, round(b, 6) AS w_linear,
         round(b * b * b, 6) AS w_cubic, round(1 - exp(-pow(b + 0.3::DOUBLE, 6)), 6) AS w_tanh
         FROM (SELECT *, 1 - dist / 500::DOUBLE AS b FROM inr)"""),
