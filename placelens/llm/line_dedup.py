@@ -17,13 +17,15 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from placelens.llm.common import (ASCII_SPACE, Forest, LOWER, _BYTE_CODES, broadcast_if_small, distinct, expand, mix, randoms,
+from placelens.llm.common import (ASCII_SPACE, LOWER, _BYTE_CODES, broadcast_if_small, distinct, expand, mix, randoms,
                                   record_batch, signed, slices, span_hashes, spans, stage, table, text_bytes)
 from placelens.llm.groups import candidate_pairs, link_groups
+from placelens.llm.vectors import local_components
 
 Q = 8
 SIMILAR = (80, 100)
 BANDS, ROWS = 20, 4
+COLUMNS = 8192         # tokens of one block of the overlap product
 SENT = 1_000_000       # as many keys of candidate lines at most are sent to the tasks; more are joined by a shuffle
 SLICE = 1 << 18       # bytes of text that a task works on at once; the arrays take some hundred times as much
 
@@ -101,42 +103,35 @@ def _sets(lines):
     return [distinct(hashes[a:b]) for a, b in zip((stop - count).tolist(), stop.tolist())]
 
 
-def similar(x, y):
+def similar_pairs(sets):
+    """Boolean matrix of the pairs of sets that are similar: exact overlaps as products of blocks of a token matrix."""
     num, den = SIMILAR
-    x, y = (x, y) if len(x) <= len(y) else (y, x)
-    if len(x) * den < num * len(y):
-        return False
-    at = np.searchsorted(y, x)
-    at[at == len(y)] = 0
-    both = int(np.count_nonzero(y[at] == x))
-    return both * den >= num * (len(x) + len(y) - both)
+    size = np.array([len(x) for x in sets])
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    names, token, count = np.unique(flat, return_inverse=True, return_counts=True)
+    number = np.cumsum(count > 1) - 1                 # tokens of one set only are in no overlap
+    shared = count[token] > 1
+    token, owner = number[token[shared]], owner[shared]
+    order = np.argsort(token, kind="stable")
+    token, owner = token[order], owner[order]
+    both = np.zeros((len(sets), len(sets)))
+    for first in range(0, int((count > 1).sum()), COLUMNS):
+        a, b = np.searchsorted(token, [first, first + COLUMNS])
+        part = np.zeros((len(sets), COLUMNS), np.float32)
+        part[owner[a:b], token[a:b] - first] = 1
+        both += part @ part.T
+    return (both > 0) & (both * den >= num * (size[:, None] + size[None, :] - both))
 
 
 def block_links(left, right):
-    """Links that connect whatever is similar in `left`, or between left and right: exact, pair by pair in order of size."""
-    lines, known = [*left[0], *(right[0] if right else [])], [*left[1], *(right[1] if right else [])]
-    number = {}
-    start = [number.setdefault(c, len(number)) for c in known]
-    sets, forest, links = _sets(lines), Forest(len(number)), []
-    num, den = SIMILAR
-
-    def test(i, j):
-        if forest.root(start[i]) != forest.root(start[j]) and similar(sets[i], sets[j]):
-            forest.join(start[i], start[j])
-            links.append((i, j))
-
-    if right is None:
-        for j in range(1, len(lines)):
-            test(0, j)
-    a = sorted(range(len(left[0])), key=lambda i: len(sets[i]))
-    b = sorted(range(len(left[0]), len(lines)), key=lambda i: len(sets[i])) if right else a
-    sizes = np.array([len(sets[i]) for i in b])
-    for p, i in enumerate(a):
-        low = p + 1 if right is None else int(np.searchsorted(sizes, -(-len(sets[i]) * num // den), "left"))
-        high = int(np.searchsorted(sizes, len(sets[i]) * den // num, "right"))
-        for j in b[low:high]:
-            test(i, j)
-    return links
+    """Index pairs that connect whatever is similar in `left`, or between left and right, and not yet in one component."""
+    lines, known = [*left[0], *(right[0] if right else [])], np.array([*left[1], *(right[1] if right else [])])
+    links = similar_pairs(_sets(lines))
+    if right is not None:
+        side = np.arange(len(lines)) < len(left[0])
+        links &= side[:, None] != side[None, :]
+    root = local_components(links | (known[:, None] == known[None, :]))
+    return [(i, j) for i, j in enumerate(root.tolist()) if known[i] != known[j]]
 
 
 # ---- operator ----------------------------------------------------------------------------------------------------
@@ -163,7 +158,9 @@ def line_components(texts):
                 data, _, _, start, end, key = lines_of(part.column(1))
                 key, once = np.unique(signed(key), return_index=True)
                 if sent.value is not None:
-                    asked = np.isin(key, sent.value)
+                    at = np.searchsorted(sent.value, key)
+                    at[at == len(sent.value)] = 0
+                    asked = sent.value[at] == key if len(sent.value) else np.zeros(len(key), bool)
                     key, once = key[asked], once[asked]
                 raw = data.tobytes()
                 yield record_batch(LINES, key, [raw[start[i]:end[i]].decode() for i in once.tolist()])
