@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from placelens.session import shared_dir
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15                       # odd, so it has an inverse modulo 2^64
 _INVERSE = pow(_BASE, -1, 1 << 64)

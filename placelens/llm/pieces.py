@@ -26,7 +26,7 @@ from placelens.llm.common import ChunkCache, _BYTE_CODES, expand, slices, span_h
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 UNKNOWN_PENALTY = 10.0
-SIZE = 4 << 20
+SIZE = 1 << 20
 
 
 def _varint(raw, i):
