@@ -1,14 +1,16 @@
-"""Embedding near-dedup by sorted projection passes.
+"""Embedding near-dedup by projection buckets, joined whole.
 
-Vectors of one label link at a cosine (double precision) of 0.98 or more. A pass orders the vectors of each label by their
-concatenated random hashes, the signs of random projections, and compares each with its neighbours at a distance of up to
-WINDOW and more; hits are verified by the exact cosine and united across passes by union-find. The number of passes follows
-from the largest label: a pair at the threshold is missed by all of them with probability MISS or less.
+Vectors of one label link at a cosine (double precision) of 0.98 or more. A label of up to WHOLE vectors is one bucket. In a
+larger one each pass deals the vectors by the signs of `prefix_bits` random projections; a bucket holds all vectors of equal
+signs, however many, and all its pairs are looked at. So a pair at the threshold is missed only if no pass gives it equal
+signs, whose probability is MISS or less for any data: density costs time, it loses no pair. Hits are verified by the exact cosine
+and united across buckets by union-find.
 
-Windows are bounded, so of a dense group a window sees a part only; that is enough for its component. The number of links is
-then counted exactly inside each component: members within half the threshold angle of the component's mean direction link
-with each other by the triangle inequality and are counted, not compared; each remaining member meets all members of its
-component in blocks, one matrix product each. Pairs are never rows.
+Buckets are joined in blocks of bounded size: first inside each block, which also holds about GUESTS vectors that all blocks
+of the bucket share; then, in buckets of several blocks that are not one component yet, every vector outside the largest
+component meets all vectors of the bucket. Links are then counted exactly inside each component: members within half the
+threshold angle of the component's mean direction link with each other by the triangle inequality and are counted, not
+compared; each remaining member meets all members of its component in blocks, one matrix product each. Pairs are never rows.
 
 Equal vectors of a label are compared once. Null, zero and non-finite vectors, null components and null labels link with
 nothing, nor do vectors of different length. Rows of one id are one vector: repeated rows get the same result. A null id is
@@ -25,7 +27,10 @@ from placelens.llm.common import PAIR, broadcast_if_small, components, record_ba
 from placelens.llm.groups import runs
 
 LINK = 0.98
-WINDOW = 128          # neighbours that are compared for certain, on either side
+WHOLE = 65_536        # a label of so many vectors is joined whole, in one pass
+BUCKET = 2048         # vectors of a bucket, if the signs were independent
+NUMBERS = 1 << 18     # of the vectors of a block
+GUESTS = 64
 MISS = 1e-9
 AT_ONCE = 8           # passes that share one job and its disk space
 PROBES, MEMBERS = 256, 1024
@@ -33,11 +38,15 @@ PROBES, MEMBERS = 256, 1024
 _ANGLE = acos(LINK)
 
 
-def passes_needed(largest):
-    """Passes until a pair at the threshold is within one window with probability 1 - MISS, for a label of this many vectors."""
-    same = 1 - _ANGLE / pi
-    hit = same ** (max(0.0, log2(max(largest, 1) / WINDOW)) + 2)
-    return ceil(log(MISS) / log(1 - hit))
+def prefix_bits(n):
+    """Signs that make a bucket, for a label of n vectors."""
+    return 0 if n <= WHOLE else ceil(log2(n / BUCKET))
+
+
+def passes_needed(n):
+    """Passes until a pair at the threshold shares a bucket with probability 1 - MISS, for a label of n vectors, of any density."""
+    hit = (1 - _ANGLE / pi) ** prefix_bits(n)
+    return 1 if hit == 1 else ceil(log(MISS) / log(1 - hit))
 
 
 def matrix(column):
@@ -47,10 +56,10 @@ def matrix(column):
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def hash_keys(x, number):
-    """63 sign bits of random projections of pass `number`, the first one highest."""
-    planes = np.random.default_rng([number, x.shape[1]]).standard_normal((x.shape[1], 63))
-    return ((x @ planes) > 0) @ (1 << np.arange(62, -1, -1, dtype=np.int64))
+def bucket_keys(x, number, bits):
+    """Sign bits of `bits` random projections of pass `number`."""
+    planes = np.random.default_rng([number, x.shape[1]]).standard_normal((x.shape[1], 63))[:, :bits]
+    return ((x @ planes) > 0) @ (1 << np.arange(bits, dtype=np.int64))
 
 
 def by_length(batch, column):
@@ -88,53 +97,113 @@ def distinct_vectors(embeddings):
     return vectors, members
 
 
-def window_edges(vectors, numbers):
-    """Edges that connect what links within the windows of the passes `numbers`."""
-    spark = vectors.sparkSession
+def cell_edges(left, right):
+    """Edges (two arrays of items) that connect whatever links between left and right, pairs of (items, unit vectors)."""
+    (a, x), (b, y) = left, right
+    links = np.zeros((len(a), len(b)), bool)
+    for k in range(0, len(a), 256):
+        links[k:k + 256] = x[k:k + 256] @ y.T >= LINK
+        links[k:k + 256] |= a[k:k + 256, None] == b[None, :]
+    rows = np.flatnonzero((links & (a[:, None] != b[None, :])).any(axis=1))
+    links, a = links[rows], a[rows]
+    columns = np.flatnonzero(links.any(axis=0))
+    links, b = links[:, columns], b[columns]
+    if not len(a):
+        return a, a
+    n = len(a)
+    row = np.arange(n, dtype=np.int32)
+    while True:                                        # smallest row that reaches each column, each row
+        column = np.where(links, row[:, None], np.int32(n)).min(axis=0)
+        low = np.where(links, column[None, :], np.int32(n)).min(axis=1)
+        low = np.minimum(low, row)
+        low = low[low]
+        if (low == row).all():
+            break
+        row = low
+    one, two = np.concatenate([a, b]), np.concatenate([a[row], a[column]])
+    return one[one != two], two[one != two]
+
+
+_KEY = ["pass", "label", "dim", "key"]
+
+
+def _cells(rows, vectors):
+    """Edges found in the cells of `rows`: bucket, i, j, side, item. Sides 0 and 1 meet; a cell without side 1 meets itself."""
+    def meet(batches):
+        for run in runs(batches, 6):
+            side, item = (run.column(k).combine_chunks().to_numpy() for k in (6, 7))
+            x = matrix(run.column(8))
+            left, right = ((item[side == s], x[side == s]) for s in (0, 1))
+            a, b = cell_edges(left, right if len(right[0]) else left)
+            if len(a):
+                yield record_batch(PAIR, a, b)
+
+    cell = [*_KEY, "i", "j"]
+    rows = rows.join(vectors.select("item", "v"), "item").select(*cell, "side", "item", "v")
+    return rows.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(meet, "a long, b long").distinct()
+
+
+def dealt(vectors):
+    """(table of bucket, blocks, item, one row of each pass of each vector; number of passes). Buckets of one vector are left out."""
+    size = vectors.groupBy("label", F.size("v").alias("dim")).agg(F.count("*").alias("n"))
+    largest = size.agg(F.max("n")).first()[0] or 0
+    known = vectors.withColumn("dim", F.size("v")).join(broadcast_if_small(size), ["label", "dim"]).select("label", "dim", "item", "n", "v")
 
     def keys(batches):
         for batch in batches:
             for part in by_length(batch, "v"):
-                x = matrix(part.column(2))
-                for k in numbers:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(x), k, np.int32)), pa.array(hash_keys(x, k)), *part.columns[:3]],
-                        names=["pass", "key", "item", "label", "v"])
+                n = part.column(3).to_numpy()
+                for each in np.unique(n).tolist():
+                    some = part.filter(pa.array(n == each))
+                    x = matrix(some.column(4))
+                    for k in range(passes_needed(each)):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(len(x), k, np.int32)), some.column(0), some.column(1),
+                             pa.array(bucket_keys(x, k, prefix_bits(each))), some.column(2)], names=[*_KEY, "item"])
 
     label = vectors.schema["label"].dataType.simpleString()
-    ddl = f"pass int, key long, item long, label {label}, v array<double>"
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = ["pass", "label", "key", "item"]
-    rows = vectors.mapInArrow(keys, ddl).repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    rows = rows.select("item", "label", "v", F.monotonically_increasing_id().alias("at"))
-    rows, _ = stage(rows, "order")
-    # place in the whole order: rows of earlier partitions (one number for each partition) and place in the own one
-    part, within = F.shiftrightunsigned("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = sorted(rows.groupBy(part.alias("p")).count().collect())
-    before = dict(zip((p for p, _ in counts), np.cumsum([0] + [n for _, n in counts]).tolist()))
-    if not before:
-        return spark.createDataFrame([], "a long, b long")
-    offsets = F.broadcast(spark.createDataFrame(list(before.items()), "p long, offset long"))   # one row per partition
-    block = F.floor((F.col("offset") + within) / WINDOW).cast("long")
-    rows = rows.join(offsets, part == F.col("p")).select("item", "label", "v", F.explode(F.array(
-        F.struct(block.alias("block"), F.lit(0).alias("guest")), F.struct((block + 1).alias("block"), F.lit(1).alias("guest")))).alias("b"))
-    rows = rows.select("b.block", "b.guest", "item", "label", "v")
-
-    def compare(batches):
-        for run in runs(batches, 1):
-            for part in by_length(run.combine_chunks().to_batches()[0], "v"):
-                guest, item, labels = (part.column(k).to_numpy(zero_copy_only=False) for k in (1, 2, 3))
-                if guest.all():
-                    continue
-                x = matrix(part.column(4))
-                links = (x @ x.T >= LINK) & (labels[:, None] == labels[None, :])
-                links &= ~((guest[:, None] == 1) & (guest[None, :] == 1))
-                root = local_components(links)
-                other = item != item[root]
-                if other.any():
-                    yield record_batch(PAIR, item[other], item[root[other]])
-
-    return rows.repartition("block").sortWithinPartitions("block").mapInArrow(compare, "a long, b long").distinct()
+    rows, _ = stage(known.mapInArrow(keys, f"pass int, label {label}, dim int, key long, item long"), "dealt")
+    per = F.greatest(F.floor(F.lit(NUMBERS) / F.col("dim")), F.lit(1))
+    count = rows.groupBy(*_KEY).agg(F.count("*").alias("size")).where("size > 1")
+    count = count.withColumn("blocks", F.ceil(F.col("size") / per).cast("int"))
+    return stage(rows.join(count, _KEY), "buckets")[0], passes_needed(largest)
+
+
+def bucket_edges(vectors):
+    """Edges that connect all that links inside the buckets of all passes."""
+    rows, total = dealt(vectors)
+    block = F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int")
+    guest = F.pmod(F.xxhash64("item", F.lit(2)), F.greatest(F.floor(F.col("size") / GUESTS), F.lit(1))) == 0
+    inside = rows.withColumn("i", F.explode(F.when(
+        (F.col("blocks") > 1) & guest, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(block))))
+    inside = inside.withColumns({"j": F.col("i"), "side": F.lit(0)})
+    edges = None
+    for first in range(0, total, AT_ONCE):
+        some, _ = stage(_cells(inside.where((F.col("pass") >= first) & (F.col("pass") < first + AT_ONCE)), vectors), "block-links")
+        edges = some if edges is None else edges.union(some)
+    large = rows.where("blocks > 1")
+    if large.isEmpty():
+        return edges
+    found, _ = stage(components(edges), "components")
+    found = broadcast_if_small(found.select(F.col("node").alias("item"), "component"))
+    large, _ = stage(large.join(found, "item", "left").withColumn("component", F.coalesce("component", "item")), "large")
+    most = large.groupBy(*_KEY, "component").agg(F.count("*").alias("n")).groupBy(*_KEY).agg(
+        F.max_by("component", F.struct("n", "component")).alias("most"), F.max("n").alias("inner"), F.sum("n").alias("all"))
+    most = most.where("inner < all")
+    per = F.greatest(F.floor(F.lit(NUMBERS) / F.col("dim")), F.lit(1))
+    most = most.withColumns({"outer": F.ceil((F.col("all") - F.col("inner")) / per).cast("int"), "inner": F.ceil(F.col("inner") / per).cast("int")})
+    open_ = large.join(most, _KEY)
+    # blocks 0 .. outer - 1 are of vectors outside the largest component, the others of it; two of these never meet
+    outside = F.col("component") != F.col("most")
+    b = F.when(outside, F.pmod(F.xxhash64("item"), F.col("outer"))).otherwise(
+        F.col("outer") + F.pmod(F.xxhash64("item"), F.col("inner"))).cast("int")
+    to = F.sequence(F.lit(0), F.when(outside, F.col("outer") + F.col("inner")).otherwise(F.col("outer")) - 1)
+    across = open_.withColumn("b", b).withColumn("to", F.explode(to)).withColumns({
+        "i": F.least("b", "to"), "j": F.greatest("b", "to"), "side": (F.col("b") > F.col("to")).cast("int")})
+    for first in range(0, total, AT_ONCE):
+        some, _ = stage(_cells(across.where((F.col("pass") >= first) & (F.col("pass") < first + AT_ONCE)), vectors), "links")
+        edges = edges.union(some)
+    return edges
 
 
 def count_links(vectors, found):
@@ -210,12 +279,7 @@ def count_links(vectors, found):
 def near_duplicates(embeddings):
     """vec_id, n_links, component_id, kept of every row of `embeddings` (vec_id, embedding, label)."""
     vectors, members = distinct_vectors(embeddings)
-    largest = vectors.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    total = passes_needed(largest)
-    edges = None
-    for first in range(0, total, AT_ONCE):
-        found, _ = stage(window_edges(vectors, list(range(first, min(first + AT_ONCE, total)))), "window-links")
-        edges = found if edges is None else edges.union(found)
+    edges = bucket_edges(vectors)
     found, _ = stage(components(edges), "components")
     counts = count_links(vectors, found)
     info = vectors.select("item", "copies").join(found, F.col("item") == F.col("node"), "left").drop("node").join(counts, "item", "left")

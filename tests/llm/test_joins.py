@@ -176,6 +176,34 @@ def test_vector_dedup(spark, monkeypatch):
     assert vectors.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("whole", [vectors.WHOLE, 600])
+def test_vector_dedup_of_dense_groups(spark, monkeypatch, whole):
+    """A hub whose members link with it only, and twins among vectors that are all near each other; also across blocks and passes."""
+    monkeypatch.setattr(vectors, "WHOLE", whole)
+    monkeypatch.setattr(vectors, "BUCKET", 150)
+    monkeypatch.setattr(vectors, "NUMBERS", 64 * 256)
+    rng = np.random.default_rng(5)
+
+    def around(centre, cosine, n):
+        d = rng.normal(size=(n, 64))
+        d -= np.outer(d @ centre, centre)
+        return cosine * centre + np.sqrt(1 - cosine ** 2) * d / np.linalg.norm(d, axis=1, keepdims=True)
+
+    hub, middle = np.linalg.qr(rng.normal(size=(64, 2)))[0].T
+    spokes = around(hub, 0.983, 1500)
+    twins = around(middle, np.sqrt(0.9), 1000)
+    other = np.array([around(v, 0.99, 1)[0] for v in twins])
+    x = np.concatenate([[hub], spokes, twins, other])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    links = x @ x.T >= 0.98
+    np.fill_diagonal(links, False)
+    want = roots(range(len(x)), zip(*(k.tolist() for k in np.nonzero(np.triu(links)))))
+    df = spark.createDataFrame([(k, v, 0) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int")
+    got = vectors.near_duplicates(df).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(k, int(links[k].sum()), want[k]) for k in range(len(x))]
+    assert len(set(want.values())) > 900
+
+
 def test_passes_grow_slowly():
     assert [vectors.passes_needed(n) for n in (1, 10**4, 10**9)] == sorted(vectors.passes_needed(n) for n in (1, 10**4, 10**9))
     assert vectors.passes_needed(10**9) < 150
