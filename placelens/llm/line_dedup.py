@@ -22,7 +22,7 @@ from placelens.llm.common import (ASCII_SPACE, LOWER, _BYTE_CODES, broadcast_if_
 from placelens.llm.groups import candidate_pairs, link_groups
 from placelens.llm.vectors import local_components
 
-Q = 8
+Q = 4                  # one changed character leaves lines of 39 characters and more similar
 SIMILAR = (80, 100)
 BANDS, ROWS = 20, 4
 COLUMNS = 8192         # tokens of one block of the overlap product

@@ -131,6 +131,19 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(cases.table(spark, []).limit(0)).count() == 0
 
 
+def test_line_dedup_finds_one_changed_character(spark):
+    """Lines of 45 to 75 characters with one character inside changed, at any place."""
+    rng = random.Random(6)
+    rows = []
+    for k in range(186):
+        line = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(45 + k // 6))
+        line = "x" + line[1:-1] + "y"
+        at = rng.randrange(4, len(line) - 4)
+        rows += [(2 * k, line), (2 * k + 1, line[:at] + "#" + line[at + 1:])]
+    got = {r.doc_id: r["__kept"] for r in line_dedup.dedup_lines(cases.table(spark, rows)).collect()}
+    assert got == {i: 1 - i % 2 for i, _ in rows}
+
+
 def brute_vectors(rows):
     valid = {}
     for i, v, label in rows:
