@@ -3,8 +3,12 @@
 Each fixed mask looks at a window of words and ignores some places, so a substituted word under an ignored place leaves the
 hash as it was. Hashes of all windows of the documents meet those of the benchmark; around every hit, along its alignment,
 the documents' words are compared with the item's, and an overlap counts if some stretch of at least RUN words (or the whole
-item, if it has fewer words) agrees in SHARE of its words or more, ends included. Items shorter than the masks are looked up
-whole, word by word, by one hash of all their words.
+item, if it has fewer words) agrees in SHARE of its words or more, ends included.
+
+The masks lose no such overlap. Between k differing words of a stretch lie at least 4 k agreeing ones in k + 1 runs, so one run
+has 4 words, but for three differing words in 15 (runs of 3 3 3 3), where the second mask fits. Whole items of 5 to 12 words
+have a run of 3, but for one differing word amid 5 words; items of up to 4 words must agree whole. So small masks meet much
+by chance: before the comparison, a hit must have as many agreeing words near it on its alignment as any overlap has.
 
 Words are runs of ASCII letters, digits and non-ASCII characters, ASCII letters in lower case, compared by 64-bit hash. The
 benchmark side is cut into slices of at most SLICE_WORDS words; each slice is sent to the tasks and meets all documents, so
@@ -20,9 +24,12 @@ from pyspark.sql import functions as F
 
 from placelens.llm.common import PUNCTUATION, mix, randoms, record_batch, slices, table, text_bytes, words
 
-#: Places that count, of windows of 11 words; chosen so that any two substitutions a few words apart leave one mask whole.
-MASKS = ("11111111", "11011101011", "11101011011")
+#: Places that count, for items of RUN words and more; for shorter items, and for items of five words
+MASKS = ("1111", "1110111")
+SHORT_MASKS, FIVE_MASKS = ("111",), ("11011",)
 RUN = 13
+NEAR = 24             # words on either side of a hit that the first comparison reads: a stretch of 13 to 25 words holds the hit
+AT_ONCE = 1 << 16     # hits compared at once
 SHARE = 0.8
 SLICE_WORDS = 2_000_000
 FILTER_BITS = 22
@@ -56,17 +63,18 @@ class Benchmark:
         self.ids = [i for i, _ in items]
         self.words, _, _, self.bounds = words(*text_bytes(pa.array([t for _, t in items], pa.string())), separator=PUNCTUATION)
         self.length = np.diff(self.bounds)
-        shortest = min(map(len, MASKS))
-        self.masks = [(mask, k) for k, mask in enumerate(MASKS)]
-        self.masks += [("1" * int(n), 100 + int(n)) for n in np.unique(self.length) if 0 < n < shortest]
+        self.masks = [(mask, low, high) for masks, low, high in (
+            (MASKS, RUN, np.inf), (SHORT_MASKS, 5, RUN - 1), (FIVE_MASKS, 5, 5), *((("1" * n,), n, n) for n in range(1, 5)))
+            for mask in masks if ((self.length >= low) & (self.length <= high)).any()]
         self.tables, self.filter = [], np.zeros(1 << FILTER_BITS, bool)
-        for mask, k in self.masks:
+        for k, (mask, low, high) in enumerate(self.masks):
             h = seed_hashes(self.words, mask, k)
             at = np.arange(len(h))
             row = _rows_of(at, self.bounds, len(mask)) if len(h) else at
             ok = row >= 0
-            if k >= 100:
-                ok &= self.length[np.maximum(row, 0)] == len(mask)
+            if len(h):
+                n = self.length[np.maximum(row, 0)]
+                ok &= (n >= low) & (n <= high)
             h, at = h[ok], at[ok]
             order = np.argsort(h, kind="stable")
             self.tables.append((h[order], at[order]))
@@ -98,11 +106,25 @@ def _best_stretch(agree, least):
     return best
 
 
+def _promising(hashes, bounds, bench, at, row, w):
+    """(row, item, shift) of the hits (word of the documents, its row, word of the benchmark) that may lie in an overlap."""
+    item = np.searchsorted(bench.bounds, w, "right") - 1
+    back = np.minimum(np.minimum(at - bounds[row], w - bench.bounds[item]), NEAR)
+    ahead = np.minimum(np.minimum(bounds[row + 1] - at, bench.bounds[item + 1] - w), NEAR + 1)
+    agree = np.zeros(len(at), np.int64)
+    for j in range(-NEAR, NEAR + 1):
+        ok = np.flatnonzero((j >= -back) & (j < ahead))
+        agree[ok] += hashes[at[ok] + j] == bench.words[w[ok] + j]
+    keep = agree >= SHARE * np.minimum(bench.length[item], RUN) - 1e-9
+    at, row, w, item = at[keep], row[keep], w[keep], item[keep]
+    return zip(row.tolist(), item.tolist(), (at - bounds[row] - w + bench.bounds[item]).tolist())
+
+
 def find_hits(column, bench):
     """(row, item number, matched, length, document word, item word), one best overlap for each row and item."""
     hashes, _, _, bounds = words(*text_bytes(column), separator=PUNCTUATION)
     diagonals = set()
-    for (mask, k), (known, where) in zip(bench.masks, bench.tables):
+    for k, ((mask, _, _), (known, where)) in enumerate(zip(bench.masks, bench.tables)):
         h = seed_hashes(hashes, mask, k)
         maybe = np.flatnonzero(bench.filter[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)]) if len(h) else np.zeros(0, int)
         if not len(maybe) or not len(known):
@@ -110,10 +132,12 @@ def find_hits(column, bench):
         row = _rows_of(maybe, bounds, len(mask))
         maybe, row = maybe[row >= 0], row[row >= 0]
         low, high = np.searchsorted(known, h[maybe], "left"), np.searchsorted(known, h[maybe], "right")
-        for at, r, a, b in zip(*(x[high > low].tolist() for x in (maybe, row, low, high))):
-            for w in where[a:b].tolist():
-                item = int(np.searchsorted(bench.bounds, w, "right")) - 1
-                diagonals.add((r, item, at - int(bounds[r]) - (w - int(bench.bounds[item]))))
+        maybe, row, low, count = (x[high > low] for x in (maybe, row, low, high - low))
+        total = np.concatenate([[0], np.cumsum(count)])
+        for first in range(0, int(total[-1]), AT_ONCE):
+            at = np.arange(first, min(first + AT_ONCE, int(total[-1])))
+            hit = np.searchsorted(total, at, "right") - 1
+            diagonals.update(_promising(hashes, bounds, bench, maybe[hit], row[hit], where[low[hit] + at - total[hit]]))
     best = {}
     for r, item, shift in diagonals:
         doc, text = hashes[bounds[r]:bounds[r + 1]], bench.words[bench.bounds[item]:bench.bounds[item + 1]]

@@ -206,6 +206,35 @@ def test_token_files(spark, monkeypatch):
 
 # ---- decontamination ---------------------------------------------------------------------------------------------
 
+def _enumerated(n, first, last):
+    """All choices of as many differing places of n words, first <= place < last, as 80 % agreement allows."""
+    from itertools import combinations
+    return combinations(range(first, last), n // 5)
+
+
+def test_masks_meet_every_stretch():
+    """A longer stretch holds one of 13 to 25 words that agrees in 80 %, ends perhaps not."""
+    for n in range(13, 26):
+        at = [[sum(1 << (i + j) for j, c in enumerate(m) if c == "1") for i in range(n - len(m) + 1)] for m in decontamination.MASKS]
+        at = [x for some in at for x in some]
+        for differ in _enumerated(n, 0, n):
+            bad = sum(1 << i for i in differ)
+            assert any(not x & bad for x in at), (n, differ)
+
+
+@pytest.mark.parametrize("n", [1, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 15, 20])
+def test_every_substitution_is_found(n):
+    item = [f"item{k}" for k in range(n)]
+    docs = []
+    for differ in _enumerated(n, 1, n - 1):
+        docs.append(" ".join(["before"] * 5 + [f"other{k}" if k in differ else w for k, w in enumerate(item)] + ["after"] * 5))
+    bench = decontamination.Benchmark([(1, "unrelated words of some other item " * 3), (2, " ".join(item))])
+    got = decontamination.find_hits(pa.array(docs), bench)
+    assert got == [(k, 1, n - n // 5, n, 5, 0) for k in range(len(docs))] and docs
+    one_more = " ".join(f"other{k}" if k % 2 else w for k, w in enumerate(item))
+    assert n == 1 or decontamination.find_hits(pa.array([one_more]), bench) == []
+
+
 def plain_stretch(agree, least):
     on = [i for i, x in enumerate(agree) if x]
     return max((j - i + 1 for i in on for j in on if j - i + 1 >= least and Fraction(sum(agree[i:j + 1]), j - i + 1) >= Fraction(8, 10)), default=None)
