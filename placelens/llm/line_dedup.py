@@ -8,7 +8,8 @@ group, in which exact similarities are taken in blocks; links make components by
 line number) stays, all others go. ROWS should grow with the logarithm of the corpus, so that unrelated lines seldom meet.
 
 Blank lines take no part and stay. Rows with null id or null text are left as they are. Repeated rows of one id and text are
-alike: they keep the same lines. A text of which nothing is left becomes empty; n_kept then is 0. An empty table gives an
+alike: they keep the same lines. Different texts of one id are known apart by the texts' hash, which orders them where id and
+line number are the same. A text of which nothing is left becomes empty; n_kept then is 0. An empty table gives an
 empty result; extra columns are carried along.
 """
 
@@ -31,7 +32,7 @@ SLICE = 1 << 18       # bytes of text that a task works on at once; the arrays t
 
 SIGNATURES = pa.schema([("sig", pa.int64()), ("item", pa.int64())])
 LINES = pa.schema([("item", pa.int64()), ("payload", pa.string())])
-OCCURRENCES = pa.schema([("item", pa.int64()), ("doc_id", pa.int64()), ("line", pa.int32())])
+OCCURRENCES = pa.schema([("item", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("line", pa.int32())])
 
 _FACTORS = (randoms(BANDS * ROWS, 77) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
@@ -172,31 +173,34 @@ def line_components(texts):
 
 
 def removed_lines(texts):
-    """doc_id and line (number from 0) of every line that a similar or equal earlier one stands for."""
+    """doc_id, text_hash and line (number from 0) of every line that a similar or equal earlier one stands for."""
     def occur(batches):
         for batch in batches:
             for part in slices(batch, size=SLICE):
                 _, row, number, _, _, key = lines_of(part.column(1))
-                yield record_batch(OCCURRENCES, signed(key), part.column(0).to_numpy()[row], number.astype(np.int32))
+                yield record_batch(OCCURRENCES, signed(key), part.column(0).to_numpy()[row],
+                                   part.column(2).to_numpy()[row], number.astype(np.int32))
 
-    seen, _ = stage(texts.mapInArrow(occur, "item long, doc_id long, line int"), "lines")
+    seen, _ = stage(texts.mapInArrow(occur, "item long, doc_id long, text_hash long, line int"), "lines")
     found = line_components(texts)
     seen = seen.join(broadcast_if_small(found), F.col("item") == F.col("node"), "left").select(
-        F.coalesce("component", "item").alias("line_class"), "doc_id", "line")
+        F.coalesce("component", "item").alias("line_class"), "doc_id", "text_hash", "line")
     seen, _ = stage(seen, "line-classes")
-    first = seen.groupBy("line_class").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"))
-    first = first.where("n > 1").select("line_class", F.col("first.doc_id").alias("d"), F.col("first.line").alias("l"))
-    return seen.join(first, "line_class").where("doc_id != d OR line != l").select("doc_id", "line").distinct()
+    first = seen.groupBy("line_class").agg(F.min(F.struct("doc_id", "line", "text_hash")).alias("first"), F.count("*").alias("n"))
+    first = first.where("n > 1").select("line_class", F.col("first.doc_id").alias("d"), F.col("first.line").alias("l"), F.col("first.text_hash").alias("h"))
+    return seen.join(first, "line_class").where("doc_id != d OR line != l OR text_hash != h").select(
+        "doc_id", "text_hash", "line").distinct()
 
 
 def dedup_lines(documents, broadcast_lines=1_000_000):
     """`documents` with the removed lines taken out of `text`; columns __lines and __kept tell how many there were and stay."""
-    texts = documents.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
+    texts = documents.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     removed, _ = stage(removed_lines(texts), "removed")
-    gone = removed.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list("line").alias("__gone"))
+    gone = removed.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.collect_list("line").alias("__gone"))
     if removed.limit(broadcast_lines + 1).count() <= broadcast_lines:
         gone = F.broadcast(gone)
-    joined = documents.join(gone, F.col("doc_id").cast("long") == F.col("__id"), "left").drop("__id")
+    joined = documents.join(gone, (F.col("doc_id").cast("long") == F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left").drop(
+        "__id", "__hash")
 
     def cut(batches):
         for batch in (part for whole in batches for part in slices(whole)):

@@ -144,6 +144,13 @@ def test_line_dedup_finds_one_changed_character(spark):
     assert got == {i: 1 - i % 2 for i, _ in rows}
 
 
+def test_line_dedup_of_two_texts_of_one_id(spark):
+    rows = [(1, "the line that comes first of all"), (2, "the line that comes first of all\nalpha"), (2, "only in the other text of this id\nbeta"),
+            (2, "the line that comes first of all"), (2, "only in the other text of this id\nbeta")]
+    got = sorted((r.doc_id, r.text, r["__lines"], r["__kept"]) for r in line_dedup.dedup_lines(cases.table(spark, rows)).collect())
+    assert got == [(1, rows[0][1], 1, 1), (2, "", 1, 0), (2, "alpha", 2, 1), (2, rows[2][1], 2, 2), (2, rows[2][1], 2, 2)]
+
+
 def brute_vectors(rows):
     valid = {}
     for i, v, label in rows:
