@@ -10,8 +10,7 @@ from placelens.session import shared_dir
 
 SLICE_BYTES = 1 << 19
 _MASK = (1 << 64) - 1
-_BASE = 0x9E3779B97F4A7C15                       # odd, so it has an inverse modulo 2^64
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_BASE = 0x9E3779B97F4A7C15
 
 
 # ---- tables ------------------------------------------------------------------------------------------------------
@@ -54,25 +53,50 @@ def randoms(n, seed):
 
 
 _BYTE_CODES = randoms(256, 11)
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_PIECE = 4096                                    # bytes of a piece of a long span
+_PLACES = randoms(_PIECE, 97)
+_SHORT = 16
 
 
-def _powers(n):
-    if len(_POWERS[0]) <= n:
-        size = max(n + 1, 1 << 19)
-        for k, base in enumerate((_BASE, _INVERSE)):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            _POWERS[k] = np.multiply.accumulate(p)
-    return _POWERS
+def span_hashes(codes, start, end):
+    """Hash of every span [start, end) of a uint64 code array, independent of where the span lies.
 
+    Multilinear: each code is multiplied by a random number of its place in the span, so no regular text defeats it. Spans
+    are hashed in pieces of _PIECE, each weighted by the number of the piece, so the numbers needed do not grow with a span.
+    """
+    start, size = np.asarray(start, np.int64), np.asarray(end - start, np.int64)
+    total = np.zeros(len(start), np.uint64)
+    at = np.flatnonzero(size > 0)
+    for j in range(_SHORT):
+        total[at] += codes[start[at] + j] * _PLACES[j]
+        at = at[size[at] > j + 1]
+        if not len(at):
+            break
+    if len(at):                                  # the rest of the longer spans
+        pieces = -(-size[at] // _PIECE)
+        owner = np.repeat(at, pieces)
+        number = expand(np.zeros(len(at), np.int64), pieces)
+        first = start[owner] + np.where(number > 0, number * _PIECE, _SHORT)
+        stop = np.minimum(start[owner] + (number + 1) * _PIECE, (start + size)[owner])
+        begin = 0
+        while begin < len(owner):                # some pieces at a time
+            until = max(begin + 1, int(np.searchsorted(np.cumsum(stop[begin:] - first[begin:]), 1 << 18, "right")) + begin)
+            length = (stop - first)[begin:until]
+            place = expand(np.where(number[begin:until] > 0, 0, _SHORT), length)
+            products = codes[expand(first[begin:until], length)] * _PLACES[place]
+            sums = np.add.reduceat(products, np.cumsum(length) - length)
+            far = number[begin:until].astype(np.uint64)
+            sums = np.where(far > 0, mix(sums + mix(far * np.uint64(_BASE))) * (mix(far + np.uint64(53)) | np.uint64(1)), sums)
+            np.add.at(total, owner[begin:until], sums)
+            begin = until
+    return mix(total + size.astype(np.uint64) * np.uint64(_BASE))
 
-def span_hashes(codes, start, end):
-    """Hash of every span [start, end) of a uint64 code array, independent of where the span lies."""
-    up, down = _powers(len(codes))
-    sums = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum(codes * up[:len(codes)], out=sums[1:])
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+
+def expand(start, size):
+    """Indices start[i] .. start[i] + size[i] - 1 of all i, one after another."""
+    total = int(size.sum())
+    before = np.cumsum(size) - size
+    return np.arange(total) + np.repeat(start - before, size)
 
 
 # ---- text in Arrow batches ---------------------------------------------------------------------------------------
@@ -232,13 +256,6 @@ def components(edges: DataFrame) -> DataFrame:
 
 # ---- encoding by distinct chunks ---------------------------------------------------------------------------------
 
-def expand(start, size):
-    """Indices start[i] .. start[i] + size[i] - 1 of all i, one after another."""
-    total = int(size.sum())
-    before = np.cumsum(size) - size
-    return np.arange(total) + np.repeat(start - before, size)
-
-
 class ChunkCache:
     """Token ids of distinct chunks of text, so that a chunk is encoded once per worker and not once per occurrence.
 

@@ -61,6 +61,12 @@ def digits(text):
     return [int(c) for c in text if "0" <= c <= "9"]
 
 
+def octet(part):
+    """Whether a run of digits, of any length, is 255 at most."""
+    part = part.lstrip("0")
+    return len(part) <= 3 and int(part or "0") <= 255
+
+
 def luhn(numbers):
     doubled = [2 * n - 9 * (n > 4) if k % 2 else n for k, n in enumerate(reversed(numbers))]
     return sum(doubled) % 10 == 0
@@ -69,7 +75,7 @@ def luhn(numbers):
 def base_spans(text):
     """(kind number, start, end) of the pattern matches, by kind and start."""
     out = [(0, a, b) for a, b in emails(text)]
-    out += [(1, *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+    out += [(1, *m.span()) for m in _IP.finditer(text) if all(octet(p) for p in m[0].split("."))]
     out += [(2, *m.span()) for m in _CARD.finditer(text) if 16 <= len(d := digits(m[0])) <= 19 and luhn(d)]
     out += [(3, *m.span()) for m in _PHONE.finditer(text) if 8 <= len(digits(m[0])) <= 15]
     return out
@@ -90,7 +96,7 @@ def plausible(kind, span):
         return bool(at and name.strip() and "." in host.strip(" ."))
     if kind == 1:
         parts = re.findall(r"[0-9]+", span)
-        return len(parts) == 4 and all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in parts)
+        return len(parts) == 4 and all(map(octet, parts))
     if kind == 2:
         return 16 <= len(d) <= 19 and luhn(d)
     return 8 <= len(d) <= 15 and not re.search(r"[A-Za-z0-9]", re.sub(r"[0-9]", "", span))
