@@ -16,7 +16,7 @@ the first few per anchor, which a window over the anchor's few rows per cell mer
 Rows with a null id, a null label or vector, or any component that is null, not finite or not finite after scaling take no
 part. Vectors of different lengths have no inner product and never meet; empty vectors score 0 among each other. Equal rows
 (id, label and vector) count once; different rows of one id are rows of their own, as anchors too. Components of any size
-are exact; a score beyond 64 bits is ordered exactly and returned as the nearest long. Anchors without positives, and
+are exact; a score beyond 64 bits counts as the nearest of -(2^63 - 1) and 2^63 - 1. Anchors without positives, and
 positives without negatives in range, give no row; an empty table gives an empty result. Other columns are not read.
 """
 
@@ -71,7 +71,7 @@ class Pack:
         self.sums = x.sum(axis=1)
 
     def scores(self, anchor):
-        """Inner products of an anchor (list of ints within reach) with all candidates, exact: int64, or Python integers."""
+        """Inner products of an anchor (list of ints within reach) with all candidates: exact, or the nearest of -_LONG.._LONG."""
         # sum (a + reach)(c + bias) = score + reach * sum c + bias * sum (a + reach)
         shifted = [a + self.reach for a in anchor]
         total = sum(map(int.__mul__, self.wide, shifted))
@@ -81,22 +81,17 @@ class Pack:
             fields = np.frombuffer(raw, f"<u{self.width // 8}").astype(np.int64)
             return fields - self.reach * self.sums - less
         step = self.width // 8
-        return np.array([int.from_bytes(raw[k:k + step], "little") - self.reach * int(s) - less
-                         for k, s in zip(range(0, len(raw), step), self.sums)], object)
+        exact = (int.from_bytes(raw[k:k + step], "little") - self.reach * int(s) - less
+                 for k, s in zip(range(0, len(raw), step), self.sums))
+        return np.array([max(-_LONG, min(_LONG, s)) for s in exact], np.int64)
 
 
 def first_of(score, ids, k):
-    """Positions of the first k by score from high to low, then by id; `score` may hold Python integers."""
-    if score.dtype != object:
-        if len(score) > 4 * k:
-            at = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k])
-            return at[np.lexsort((ids[at], -score[at]))[:k]]
-        return np.lexsort((ids, -score))[:k]
-    return np.array(sorted(range(len(score)), key=lambda i: (-score[i], ids[i]))[:k], np.int64)
-
-
-def _long(values):
-    return [max(-_LONG - 1, min(_LONG, int(v))) for v in values]
+    """Positions of the first k by score from high to low, then by id."""
+    if len(score) > 4 * k:
+        at = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k])
+        return at[np.lexsort((ids[at], -score[at]))[:k]]
+    return np.lexsort((ids, -score))[:k]
 
 
 class Best:
@@ -111,7 +106,7 @@ class Best:
             score, ids, keys = score[at], ids[at], keys[at]
         if len(score):
             at = first_of(score, ids, self.k)
-            more = list(zip(map(int, score[at]), ids[at].tolist(), keys[at].tolist()))
+            more = list(zip(score[at].tolist(), ids[at].tolist(), keys[at].tolist()))
             self.rows = sorted([*self.rows, *more], key=lambda r: (-r[0], *r[1:]))[:self.k]
 
 
@@ -183,7 +178,7 @@ def _positives_of(k, scale):
             rows = [(ids[i], key[i], d, h, s) for i, held in best.items() for s, d, h in held.rows]
             if rows:
                 a, h, d, dh, s = zip(*rows)
-                yield record_batch(POSITIVES, a, h, d, dh, _long(s))
+                yield record_batch(POSITIVES, a, h, d, dh, s)
     return run_all
 
 
@@ -210,8 +205,7 @@ def _negatives_of(k, low, scale):
             rows = [(ids[i], key[i], q["id"], q["key"], q["score"], d, h, s) for i in asked for q in positives[i].as_py()
                     if (i, q["score"]) in best for s, d, h in best[i, q["score"]].rows]
             if rows:
-                *columns, s = zip(*rows)
-                yield record_batch(NEGATIVES, *columns, _long(s))
+                yield record_batch(NEGATIVES, *zip(*rows))
     return run_all
 
 

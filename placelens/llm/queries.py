@@ -2,6 +2,7 @@
 
 from placelens.llm.decontamination import op8_decontamination
 from placelens.llm.hard_negatives import op11_hard_negatives
+from placelens.llm.language import op13_language
 from placelens.llm.lexical_search import op12_lexical_search
 from placelens.llm.line_dedup import op10_line_dedup
 from placelens.llm.ngram_join import op9_ngram_join
@@ -26,6 +27,7 @@ QUERIES = {
     "op10_line_dedup": op10_line_dedup,
     "op11_hard_negatives": op11_hard_negatives,
     "op12_lexical_search": op12_lexical_search,
+    "op13_language": op13_language,
 }
 
 SQL = {
