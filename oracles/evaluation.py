@@ -1,5 +1,7 @@
 """DuckDB SQL for splits, scaling, metrics and validation: plain windows over whole groups."""
 
+import re
+
 from oracles.views import hash32, uniform, with_views as w
 
 _test = f"({hash32('venue_id', '42')} % 100 < 25)"
@@ -37,16 +39,16 @@ def _mean_pred(group):
       p AS (SELECT venue_id, s.{group}, s.y, (t.sy - g.sy) / (t.c - g.c) AS prediction FROM s JOIN g USING ({group}), t)"""
 
 
-def _closed(group, w1, w2="0.0"):
+def _closed(group, w1, w2="0.0", src="s", p="p"):
     """CTEs ending in p(venue_id, group, y, prediction): a model of lat and long fitted without the row's group, by formula."""
-    return f"""gr AS (SELECT DISTINCT {group} FROM s),
-      tr AS (SELECT gr.{group}, avg(lat) AS m1, avg(long) AS m2, avg(y) AS my, count(*) AS n FROM gr JOIN s ON s.{group} <> gr.{group} GROUP BY 1),
+    return f"""gr AS (SELECT DISTINCT {group} FROM {src} s),
+      tr AS (SELECT gr.{group}, avg(lat) AS m1, avg(long) AS m2, avg(y) AS my, count(*) AS n FROM gr JOIN {src} s ON s.{group} <> gr.{group} GROUP BY 1),
       mo AS (SELECT tr.{group}, any_value(m1) AS m1, any_value(m2) AS m2, any_value(my) AS my, any_value(n) AS n,
                avg((lat - m1) * (lat - m1)) AS v11, avg((lat - m1) * (long - m2)) AS v12, avg((long - m2) * (long - m2)) AS v22,
-               avg((lat - m1) * (y - my)) AS c1, avg((long - m2) * (y - my)) AS c2 FROM tr JOIN s ON s.{group} <> tr.{group} GROUP BY 1),
+               avg((lat - m1) * (y - my)) AS c1, avg((long - m2) * (y - my)) AS c2 FROM tr JOIN {src} s ON s.{group} <> tr.{group} GROUP BY 1),
       st AS (SELECT *, v12 / sqrt(v11 * v22) AS a, c1 / sqrt(v11) AS b1, c2 / sqrt(v22) AS b2 FROM mo),
       wt AS (SELECT *, {w1} AS w1, {w2} AS w2 FROM st),
-      p AS (SELECT venue_id, s.{group}, s.y, my + w1 * (lat - m1) + w2 * (long - m2) AS prediction FROM s JOIN wt USING ({group}))"""
+      {p} AS (SELECT venue_id, s.{group}, s.y, my + w1 * (lat - m1) + w2 * (long - m2) AS prediction FROM {src} s JOIN wt USING ({group}))"""
 
 
 _ols = ("(c1 * v22 - c2 * v12) / (v11 * v22 - v12 * v12)", "(c2 * v11 - c1 * v12) / (v11 * v22 - v12 * v12)")
@@ -59,6 +61,26 @@ _dummy = ", ".join(f"(category = '{c}')::INT AS \"dummy_{c.replace(' ', '_')}\""
                    ["Bar", "Cocktail Bar", "Gastropub", "Pub", "Sports Bar", "Wine Bar"])
 
 
+def _two():
+    """CTEs of the chain on lat and long: the smaller standardised slope of the outside rows goes first; errors with and without."""
+    slopes = _closed("one", *_ols, src="(SELECT *, 0 AS one FROM t0 WHERE region = 'West' UNION ALL SELECT *, 1 AS one FROM t0 WHERE region = 'West')", p="p0")
+    both = _closed("region", *_ols, src="inside", p="pb")
+    first = _closed("region", "c1 / v11", src="inside", p="pl")
+    second = _closed("region", "0.0", "c2 / v22", src="inside", p="pr")
+    folds = [_closed("fold", *w, src="outside", p=p) for w, p in ((_ols, "pc"), (("c1 / v11",), "pd"), (("0.0", "c2 / v22"), "pe"))]
+    out = ["t0 AS (SELECT * EXCLUDE y, lat * 100 + long * 60 + y / 100 AS y FROM s)", "inside AS (SELECT * FROM t0 WHERE region <> 'West')",
+           "outside AS (SELECT * FROM t0 WHERE region = 'West')"]
+    for i, part in enumerate((slopes, both, first, second, *folds)):
+        for name in ("gr", "tr", "mo", "st", "wt"):
+            part = re.sub(rf"\b{name}\b", f"{name}{i}", part)
+        out.append(part)
+    out.append("""rk AS (SELECT abs(any_value(w1 * sqrt(v11))) < abs(any_value(w2 * sqrt(v22))) AS lat_first FROM wt0)""")
+    out.append("""one AS (SELECT * FROM pl WHERE NOT (SELECT lat_first FROM rk) UNION ALL SELECT * FROM pr WHERE (SELECT lat_first FROM rk))""")
+    out.append("""sw AS (SELECT 0 AS dropped, avg(abs(y - prediction)) AS mae FROM pb UNION ALL SELECT 1, avg(abs(y - prediction)) FROM one)""")
+    out.append("best AS (SELECT dropped, mae FROM sw ORDER BY mae, dropped LIMIT 1)")
+    return out
+
+
 def _z(col, src, std):
     return f"round(({col} - (SELECT avg({col}) FROM {src})) / (SELECT {std}({col}) FROM {src}), 6)"
 
@@ -71,6 +93,14 @@ SQL = {
         round(avg(ndcg), 3) AS ndcg, round(stddev_pop(mae), 2) AS mae_std, round(stddev_pop(rmse), 2) AS rmse_std,
         round(stddev_pop(ndcg), 3) AS ndcg_std FROM allm"""),
     "soos_validation_ols": chain(_closed("region", *_ols), ndcg("p", "region"), f"SELECT region, n, {_round3} FROM allm"),
+    "selection_chain_ols": chain(*_two(), """SELECT venue_id AS id, region, round(prediction, 4) AS prediction, round(y - prediction, 4) AS error
+        FROM (SELECT *, 0 AS d FROM pb UNION ALL SELECT *, 1 AS d FROM one) WHERE d = (SELECT dropped FROM best)"""),
+    "selection_chain_ranking": chain(*_two(), """ft AS (SELECT 'lat' AS feature, CASE WHEN lat_first THEN 1 ELSE 2 END AS removal_order FROM rk
+        UNION ALL SELECT 'long', CASE WHEN lat_first THEN 2 ELSE 1 END FROM rk)""",
+        """fe AS (SELECT avg(e) AS e2, avg(e1) AS e1 FROM (SELECT avg(abs(y - prediction)) AS e FROM pc GROUP BY fold),
+              (SELECT avg(abs(y - prediction)) AS e1 FROM (SELECT * FROM pd WHERE NOT (SELECT lat_first FROM rk)
+               UNION ALL SELECT * FROM pe WHERE (SELECT lat_first FROM rk)) GROUP BY fold))""",
+        """SELECT removal_order, feature, removal_order > 1 OR (SELECT e2 <= e1 FROM fe) AS kept, dropped, round(mae, 6) AS mae FROM ft, best"""),
     "relevance": chain("""SELECT venue_id, rank() OVER (PARTITION BY region ORDER BY y DESC) AS rank,
         round((count(*) OVER (PARTITION BY region) - rank() OVER (PARTITION BY region ORDER BY y DESC) + 1)
           / (count(*) OVER (PARTITION BY region))::DOUBLE, 6) AS relevance FROM s"""),

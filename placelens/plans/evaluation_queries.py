@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from placelens.functions.hashing import uniform
 from placelens.operators import evaluation as ev
-from placelens.operators import linear, svr
+from placelens.operators import linear, selection, svr
 from placelens.operators import geo_features as gf
 from placelens.operators import preparation as pr
 from placelens.operators import ranking as rk
@@ -262,7 +262,7 @@ def soos_validation(spark, sf):
 def feature_ranking(spark, sf):
     """Worst-first text features, ranked on the venues of one region kept out of the later evaluation."""
     outside = text_arrays(spark, sf).filter(F.col("region") == "West")
-    return linear.feature_ranking(outside, NAMES, step=8)
+    return selection.svr_ranking(outside, NAMES, step=8)
 
 
 @query()
@@ -273,6 +273,43 @@ def feature_sweep(spark, sf):
     return linear.feature_sweep(table.filter(F.col("region") != "West"), NAMES, worst, step=8)
 
 
+def text_geo_arrays(spark, sf):
+    """Bars with text and geographic features and one-hot categories side by side."""
+    text = tf.text_features(probes(spark, sf), v.articles(spark, sf), 2000).select("venue_id", "embedding")
+    table = linear.as_array(geo_model_table(spark, sf).join(text, "venue_id", "left"), ["embedding", *GEO, *DUMMIES], widths={"embedding": 64})
+    return cut_lineage(table.select("venue_id", "lat", "long", "region", "y", "features"))
+
+
+@query()
+def selection_chain(spark, sf):
+    """Errors of the kernel model on text and geographic features, without the worst of them: ranked outside, chosen inside."""
+    table = text_geo_arrays(spark, sf)
+    west = F.col("region") == "West"
+    out = selection.selection_chain(table.filter(west), table.filter(~west), [*NAMES, *GEO, *DUMMIES], step=16)["errors"]
+    return out.select("id", r6("lat").alias("lat"), r6("long").alias("long"), "region", "prediction", "error")
+
+
+def _chain_of_two(spark, sf):
+    s = scores(spark, sf).withColumn("y", F.col("lat") * 100 + F.col("long") * 60 + F.col("y") / 100)
+    table = linear.as_array(s, ["lat", "long"]).select("venue_id", "lat", "long", "region", "y", "features")
+    west = F.col("region") == "West"
+    return selection.selection_chain(table.filter(west), table.filter(~west), ["lat", "long"], step=1, kind="ols")
+
+
+@query()
+def selection_chain_ols(spark, sf):
+    """The chain on two features with least squares after the elimination, small enough for closed formulas."""
+    out = _chain_of_two(spark, sf)["errors"]
+    return out.select("id", "region", F.round("prediction", 4).alias("prediction"), F.round("error", 4).alias("error"))
+
+
+@query()
+def selection_chain_ranking(spark, sf):
+    out = _chain_of_two(spark, sf)
+    return out["ranking"].crossJoin(F.broadcast(out["best"])).select(   # one row per feature, one row
+        "removal_order", "feature", "kept", "dropped", r6("mae").alias("mae"))
+
+
 @query()
 def best_feature_count(spark, sf):
     """The best entry of a table of sweep results (made from the scored venues)."""
