@@ -19,11 +19,23 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stage(df, purpose="stage"):
-    """Write to the shared folder and read back: cuts lineage, survives lost executors. Returns (table, path)."""
-    path = shared_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
+    """Write to the shared folder and read back: cuts lineage, survives lost executors. Returns (table, path).
+
+    Spark deletes the shuffle files of the write when it ends, as nothing reads them again.
+    """
+    spark = df.sparkSession
+    path = shared_dir(spark, purpose)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def drop(spark, path):
@@ -52,44 +64,40 @@ def randoms(n, seed):
     return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(_BASE) + np.uint64(seed))
 
 
-_BYTE_CODES = randoms(256, 11)
-_PIECE = 4096                                    # bytes of a piece of a long span
-_PLACES = randoms(_PIECE, 97)
-_SHORT = 16
+_WORDS = 4                                       # 8-byte words of a span that are hashed span by span; the rest in one go
 
 
-def span_hashes(codes, start, end):
-    """Hash of every span [start, end) of a uint64 code array, independent of where the span lies.
+def span_hashes(data, start, end):
+    """Hash of every span [start, end) of a uint8 array, independent of where the span lies.
 
-    Multilinear: each code is multiplied by a random number of its place in the span, so no regular text defeats it. Spans
-    are hashed in pieces of _PIECE, each weighted by the number of the piece, so the numbers needed do not grow with a span.
+    The 8-byte words of a span, each mixed together with its place, are added up; so no regular text defeats it, and the last
+    word's missing bytes count as zeros, told apart by the span's length.
     """
     start, size = np.asarray(start, np.int64), np.asarray(end - start, np.int64)
-    total = np.zeros(len(start), np.uint64)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    words = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))           # the word that begins at each byte
+
+    def mixed(at, place, left):
+        """Words at some bytes, mixed with a number of their place; `left` bytes of the span remain from there."""
+        word = words[at]
+        cut = np.flatnonzero(left < 8)
+        word[cut] &= (np.uint64(1) << (left[cut] * 8).astype(np.uint64)) - np.uint64(1)
+        return mix(word + place)
+
+    total = size.astype(np.uint64) * np.uint64(_BASE)
     at = np.flatnonzero(size > 0)
-    for j in range(_SHORT):
-        total[at] += codes[start[at] + j] * _PLACES[j]
-        at = at[size[at] > j + 1]
+    for k in range(_WORDS):
+        total[at] += mixed(start[at] + 8 * k, np.uint64((k + 1) * _BASE & _MASK), size[at] - 8 * k)
+        at = at[size[at] > 8 * (k + 1)]
         if not len(at):
             break
-    if len(at):                                  # the rest of the longer spans
-        pieces = -(-size[at] // _PIECE)
-        owner = np.repeat(at, pieces)
-        number = expand(np.zeros(len(at), np.int64), pieces)
-        first = start[owner] + np.where(number > 0, number * _PIECE, _SHORT)
-        stop = np.minimum(start[owner] + (number + 1) * _PIECE, (start + size)[owner])
-        begin = 0
-        while begin < len(owner):                # some pieces at a time
-            until = max(begin + 1, int(np.searchsorted(np.cumsum(stop[begin:] - first[begin:]), 1 << 18, "right")) + begin)
-            length = (stop - first)[begin:until]
-            place = expand(np.where(number[begin:until] > 0, 0, _SHORT), length)
-            products = codes[expand(first[begin:until], length)] * _PLACES[place]
-            sums = np.add.reduceat(products, np.cumsum(length) - length)
-            far = number[begin:until].astype(np.uint64)
-            sums = np.where(far > 0, mix(sums + mix(far * np.uint64(_BASE))) * (mix(far + np.uint64(53)) | np.uint64(1)), sums)
-            np.add.at(total, owner[begin:until], sums)
-            begin = until
-    return mix(total + size.astype(np.uint64) * np.uint64(_BASE))
+    if len(at):
+        count = (size[at] - 8 * _WORDS + 7) // 8
+        number = expand(np.full(len(at), _WORDS), count)
+        first = np.repeat(start[at], count) + 8 * number
+        sums = np.add.reduceat(mixed(first, (number.astype(np.uint64) + np.uint64(1)) * np.uint64(_BASE), np.repeat(end[at], count) - first), np.cumsum(count) - count)
+        total[at] += sums
+    return mix(total)
 
 
 def expand(start, size):
@@ -145,7 +153,7 @@ def spans(data, offsets, separator):
 def words(data, offsets, separator=ASCII_SPACE, lower=LOWER):
     """(hash, start, end, row bounds) of every word: bounds[i]:bounds[i + 1] are the words of row i."""
     start, end = spans(data, offsets, separator)
-    hashes = span_hashes(_BYTE_CODES[lower[data]], start, end)
+    hashes = span_hashes(lower[data], start, end)
     return hashes, start, end, np.searchsorted(start, offsets)
 
 
@@ -208,38 +216,49 @@ class Forest:
 PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
+FOREST = 1 << 18          # edges that a task unites at once
+
+
+def _forest(a, b):
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    forest = Forest(len(names))
+    for i, j in zip(at[:len(a)].tolist(), at[len(a):].tolist()):
+        forest.join(i, j)
+    root = forest.roots()
+    other = root != np.arange(len(names))
+    return record_batch(PAIR, names[other], names[root[other]])
+
+
 def _partition_forest(batches):
-    """Replace the edges of each batch by a spanning star of its components: union-find before the shuffle."""
+    """Replace some edges at a time by spanning stars of their components: union-find before the shuffle."""
+    held, size = [], 0
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        a, b = (batch.column(k).to_numpy() for k in (0, 1))
-        names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-        forest = Forest(len(names))
-        for i, j in zip(at[:len(a)].tolist(), at[len(a):].tolist()):
-            forest.join(i, j)
-        root = forest.roots()
-        other = root != np.arange(len(names))
-        yield record_batch(PAIR, names[other], names[root[other]])
+        held.append([batch.column(k).to_numpy() for k in (0, 1)])
+        size += batch.num_rows
+        if size >= FOREST:
+            out = _forest(*map(np.concatenate, zip(*held)))
+            yield out
+            held, size = [], 0
+    if size:
+        yield _forest(*map(np.concatenate, zip(*held)))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of an edge table (a, b long): columns node, component = smallest node reachable.
 
-    Union-find inside each Arrow batch first, then alternating large-star and small-star rounds (each a minimum per node,
-    pre-aggregated, and a join back) until nothing changes. Nodes without edges, loops and nulls give no rows. Every round
-    is a stage table in the shared folder, and the one before it is deleted.
+    Union-find inside each task first, then alternating large-star and small-star rounds (each a minimum per node,
+    pre-aggregated, and a join back) until every node has one root. Nodes without edges, loops and nulls give no rows. Every
+    round is a stage table in the shared folder, and the one before it is deleted.
     """
     spark = edges.sparkSession
     edges = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a != b")
-    edges = edges.mapInArrow(_partition_forest, "a long, b long").distinct()   # a > b: b is the smaller
-    now, path = stage(edges, "edges")
-    mark = None
+    now, path = stage(edges.mapInArrow(_partition_forest, "a long, b long"), "edges")      # a > b: b is the smaller
     while True:
-        found = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(found) == mark or not found[0]:
-            break
-        mark = tuple(found)
+        nodes = now.union(now.select("b", "b").toDF("a", "b")).groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("high"))
+        found, to = stage(nodes, "roots")
+        if found.where("low != high").isEmpty():
+            drop(spark, path)
+            return found.select(F.col("a").alias("node"), F.col("low").alias("component"))
         both = now.union(now.select("b", "a")).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
@@ -247,11 +266,10 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(
             F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
-        after, to = stage(small.select("e.*").where("a != b").distinct(), "edges")
+        after, next_path = stage(small.select("e.*").where("a != b").distinct().mapInArrow(_partition_forest, "a long, b long"), "edges")
         drop(spark, path)
-        now, path = after, to
-    roots = now.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("component"))
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
+        drop(spark, to)
+        now, path = after, next_path
 
 
 # ---- encoding by distinct chunks ---------------------------------------------------------------------------------

@@ -11,9 +11,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from placelens.llm.common import PAIR, broadcast_if_small, components, record_batch, stage
+from placelens.llm.common import PAIR, broadcast_if_small, components, drop, record_batch, stage
 
 BLOCK = 256
+AT_ONCE = 1 << 20      # bytes of payload that are prepared together
 
 
 def runs(batches, keys):
@@ -45,59 +46,97 @@ def _known(rows, found, item="item"):
     return rows.join(found, item, "left").withColumn("known", F.coalesce("known", item))
 
 
-def _block_join(groups, items, block_links):
+def _batched(runs_):
+    """Consecutive runs together, up to AT_ONCE bytes of payload, so that their payloads are prepared in one go."""
+    held, size = [], 0
+    for run in runs_:
+        held.append(run)
+        size += run.column("payload").nbytes
+        if size >= AT_ONCE:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _prepared(tables, prepare):
+    """Each table with the prepared payloads of its rows."""
+    every = prepare(pa.concat_arrays([c for t in tables for c in t.column("payload").chunks]))
+    at = 0
+    for t in tables:
+        yield t, every[at:at + t.num_rows]
+        at += t.num_rows
+
+
+def _block_join(groups, items, prepare, links):
     """Links inside each block of the groups (gid, item, known, blocks); the group's lead is copied into all blocks."""
     own = F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int")
     dealt = groups.withColumn("block", F.explode(
         F.when(F.col("item") == F.col("gid"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))))
 
     def join(batches):
-        for run in runs(batches, 2):
-            names, at = np.unique(run.column("item").to_numpy(), return_index=True)
-            at = pa.array(at)
-            pairs = block_links((run.column("payload").take(at).to_pylist(), run.column("known").take(at).to_pylist()), None)
-            if pairs:
-                a, b = zip(*pairs)
-                yield record_batch(PAIR, names[list(a)], names[list(b)])
+        for tables in _batched(runs(batches, 2)):
+            found = [], []
+            for run, sets in _prepared(tables, prepare):
+                names, at = np.unique(run.column("item").to_numpy(), return_index=True)
+                known = run.column("known").to_numpy()[at].tolist()
+                for i, j in links(([sets[k] for k in at.tolist()], known), None) if len(names) > 1 else ():
+                    found[0].append(names[i])
+                    found[1].append(names[j])
+            if found[0]:
+                yield record_batch(PAIR, *found)
 
     rows = dealt.join(items, "item").select("gid", "block", "item", "known", "payload")
-    links = rows.repartition("gid", "block").sortWithinPartitions("gid", "block").mapInArrow(join, "a long, b long")
-    return stage(links, "links")[0]
+    made = rows.repartition("gid", "block").sortWithinPartitions("gid", "block").mapInArrow(join, "a long, b long")
+    return stage(made, "links")
 
 
 def _sized(groups):
-    sizes = groups.groupBy("gid").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    return stage(groups.join(sizes, "gid"), "groups")[0]
+    """A stored table of (gid, item, known) with the number of blocks of each group; few groups have more than one."""
+    sizes = groups.groupBy("gid").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
+    sizes, _ = stage(sizes.select("gid", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "large-groups")
+    return groups.join(broadcast_if_small(sizes), "gid", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
 
 
-def link_groups(pairs, items, block_links):
+def link_groups(pairs, items, prepare, links):
     """Components of all links inside candidate groups: columns node, component.
 
-    pairs: gid, item (long); the group gid consists of the item gid, its lead, and the items paired with it. items: item,
-    payload (string). block_links(left, right) gets lists of payloads and of the components known so far, and returns index
-    pairs into left + right of links that connect whatever is linked and not yet in one component; right is None for a join
-    of left with itself.
+    pairs: gid, item (long), stored; the group gid consists of the item gid, its lead, and the items paired with it. items: item,
+    payload (string). prepare(array of payloads) gives a list of what links() compares; links(left, right) gets such lists
+    and the components known so far, and returns index pairs into left + right of links that connect whatever is linked and not
+    yet in one component; right is None for a join of left with itself.
     """
+    spark = pairs.sparkSession
     # every item once, with its smallest lead: joins most of what belongs together
     once = pairs.groupBy("item").agg(F.min("gid").alias("gid")).select("gid", "item")
-    once = once.union(once.select("gid", F.col("gid").alias("item"))).distinct().withColumn("known", F.col("item"))
-    links = _block_join(_sized(once), items, block_links)
-    found = components(links)
+    once, first_path = stage(once.withColumn("known", F.col("item")), "groups")
+    own = once.select("gid").distinct().select("gid", F.col("gid").alias("item"), F.col("gid").alias("known"))
+    joined, _ = _block_join(_sized(once.union(own)), items, prepare, links)
+    found, found_path = stage(components(joined), "components")
+    drop(spark, first_path)
 
     # all groups whose items are not of one component yet, whole
-    led = _known(_known(pairs, found).withColumnRenamed("known", "own"), found, "gid")
+    led = _known(_known(pairs, found).withColumnRenamed("known", "own"), found, "gid").select("gid", "item", "own", "known")
+    led, led_path = stage(led, "led")
     open_ = led.where("own != known").select("gid").distinct()
-    rest = pairs.join(broadcast_if_small(open_), "gid", "left_semi")
-    rest = _known(rest.union(open_.select("gid", F.col("gid").alias("item"))).distinct(), found)
-    rest = _sized(rest)
-    if rest.isEmpty():
+    open_, open_path = stage(open_, "open")
+    if open_.isEmpty():
         return found
-    links = links.union(_block_join(rest, items, block_links))
-    found, _ = stage(components(links), "components")
+    rest = led.join(broadcast_if_small(open_), "gid", "left_semi").select("gid", "item", F.col("own").alias("known"))
+    own = rest.join(led.select("gid", F.col("known").alias("lead")).distinct(), "gid").select(
+        "gid", F.col("gid").alias("item"), F.col("lead").alias("known")).distinct()
+    rest, rest_path = stage(_sized(stage(rest.union(own), "rest")[0]), "rest")
+    for path in (led_path, open_path, found_path):
+        drop(spark, path)
+    more, _ = _block_join(rest, items, prepare, links)
+    joined = joined.union(more)
+    large = rest.where("blocks > 1").drop("known")
+    if large.isEmpty():
+        return components(joined)
 
     # in groups of several blocks: what is outside the largest component meets all
-    large = _known(rest.where("blocks > 1").drop("known"), found).withColumnRenamed("known", "component")
-    large, _ = stage(large, "large")
+    found, _ = stage(components(joined), "components")
+    large, _ = stage(_known(large, found).withColumnRenamed("known", "component"), "large")
     parts = large.groupBy("gid", "component").count().groupBy("gid").agg(
         F.max_by("component", F.struct("count", "component")).alias("most"), F.count("*").alias("parts"))
     large = large.join(parts.where("parts > 1"), "gid")
@@ -115,20 +154,20 @@ def link_groups(pairs, items, block_links):
     def meet(batches):
         for run in runs(batches, 3):
             side, names, known = (run.column(c).to_numpy() for c in ("side", "item", "component"))
-            payload = run.column("payload")
+            sets = prepare(run.column("payload").combine_chunks())
             lists = []
             for s in (0, 1):
-                at = np.flatnonzero(side == s)
-                lists.append((payload.take(pa.array(at)).to_pylist(), known[at].tolist(), names[at].tolist()))
+                at = np.flatnonzero(side == s).tolist()
+                lists.append(([sets[i] for i in at], known[at].tolist(), names[at].tolist()))
             if lists[0][0] and lists[1][0]:
-                linked = block_links(lists[0][:2], lists[1][:2])
+                linked = links(lists[0][:2], lists[1][:2])
                 if linked:
                     both = lists[0][2] + lists[1][2]
                     yield record_batch(PAIR, [both[i] for i, _ in linked], [both[j] for _, j in linked])
 
     cells = left.union(right).join(items, "item").select("gid", "p", "block", "side", "item", "component", "payload")
-    more = cells.repartition("gid", "p", "block").sortWithinPartitions("gid", "p", "block").mapInArrow(meet, "a long, b long")
-    return components(links.union(more))
+    met = cells.repartition("gid", "p", "block").sortWithinPartitions("gid", "p", "block").mapInArrow(meet, "a long, b long")
+    return components(joined.union(met))
 
 
 def stars(batches):

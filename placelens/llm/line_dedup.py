@@ -3,7 +3,7 @@
 A line is a part of a text between line feeds, trimmed of ASCII white space, A-Z in lower case. Its set holds its shingles of
 Q characters (the whole line, if shorter); two lines are similar at a Jaccard similarity of SIMILAR or more. Every distinct
 line gets BANDS * ROWS minima of multiplied shingle hashes; ROWS minima make a band. A pair at the threshold shares no band
-with probability (1 - 0.8^4)^20 < 3e-5. A line and all that share a band of which it is the smallest line form a candidate
+with probability (1 - 0.8^6)^31 < 1e-4. A line and all that share a band of which it is the smallest line form a candidate
 group, in which exact similarities are taken in blocks; links make components by distributed union-find. Of each component the first occurrence by (doc_id,
 line number) stays, all others go. ROWS should grow with the logarithm of the corpus, so that unrelated lines seldom meet.
 
@@ -18,22 +18,24 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from placelens.llm.common import (ASCII_SPACE, LOWER, _BYTE_CODES, broadcast_if_small, distinct, expand, mix, randoms,
+from placelens.llm.common import (ASCII_SPACE, Forest, LOWER, broadcast_if_small, distinct, mix, randoms,
                                   record_batch, signed, slices, span_hashes, spans, stage, table, text_bytes)
 from placelens.llm.groups import candidate_pairs, link_groups
 from placelens.llm.vectors import local_components
 
 Q = 4                  # one changed character leaves lines of 39 characters and more similar
 SIMILAR = (80, 100)
-BANDS, ROWS = 20, 4
+BANDS, ROWS = 31, 6
 COLUMNS = 8192         # tokens of one block of the overlap product
-SENT = 1_000_000       # as many keys of candidate lines at most are sent to the tasks; more are joined by a shuffle
+FEW = 16               # lines of a block up to which pairs are compared one by one
 SLICE = 1 << 18       # bytes of text that a task works on at once; the arrays take some hundred times as much
 
 SIGNATURES = pa.schema([("sig", pa.int64()), ("item", pa.int64())])
 LINES = pa.schema([("item", pa.int64()), ("payload", pa.string())])
 OCCURRENCES = pa.schema([("item", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("line", pa.int32())])
 
+_MIXED = mix(np.arange(256, dtype=np.uint64))
+_Q_FACTORS, _ROW_FACTORS = randoms(Q, 31) | np.uint64(1), randoms(ROWS, 41) | np.uint64(1)
 _FACTORS = (randoms(BANDS * ROWS, 77) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
@@ -50,58 +52,57 @@ def lines_of(column):
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(start)) - 1 if len(first) else first
     start, end, row, number = start[first], end[last], row[first], number[first]
-    return data, row, number, start, end, span_hashes(_BYTE_CODES[data], start, end)
+    return data, row, number, start, end, span_hashes(data, start, end)
 
 
 def character_shingles(data, start, end):
-    """(shingle hashes of all lines one after another, number of shingles of each line)."""
-    size = end - start
-    data = data[expand(start, size)]
-    stop = np.cumsum(size)
-    head = np.flatnonzero((data & 0xC0) != 0x80)
-    code = data[head].astype(np.uint64)
-    if len(head) < len(data):                                          # characters of several bytes
-        width = np.diff(np.append(head, len(data)))
+    """(hash of the Q characters from each character on, place of each line's first one, number of shingles of each line)."""
+    code, first, last = _MIXED[data], start, end
+    if len(data) and data.max() >= 0x80:                                # characters of several bytes
+        head = np.flatnonzero((data & 0xC0) != 0x80)
+        several = np.flatnonzero(data >= 0xC0)
+        width = np.diff(np.append(head, len(data)))[np.searchsorted(head, several)]
+        packed = data[several].astype(np.uint64)
         for j in range(1, 4):
             more = np.flatnonzero(width > j)
-            code[more] |= data[head[more] + j].astype(np.uint64) << np.uint64(8 * j)
-    at = np.searchsorted(head, stop - size)
-    chars = np.diff(np.append(at, len(head)))
-    code = np.concatenate([mix(code), np.zeros(Q, np.uint64)])
-    factors = randoms(Q, 31) | np.uint64(1)
-    total = np.zeros(len(head), np.uint64)
-    for j in range(Q):
-        total += code[j:j + len(head)] * factors[j]
-    short = np.flatnonzero((chars > 0) & (chars < Q))                   # the whole line is its one shingle
-    total[at[short]] = span_hashes(_BYTE_CODES[data], (stop - size)[short], stop[short]) if len(short) else 0
-    count = np.maximum(chars - Q + 1, np.minimum(chars, 1))
-    return mix(total[expand(at, count)]), count
+            packed[more] |= data[several[more] + j].astype(np.uint64) << np.uint64(8 * j)
+        code[several] = mix(packed)
+        code, first, last = code[head], np.searchsorted(head, start), np.searchsorted(head, end)
+    chars = last - first
+    total = code * _Q_FACTORS[0]
+    for j in range(1, Q):
+        total[:-j] += code[j:] * _Q_FACTORS[j]
+    short = np.flatnonzero(chars < Q)                                   # the whole line is its one shingle
+    total[first[short]] = span_hashes(data, start[short], end[short])
+    total ^= total >> np.uint64(32)
+    total *= np.uint64(0xD6E8FEB86659FD93)
+    return total, first, np.maximum(chars - Q + 1, 1)
 
 
 def signatures_of(data, start, end, key):
     """(signature, item) rows of the distinct lines."""
     _, once = np.unique(key, return_index=True)
+    once.sort()
     start, end, key = start[once], end[once], key[once]
-    hashes, count = character_shingles(data, start, end)
-    x = (hashes >> np.uint64(32)).astype(np.uint32)
-    begin = np.cumsum(count) - count
+    hashes, first, count = character_shingles(data, start, end)
+    x = np.append((hashes >> np.uint64(32)).astype(np.uint32), np.uint32(0))
+    bounds = np.column_stack([first, first + count]).ravel()            # what lies between two lines is left out
     out = np.empty_like(x)
     sigs = []
-    factors = randoms(ROWS, 41) | np.uint64(1)
     for band in range(BANDS):
         total = np.full(len(key), band + 1, np.uint64)
         for j in range(ROWS):
             np.multiply(x, _FACTORS[band * ROWS + j], out=out)
-            total += np.minimum.reduceat(out, begin).astype(np.uint64) * factors[j]
+            total += np.minimum.reduceat(out, bounds)[::2].astype(np.uint64) * _ROW_FACTORS[j]
         sigs.append(mix(total + mix(np.full(1, band, np.uint64))))
     return np.concatenate(sigs), np.tile(key, BANDS)
 
 
-def _sets(lines):
-    data, offsets = text_bytes(pa.array(lines, pa.string()))
-    hashes, count = character_shingles(data, offsets[:-1], offsets[1:])
-    stop = np.cumsum(count)
-    return [distinct(hashes[a:b]) for a, b in zip((stop - count).tolist(), stop.tolist())]
+def sets_of(lines):
+    """Shingle set of every line of an array, ascending."""
+    data, offsets = text_bytes(lines)
+    hashes, first, count = character_shingles(data, offsets[:-1], offsets[1:])
+    return [distinct(hashes[a:a + n]) for a, n in zip(first.tolist(), count.tolist())]
 
 
 def similar_pairs(sets):
@@ -124,12 +125,29 @@ def similar_pairs(sets):
     return (both > 0) & (both * den >= num * (size[:, None] + size[None, :] - both))
 
 
-def block_links(left, right):
+def _similar(x, y):
+    num, den = SIMILAR
+    if min(len(x), len(y)) * den < num * max(len(x), len(y)):
+        return False
+    both = len(x) + len(y) - len(distinct(np.concatenate([x, y])))
+    return both * den >= num * (len(x) + len(y) - both)
+
+
+def set_links(left, right):
     """Index pairs that connect whatever is similar in `left`, or between left and right, and not yet in one component."""
-    lines, known = [*left[0], *(right[0] if right else [])], np.array([*left[1], *(right[1] if right else [])])
-    links = similar_pairs(_sets(lines))
+    sets, known = [*left[0], *(right[0] if right else [])], np.array([*left[1], *(right[1] if right else [])])
+    if right is None and len(sets) <= FEW:
+        names = {k: i for i, k in enumerate(dict.fromkeys(known.tolist()))}
+        start, forest, out = [names[k] for k in known.tolist()], Forest(len(names)), []
+        for i in range(len(sets)):
+            for j in range(i + 1, len(sets)):
+                if forest.root(start[i]) != forest.root(start[j]) and _similar(sets[i], sets[j]):
+                    forest.join(start[i], start[j])
+                    out.append((i, j))
+        return out
+    links = similar_pairs(sets)
     if right is not None:
-        side = np.arange(len(lines)) < len(left[0])
+        side = np.arange(len(sets)) < len(left[0])
         links &= side[:, None] != side[None, :]
     root = local_components(links | (known[:, None] == known[None, :]))
     return [(i, j) for i, j in enumerate(root.tolist()) if known[i] != known[j]]
@@ -148,28 +166,19 @@ def line_components(texts):
                     yield record_batch(SIGNATURES, signed(sig), signed(item))
 
     pairs, _ = stage(candidate_pairs(texts.mapInArrow(sign, "sig long, item long")), "candidates")
-
-    wanted, _ = stage(pairs.select("gid").union(pairs.select("item")).distinct().toDF("item"), "wanted")
-    few = wanted.limit(SENT + 1).count() <= SENT
-    sent = texts.sparkSession.sparkContext.broadcast(np.sort(wanted.toArrow().column(0).to_numpy()) if few else None)
+    wanted = pairs.select("gid").union(pairs.select("item")).distinct().toDF("item")
 
     def write(batches):
         for batch in batches:
             for part in slices(batch, size=SLICE):
                 data, _, _, start, end, key = lines_of(part.column(1))
                 key, once = np.unique(signed(key), return_index=True)
-                if sent.value is not None:
-                    at = np.searchsorted(sent.value, key)
-                    at[at == len(sent.value)] = 0
-                    asked = sent.value[at] == key if len(sent.value) else np.zeros(len(key), bool)
-                    key, once = key[asked], once[asked]
                 raw = data.tobytes()
                 yield record_batch(LINES, key, [raw[start[i]:end[i]].decode() for i in once.tolist()])
 
-    lines = texts.mapInArrow(write, "item long, payload string")
-    lines = (lines if few else lines.join(wanted, "item", "left_semi")).dropDuplicates(["item"])
+    lines = texts.mapInArrow(write, "item long, payload string").join(wanted, "item", "left_semi").dropDuplicates(["item"])
     lines, _ = stage(lines, "candidate-lines")
-    return link_groups(pairs, lines, block_links)
+    return link_groups(pairs, lines, sets_of, set_links)
 
 
 def removed_lines(texts):

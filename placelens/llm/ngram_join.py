@@ -250,14 +250,10 @@ def ngram_join(documents, n=5, num=80, den=100):
     single = single.join(broadcast_if_small(copies.select("doc_id")), "doc_id", "left_anti")
     pairs, _ = stage(candidate_pairs(single.mapInArrow(sign, "sig long, item long")), "candidates")
 
-    def block_links(left, right):
-        sides = [None if side is None else (sets_of(pa.array(side[0], pa.string()), n), side[1]) for side in (left, right)]
-        return tree_links(*sides, num, den)
-
     wanted = pairs.select("gid").union(pairs.select("item")).distinct()
     wanted = broadcast_if_small(wanted.toDF("doc_id"))
     items = single.join(wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("item"), F.col("text").alias("payload"))
-    found = link_groups(pairs, items, block_links)
+    found = link_groups(pairs, items, lambda texts: sets_of(texts, n), lambda left, right: tree_links(left, right, num, den))
     # a copy is linked with the first of its kind; ids that hold several texts connect what each of them links with
     links = found.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
     found = components(links.union(copies.select("doc_id", "first")))

@@ -21,7 +21,7 @@ import pyarrow.compute
 import zlib
 from pyspark.sql import functions as F
 
-from placelens.llm.common import ChunkCache, _BYTE_CODES, expand, slices, span_hashes, table, text_bytes
+from placelens.llm.common import ChunkCache, expand, slices, span_hashes, table, text_bytes
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
@@ -229,7 +229,7 @@ class Codec:
         begins[full] = True
         start = np.flatnonzero(begins)
         end = np.append(start[1:], len(data))
-        keys = span_hashes(_BYTE_CODES[data], start, end)
+        keys = span_hashes(data, start, end)
         lead = np.zeros(len(data), bool)
         lead[full] = True
         lead = lead[start]

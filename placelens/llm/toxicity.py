@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from placelens.llm.common import PUNCTUATION, _BYTE_CODES, LOWER, mix, record_batch, slices, span_hashes, spans, table, text_bytes
+from placelens.llm.common import PUNCTUATION, LOWER, mix, record_batch, slices, span_hashes, spans, table, text_bytes
 
 SAMPLE = 12_000        # labelled rows that the fit reads at most
 BUCKETS = 1 << 20
@@ -40,7 +40,7 @@ def buckets(column):
     """(bucket of every word and word beginning, row bounds)."""
     data, offsets = text_bytes(column)
     start, end = spans(data, offsets, PUNCTUATION)
-    codes = _BYTE_CODES[LOWER[data]]
+    codes = LOWER[data]
     whole = span_hashes(codes, start, end)
     part = mix(span_hashes(codes, start, np.minimum(end, start + BEGINNING)))
     both = np.stack([whole, part], axis=1).ravel() & np.uint64(BUCKETS - 1)

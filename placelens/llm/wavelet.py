@@ -20,7 +20,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from placelens.llm.common import ChunkCache, LOWER, _BYTE_CODES, record_batch, slices, span_hashes, spans, stage, table, text_bytes
+from placelens.llm.common import ChunkCache, LOWER, record_batch, slices, span_hashes, spans, stage, table, text_bytes
 from placelens.llm.warc import _open
 from placelens.session import shared_dir
 
@@ -187,7 +187,7 @@ def encode_column(column, path):
     first[start], last[end] = True, True
     start, end = np.flatnonzero(first), np.flatnonzero(last)
     # the tokenizer lowers case, but only after it has looked for its special strings
-    keys = span_hashes(_BYTE_CODES[data if b"<|" in data.tobytes() else LOWER[data]], start, end)
+    keys = span_hashes(data if b"<|" in data.tobytes() else LOWER[data], start, end)
     ids, size = _chunk_cache(path).ids_of(keys, lambda i: data[start[i]:end[i]].tobytes())
     total = np.concatenate([[0], np.cumsum(size)])[np.searchsorted(start, offsets)]
     bounds = total + np.arange(len(total))

@@ -11,7 +11,7 @@ import pytest
 
 from placelens.llm import hard_negatives as hard
 from placelens.llm import language, lexical_search
-from placelens.llm.common import _BYTE_CODES, ASCII_SPACE, span_hashes, spans, table, text_bytes
+from placelens.llm.common import ASCII_SPACE, span_hashes, spans, table, text_bytes
 from pyspark.sql import functions as F
 from tests.llm import cases
 
@@ -31,7 +31,7 @@ def test_span_hashes_tell_structured_words_apart():
     column = pa.array([" ".join(texts), *texts])
     data, offsets = text_bytes(column)
     start, end = spans(data, offsets, ASCII_SPACE)
-    h = span_hashes(_BYTE_CODES[data], start, end).tolist()
+    h = span_hashes(data, start, end).tolist()
     assert h[:len(texts)] == h[len(texts):] and len(set(h)) == len(texts)
 
 
