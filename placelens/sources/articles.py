@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from placelens.functions.text import decode_entities
+from placelens.functions import markup
 from placelens.operators.regions import EDGE
 
 
@@ -81,21 +81,21 @@ def read_boundaries(spark, path):
 
 def html_links(pages, html="html", keep=("page_id",)):
     """Every href of an <a>, with its position in the page."""
-    anchor = r"""(?is)<a(?=\s)(?:"[^"]*"|'[^']*'|[^>"'])*?\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))"""
-    found = F.regexp_extract_all(F.col(html), F.lit(anchor), F.lit(0))
-    values = F.transform(found, lambda x: decode_entities(F.concat(*[F.regexp_extract(x, anchor, i) for i in (1, 2, 3)])))
-    return pages.select(*keep, F.posexplode(values).alias("position", "href"))
-
-
-def html_list_items(pages, wanted, contains=(), excludes=(), html="html", keep=("page_id",)):
-    """Text of <li> items that contain `wanted`; the first word must contain / not contain the rest."""
-    items = F.regexp_extract_all(F.col(html), F.lit(r"(?s)<li(?:\s[^>]*)?>(.*?)</li>"), F.lit(1))
-    out = pages.select(*keep, F.posexplode(items).alias("position", "item"))
-    text = F.trim(F.regexp_replace("item", "<[^>]*>", ""))
-    out = out.select(*keep, "position", text.alias("item")).filter(F.col("item").contains(wanted))
-    name = F.substring_index("item", " ", 1)
+    return pages.select(*keep, F.posexplode(markup.hrefs(F.col(html))).alias("position", "href"))
+
+
+def html_list_items(pages, wanted="", contains=(), excludes=(), html="html", keep=("page_id",), css_class=None):
+    """position, item, size, css_class of the <li> items whose text contains `wanted` and that have the class, if one is given.
+
+    The first word, a file's name, must contain / not contain the rest; `size` is the text after it.
+    """
+    out = pages.select(*keep, F.posexplode(markup.list_items(F.col(html))).alias("position", "_li")).select(
+        *keep, "position", "_li.item", "_li.css_class").filter(F.col("item").contains(wanted))
+    if css_class:
+        out = out.filter(F.array_contains(F.split("css_class", r"\s+"), css_class))
+    words = F.split(F.trim("item"), r"\s+")
     for s in contains:
-        out = out.filter(name.contains(s))
+        out = out.filter(words[0].contains(s))
     for s in excludes:
-        out = out.filter(~name.contains(s))
-    return out
+        out = out.filter(~words[0].contains(s))
+    return out.select(*keep, "position", "item", F.concat_ws(" ", F.slice(words, 2, F.size(words))).alias("size"), "css_class")

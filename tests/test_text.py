@@ -188,3 +188,32 @@ def test_encoder_is_pluggable(spark):
     docs = spark.createDataFrame([(i, "x" * i) for i in range(1, 300)], "article_id int, text string")
     got = encode_text(docs, lambda: (lambda texts: [[float(len(t)), 1.0] for t in texts]), batch=16).collect()
     assert {r.article_id: r.embedding[0] for r in got} == {i: float(i) for i in range(1, 300)}
+
+
+def test_tags_of_any_kind_in_linear_time(spark):
+    import time
+    from placelens.functions import markup
+    page = ("""<!-- <a href="no"> --><UL><li class="file x" title='a > b'>n1.xml-p1 <b>1.5</b> MB<li class=other>two<ul><li>in&amp;ner</ul> more</ul>"""
+            """<script>"<li>no</li>"</script><a name="k" HREF='q?a=1&amp;b=2'>t</a><a hrefx=no data-href="no">u</a><a href>v</a><li>last""")
+    assert markup.items_of(page) == [("n1.xml-p1 1.5 MB", "file x"), ("twoin&ner more", "other"), ("in&ner", None), ("last", None)]
+    assert markup.hrefs_of(page) == ["q?a=1&b=2", ""]
+    df = spark.createDataFrame([(1, page), (2, None), (3, "")], "page_id int, html string")
+    got = art.html_list_items(df, css_class="file").collect()
+    assert [(r.page_id, r.position, r.item, r.size, r.css_class) for r in got] == [(1, 0, "n1.xml-p1 1.5 MB", "1.5 MB", "file x")]
+    start = time.time()
+    for part, n in (("<a ", 1), ("<li ", 1), ("<!-- ", 1), ("<a x=\"", 1), ("<a x='", 1), ("<script>", 1), ("< ", 1), ("<li>", 1), ("</", 1), ("<ul><li>", 0)):
+        text = part * (1_000_000 // len(part)) if n else part * 2000
+        markup.hrefs_of(text), markup.items_of(text)
+    big = "<a " + "x=1 " * 250_000 + "href=here>t</a>"
+    assert markup.hrefs_of(big) == ["here"] and time.time() - start < 60
+    assert [r.href for r in art.html_links(spark.createDataFrame([(1, big)], "page_id int, html string")).collect()] == ["here"]
+
+
+def test_unclosed_notes_take_linear_time():
+    import time
+    from placelens.functions.text import _without_tags
+    start = time.time()
+    for part in ("<ref>", "<!--", "<ref name=a>x", "</ref >", "<math><ref>", "<ref"):
+        _without_tags(part * 200_000)
+    assert time.time() - start < 20
+    assert _without_tags("a<ref>b<math>c</ref>d</math>e<REF x=1>f</ref >g<ref>h<!-- i --><gallery>j") == "adeghj"
