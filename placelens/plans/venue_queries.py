@@ -319,5 +319,5 @@ def html_list_items(spark, sf):
 def html_classified_items(spark, sf):
     """Items of the class `file` with name and size, as dump listings have them; the pages' items get classes and sizes first."""
     pages = v.read(spark, sf, "pages").withColumn("html", F.regexp_replace(
-        "html", "<li>([^<]*<[^>]*>)([^<]*)(</a></li>)", "<li title='a > b' class=\"x file\">$1$2$3 12.5 MB</li><li class=files>$2"))
+        "html", "<li>([^<]*<[^>]*>)([^<]*)(</a>)</li>", "<li title='a > b' class=\"x file\">$1$2$3 12.5 MB</li><li class=files>$2"))
     return art.html_list_items(pages, contains=("e",), css_class="file")
