@@ -43,14 +43,17 @@ _tf = f"""tok AS (SELECT article_id, unnest(regexp_extract_all(lower(text), '\\p
   tfidf AS (SELECT article_id, word, tf, tf * ln(((SELECT count(*) FROM v_articles) + 1)::DOUBLE / (df + 1)) AS tfidf
             FROM tf JOIN df USING (word))"""
 
-def _geodesic(metres, rounds=8):
+_NEAR_PAIRS = """SELECT p.venue_id, a.article_id, p.lat AS lat1, a.lat AS lat2, a.long - p.long AS turn
+        FROM probes p CROSS JOIN v_articles a WHERE abs(p.lat - a.lat) < 0.1::DOUBLE AND abs(p.long - a.long) < 0.1::DOUBLE"""
+
+
+def _geodesic(metres, rounds=8, pairs=_NEAR_PAIRS):
     """CTEs ending in geo(venue_id, article_id, dist): the inverse formula on the ellipsoid with a fixed number of rounds."""
     f = "(1 / 298.257223563::DOUBLE)"
     a, b = "6378137.0::DOUBLE", f"(6378137.0::DOUBLE * (1 - {f}))"
     u = lambda x: f"atan((1 - {f}) * tan(radians({x})))"
     ctes = [f"""g0 AS (SELECT venue_id, article_id, sin(u1) AS su1, cos(u1) AS cu1, sin(u2) AS su2, cos(u2) AS cu2, diff, diff AS lam FROM (
-        SELECT p.venue_id, a.article_id, {u('p.lat')} AS u1, {u('a.lat')} AS u2, radians(a.long - p.long) AS diff
-        FROM probes p CROSS JOIN v_articles a WHERE abs(p.lat - a.lat) < 0.1::DOUBLE AND abs(p.long - a.long) < 0.1::DOUBLE)
+        SELECT venue_id, article_id, {u('lat1')} AS u1, {u('lat2')} AS u2, radians(turn) AS diff FROM ({pairs}))
         WHERE abs(u1 - u2) + abs(diff) > 0)"""]
     for k in range(rounds):
         ctes += [f"""a{k} AS (SELECT *, sqrt(pow(cu2 * sin(lam), 2) + pow(cu1 * su2 - su1 * cu2 * cos(lam), 2)) AS ss,
@@ -110,6 +113,12 @@ SQL = {
         {uniform('c_custkey', 'lat1')} * 170::DOUBLE - 85::DOUBLE AS a, {uniform('c_custkey', 'long1')} * 360::DOUBLE - 180::DOUBLE AS b,
         {uniform('c_custkey', 'lat2')} * 170::DOUBLE - 85::DOUBLE AS c, {uniform('c_custkey', 'long2')} * 360::DOUBLE - 180::DOUBLE AS d
         FROM customer)""",
+    "geodesic_far": "WITH " + ", ".join(_geodesic(1e9, 25, f"""SELECT c_custkey AS venue_id, 0 AS article_id, a AS lat1, c AS lat2,
+        CASE WHEN d - b > 180 THEN d - b - 360 WHEN d - b < -180 THEN d - b + 360 ELSE d - b END AS turn FROM (SELECT c_custkey,
+        {uniform('c_custkey', 'lat1')} * 170::DOUBLE - 85::DOUBLE AS a, {uniform('c_custkey', 'long1')} * 360::DOUBLE - 180::DOUBLE AS b,
+        {uniform('c_custkey', 'lat2')} * 170::DOUBLE - 85::DOUBLE AS c, {uniform('c_custkey', 'long2')} * 360::DOUBLE - 180::DOUBLE AS d
+        FROM customer) WHERE {haversine('a', 'b', 'c', 'd')} < 19700000"""))
+        + " SELECT venue_id AS c_custkey, round(dist, 2) AS dist FROM geo",
     "geodesic_distance": chain(w("", "probes", "v_articles"), *_geodesic(500), "SELECT venue_id, article_id, round(dist, 4) AS dist FROM geo"),
     "distance_weights": chain(w("", "probes", "v_articles"), _in_range(500), """SELECT venue_id, article_id, round(b, 6) AS w_linear,
         round(b * b * b, 6) AS w_cubic, round(1 - exp(-pow(b + 0.3::DOUBLE, 6)), 6) AS w_tanh

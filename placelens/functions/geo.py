@@ -50,7 +50,7 @@ def haversine_np(lat1, long1, lat2, long2):
 def geodesic_np(lat1, long1, lat2, long2):
     """Ellipsoidal distance in metres: Vincenty's inverse formula (1975), vectorised.
 
-    Near-antipodal pairs for which the iteration does not settle get the great-circle distance.
+    Near-antipodal pairs, for which that iteration does not settle, are solved for the azimuth instead.
     """
     p1, l1, p2, l2 = map(np.radians, (lat1, long1, lat2, long2))
     a, f = WGS84_A, WGS84_F
@@ -81,8 +81,64 @@ def geodesic_np(lat1, long1, lat2, long2):
                              - small / 6 * c2m * (4 * ss ** 2 - 3) * (4 * c2m ** 2 - 3)))
         out = b * big * (sigma - corr)
     missing = np.isnan(p1 + l1 + p2 + l2)
-    good = settled & (np.abs(lam) <= np.pi) & ~np.isnan(out)
-    return np.where(missing, np.nan, np.where(good, out, haversine_np(lat1, long1, lat2, long2)))
+    out, missing = np.array(out, float), np.broadcast_to(missing, np.shape(out))
+    rest = ~(settled & (np.abs(lam) <= np.pi) & ~np.isnan(out)) & ~missing
+    if rest.any():
+        out[rest] = _antipodal(*(np.broadcast_to(v, out.shape)[rest] for v in (u1, u2, diff)))
+    return np.where(missing, np.nan, out)[()]
+
+
+_NODES, _WEIGHTS = np.polynomial.legendre.leggauss(40)
+
+
+def _antipodal(u1, u2, diff):
+    """Shortest distances from reduced latitudes and the difference of longitude, by the azimuth at the first point.
+
+    With the first point as the one farther from the equator, in the south, the longitude that a geodesic of azimuth alpha
+    gains until it meets the second latitude rises with alpha, also at the antipode (Karney, 2013). So Newton's steps on
+    alpha, halved into the bracket where they would leave it, end at the one solution. Integrals along the geodesic are taken by
+    Gauss-Legendre quadrature, exact to rounding.
+    """
+    f, b = WGS84_F, WGS84_A * (1 - WGS84_F)
+    e2 = f * (2 - f) / (1 - f) ** 2
+    swap = np.abs(u1) < np.abs(u2)
+    u1, u2 = np.where(swap, u2, u1), np.where(swap, u1, u2)
+    south = np.where(u1 > 0, -1.0, 1.0)
+    u1, u2, want = np.minimum(u1 * south, -1e-200), u2 * south, np.abs(diff)
+    s1, c1, s2, c2 = np.sin(u1), np.maximum(np.cos(u1), 1e-200), np.sin(u2), np.maximum(np.cos(u2), 1e-200)
+
+    def line(alpha):
+        """(longitude gained, its rise with alpha, distance) up to the second latitude."""
+        sa, ca = np.sin(alpha), np.cos(alpha)
+        sin0, cos0 = sa * c1, np.hypot(ca, sa * s1)
+        sa2 = sin0 / c2
+        ca2 = np.sqrt(np.maximum((ca * c1) ** 2 + (c2 - c1) * (c2 + c1), 0)) / c2
+        sigma1, sigma2 = np.arctan2(s1, ca * c1), np.arctan2(s2, ca2 * c2)
+        omega = np.arctan2(sin0 * s2, ca2 * c2) - np.arctan2(sin0 * s1, ca * c1)
+        half = (sigma2 - sigma1) / 2
+        root = np.sqrt(1 + e2 * cos0[:, None] ** 2 * np.sin(sigma1[:, None] + half[:, None] * (1 + _NODES)) ** 2)
+        along = half * (root @ _WEIGHTS)
+        gained = omega - f * sin0 * half * (((2 - f) / (1 + (1 - f) * root)) @ _WEIGHTS)
+        bend = half * ((root - 1 / root) @ _WEIGHTS)                         # the difference of the two integrals of the reduced length
+        k1, k2 = (np.sqrt(1 + e2 * cos0 ** 2 * np.sin(s) ** 2) for s in (sigma1, sigma2))
+        reduced = (k2 * np.cos(sigma1) * np.sin(sigma2) - k1 * np.sin(sigma1) * np.cos(sigma2)
+                   - np.cos(sigma1) * np.cos(sigma2) * bend)
+        with np.errstate(all="ignore"):
+            rise = reduced * (1 - f) / (ca2 * c2)
+        return gained, rise, b * along
+
+    low, high = np.zeros(len(u1)), np.full(len(u1), np.pi)
+    alpha = np.full(len(u1), np.pi / 2)
+    for _ in range(200):
+        gained, rise, _ = line(alpha)
+        high, low = np.where(gained >= want, alpha, high), np.where(gained < want, alpha, low)
+        with np.errstate(all="ignore"):
+            step = alpha - (gained - want) / rise
+        step = np.where((step > low) & (step < high), step, (low + high) / 2)
+        if np.all((np.abs(step - alpha) <= 1e-16 * np.pi) | (high - low <= 4e-16)):
+            break
+        alpha = step
+    return line(alpha)[2]
 
 
 @F.pandas_udf(T.DoubleType())

@@ -131,6 +131,16 @@ def great_circle(spark, sf):
     return out.select("c_custkey", F.round(distance("haversine", "lat1", "long1", "lat2", "long2"), 3).alias("dist"))
 
 
+@query()
+def geodesic_far(spark, sf):
+    """Ellipsoidal distance between two points anywhere, derived from every customer; near-antipodal ones are tested apart."""
+    c = v.read(spark, sf, "customer").select("c_custkey")
+    ends = {f"{k}{i}": uniform("c_custkey", f"{k}{i}") * (170.0 if k == "lat" else 360.0) - (85.0 if k == "lat" else 180.0)
+            for k in ("lat", "long") for i in (1, 2)}
+    out = c.withColumns(ends).where(distance("haversine", "lat1", "long1", "lat2", "long2") < 19_700_000)
+    return out.select("c_custkey", F.round(distance("geodesic", "lat1", "long1", "lat2", "long2"), 2).alias("dist"))
+
+
 @query("geodesic_distance")
 def geodesic_query(spark, sf):
     pairs = radius_join(probes(spark, sf).select("venue_id", "lat", "long"), article_points(spark, sf), 500, method="geodesic")

@@ -175,3 +175,17 @@ def test_no_cartesian_products(spark):
                tf.text_features(venues, arts, 500)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_near_antipodal_geodesics():
+    """Published distances (Karney, 2013, and the half meridian), in every order and mirrored; symmetric for random pairs."""
+    for lat1, long1, lat2, long2, want in ((-30, 0, 29.9, 179.8, 19_989_832.827610), (0, 0, 0, 180, 20_003_931.4586), (90, 0, -90, 10, 20_003_931.4586),
+                                           (40, 10, -40, -170, 20_003_931.4586), (0, 0, 0.5, 179.5, 19_936_288.579), (0, 0, 0.5, 179.7, 19_944_127.421)):
+        for a, b, c, d in ((lat1, long1, lat2, long2), (lat2, long2, lat1, long1), (-lat1, long1, -lat2, long2), (lat1, -long1, lat2, -long2)):
+            assert float(geodesic_np(*map(np.float64, (a, b, c, d)))) == pytest.approx(want, abs=1e-3)
+    rng = np.random.default_rng(1)
+    lat = rng.uniform(-89, 89, 2000)
+    far = -lat + rng.normal(0, .3, 2000), 180 + rng.normal(0, .3, 2000)
+    there, back = geodesic_np(lat, 0 * lat, *far), geodesic_np(*far, lat, 0 * lat)
+    assert np.isfinite(there).all() and np.abs(there - back).max() < 1e-3 and there.max() < 20_003_931.5
+    assert np.isnan(geodesic_np(np.array([np.nan, 0.0]), np.zeros(2), np.zeros(2), np.full(2, 180.0))).tolist() == [True, False]
