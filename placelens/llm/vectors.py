@@ -1,16 +1,18 @@
-"""Embedding near-dedup by projection buckets, joined whole.
+"""Embedding near-dedup by sorted projection passes.
 
-Vectors of one label link at a cosine (double precision) of 0.98 or more. A label of up to WHOLE vectors is one bucket. In a
-larger one each pass deals the vectors by the signs of `prefix_bits` random projections; a bucket holds all vectors of equal
-signs, however many, and all its pairs are looked at. So a pair at the threshold is missed only if no pass gives it equal
-signs, whose probability is MISS or less for any data: density costs time, it loses no pair. Hits are verified by the exact cosine
-and united across buckets by union-find.
+Vectors of one label link at a cosine (double precision) of 0.98 or more. Each pass orders the vectors of a label
+lexicographically by concatenated random hashes, the signs of 63 projections. Every vector is compared with the WINDOW vectors
+before it, hits are verified by the exact cosine, and pairs are united across passes by union-find.
 
-Buckets are joined in blocks of bounded size: first inside each block, which also holds about GUESTS vectors that all blocks
-of the bucket share; then, in buckets of several blocks that are not one component yet, every vector outside the largest
-component meets all vectors of the bucket. Links are then counted exactly inside each component: members within half the
-threshold angle of the component's mean direction link with each other by the triangle inequality and are counted, not
-compared; each remaining member meets all members of its component in blocks, one matrix product each. Pairs are never rows.
+What a window does not cover is joined exactly: the first `prefix_bits` signs make runs of equal prefixes, and in every run
+longer than a window, unless it is one component already, each vector outside the run's largest component meets all of the run,
+in blocks of bounded size. So all links of a run are found, whatever its length, and a pair at the threshold is missed only if no pass
+gives it an equal prefix, whose probability is MISS or less for any data: density costs time, it loses no pair. Labels of up to RUN
+vectors have no prefix and are one run: nothing is missed there.
+
+Links are then counted exactly inside each component: members within half the threshold angle of the component's mean direction
+link with each other by the triangle inequality and are counted, not compared; each remaining member meets all members of its
+component in blocks, one matrix product each. Pairs are never rows.
 
 Equal vectors of a label are compared once. Null, zero and non-finite vectors, null components and null labels link with
 nothing, nor do vectors of different length. Rows of one id are one vector: repeated rows get the same result. A null id is
@@ -27,24 +29,26 @@ from placelens.llm.common import PAIR, broadcast_if_small, components, record_ba
 from placelens.llm.groups import runs
 
 LINK = 0.98
-WHOLE = 65_536        # a label of so many vectors is joined whole, in one pass
-BUCKET = 2048         # vectors of a bucket, if the signs were independent
+SIGNS = 63            # projections of a pass's hash
+WINDOW = 128          # neighbours before a vector that it is compared with
+RUN = 2048            # vectors of equal prefix, if the signs were independent
 NUMBERS = 1 << 18     # of the vectors of a block
-GUESTS = 64
+BLOCK_ROWS = 4096     # vectors of a block at most
 MISS = 1e-9
-AT_ONCE = 8           # passes that share one job and its disk space
+AT_ONCE = 4           # passes that share one job and its disk space
 PROBES, MEMBERS = 256, 1024
+MEANS = 1 << 22       # numbers of the mean vectors that are sent to the tasks; more are joined by a shuffle
 
 _ANGLE = acos(LINK)
 
 
 def prefix_bits(n):
-    """Signs that make a bucket, for a label of n vectors."""
-    return 0 if n <= WHOLE else ceil(log2(n / BUCKET))
+    """Signs that make a run, for a label of n vectors."""
+    return max(0, ceil(log2(max(n, 1) / RUN)))
 
 
 def passes_needed(n):
-    """Passes until a pair at the threshold shares a bucket with probability 1 - MISS, for a label of n vectors, of any density."""
+    """Passes until a pair at the threshold shares a prefix with probability 1 - MISS, for a label of n vectors, of any density."""
     hit = (1 - _ANGLE / pi) ** prefix_bits(n)
     return 1 if hit == 1 else ceil(log(MISS) / log(1 - hit))
 
@@ -53,13 +57,14 @@ def matrix(column):
     """Rows of a list column of equal lengths as unit vectors in double precision."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     x = np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), -1)
+    x = x / np.abs(x).max(axis=1, keepdims=True)      # so that no square runs over or under
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def bucket_keys(x, number, bits):
-    """Sign bits of `bits` random projections of pass `number`."""
-    planes = np.random.default_rng([number, x.shape[1]]).standard_normal((x.shape[1], 63))[:, :bits]
-    return ((x @ planes) > 0) @ (1 << np.arange(bits, dtype=np.int64))
+def hashes(x, number):
+    """The signs of SIGNS random projections of pass `number` as one long, the first sign in the highest place."""
+    planes = np.random.default_rng([number, x.shape[1]]).standard_normal((x.shape[1], SIGNS))
+    return ((x @ planes) > 0) @ (1 << np.arange(SIGNS - 1, -1, -1, dtype=np.int64))
 
 
 def by_length(batch, column):
@@ -124,11 +129,19 @@ def cell_edges(left, right):
     return one[one != two], two[one != two]
 
 
-_KEY = ["pass", "label", "dim", "key"]
+_KEY = ["pass", "label", "dim", "prefix"]
+
+
+def _block_rows(dim):
+    return max(1, min(BLOCK_ROWS, NUMBERS // max(dim, 1)))
+
+
+def _rows_per_block():
+    return F.greatest(F.least(F.floor(F.lit(NUMBERS) / F.col("dim")), F.lit(BLOCK_ROWS)), F.lit(1))
 
 
 def _cells(rows, vectors):
-    """Edges found in the cells of `rows`: bucket, i, j, side, item. Sides 0 and 1 meet; a cell without side 1 meets itself."""
+    """Edges found in the cells of `rows`: run, i, j, side, item. Sides 0 and 1 meet; a cell without side 1 meets itself."""
     def meet(batches):
         for run in runs(batches, 6):
             side, item = (run.column(k).combine_chunks().to_numpy() for k in (6, 7))
@@ -144,7 +157,7 @@ def _cells(rows, vectors):
 
 
 def dealt(vectors):
-    """(table of bucket, blocks, item, one row of each pass of each vector; number of passes). Buckets of one vector are left out."""
+    """(table of pass, label, dim, prefix, key, item, one row of each pass of each vector; number of passes)."""
     size = vectors.groupBy("label", F.size("v").alias("dim")).agg(F.count("*").alias("n"))
     largest = size.agg(F.max("n")).first()[0] or 0
     known = vectors.withColumn("dim", F.size("v")).join(broadcast_if_small(size), ["label", "dim"]).select("label", "dim", "item", "n", "v")
@@ -157,42 +170,67 @@ def dealt(vectors):
                     some = part.filter(pa.array(n == each))
                     x = matrix(some.column(4))
                     for k in range(passes_needed(each)):
+                        key = hashes(x, k)
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(np.full(len(x), k, np.int32)), some.column(0), some.column(1),
-                             pa.array(bucket_keys(x, k, prefix_bits(each))), some.column(2)], names=[*_KEY, "item"])
+                             pa.array(key >> (SIGNS - prefix_bits(each))), pa.array(key), some.column(2)], names=[*_KEY, "key", "item"])
 
     label = vectors.schema["label"].dataType.simpleString()
-    rows, _ = stage(known.mapInArrow(keys, f"pass int, label {label}, dim int, key long, item long"), "dealt")
-    per = F.greatest(F.floor(F.lit(NUMBERS) / F.col("dim")), F.lit(1))
-    count = rows.groupBy(*_KEY).agg(F.count("*").alias("size")).where("size > 1")
-    count = count.withColumn("blocks", F.ceil(F.col("size") / per).cast("int"))
-    return stage(rows.join(count, _KEY), "buckets")[0], passes_needed(largest)
-
-
-def bucket_edges(vectors):
-    """Edges that connect all that links inside the buckets of all passes."""
+    return stage(known.mapInArrow(keys, f"pass int, label {label}, dim int, prefix long, key long, item long"), "dealt")[0], passes_needed(largest)
+
+
+def _windows(batches):
+    """Edges between each vector and the WINDOW before it in a sorted partition; holds one window and one slice."""
+    last, items, x = None, None, None
+    for whole in batches:
+        at = 0
+        while at < whole.num_rows:
+            batch = whole.slice(at, _block_rows(whole.column(2)[at].as_py()))
+            at += batch.num_rows
+            columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
+            change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+            for a, b in zip([0, *change.tolist()], [*change.tolist(), batch.num_rows]):
+                run = tuple(c[a] for c in columns)
+                more, y = batch.column(4).to_numpy()[a:b], matrix(batch.column(5).slice(a, b - a))
+                keep = len(items) if last == run else 0
+                if keep:
+                    more, y = np.concatenate([items, more]), np.concatenate([x, y])
+                for k in range(keep, len(more), WINDOW):
+                    first = max(k - WINDOW, 0)
+                    one, two = cell_edges((more[k:k + WINDOW], y[k:k + WINDOW]), (more[first:k + WINDOW], y[first:k + WINDOW]))
+                    if len(one):
+                        yield record_batch(PAIR, one, two)
+                last, items, x = run, more[-WINDOW:], y[-WINDOW:]
+
+
+def window_edges(rows, vectors):
+    """Edges of neighbours in the order of some passes."""
+    order = [*_KEY, "key", "item"]
+    rows = rows.join(vectors.select("item", "v"), "item").repartition(*_KEY).sortWithinPartitions(*order)
+    return rows.select(*_KEY, "item", "v").mapInArrow(_windows, "a long, b long").distinct()
+
+
+def run_edges(vectors):
+    """Edges that connect all that links inside the runs of all passes."""
     rows, total = dealt(vectors)
-    block = F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int")
-    guest = F.pmod(F.xxhash64("item", F.lit(2)), F.greatest(F.floor(F.col("size") / GUESTS), F.lit(1))) == 0
-    inside = rows.withColumn("i", F.explode(F.when(
-        (F.col("blocks") > 1) & guest, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(block))))
-    inside = inside.withColumns({"j": F.col("i"), "side": F.lit(0)})
     edges = None
     for first in range(0, total, AT_ONCE):
-        some, _ = stage(_cells(inside.where((F.col("pass") >= first) & (F.col("pass") < first + AT_ONCE)), vectors), "block-links")
+        some, _ = stage(window_edges(rows.where((F.col("pass") >= first) & (F.col("pass") < first + AT_ONCE)), vectors), "window-links")
         edges = some if edges is None else edges.union(some)
-    large = rows.where("blocks > 1")
-    if large.isEmpty():
-        return edges
+    long_ = rows.groupBy(*_KEY).agg(F.count("*").alias("size")).where(F.col("size") > WINDOW).drop("size")
     found, _ = stage(components(edges), "components")
     found = broadcast_if_small(found.select(F.col("node").alias("item"), "component"))
+    large = rows.drop("key").join(broadcast_if_small(stage(long_, "long-runs")[0]), _KEY)
     large, _ = stage(large.join(found, "item", "left").withColumn("component", F.coalesce("component", "item")), "large")
     most = large.groupBy(*_KEY, "component").agg(F.count("*").alias("n")).groupBy(*_KEY).agg(
         F.max_by("component", F.struct("n", "component")).alias("most"), F.max("n").alias("inner"), F.sum("n").alias("all"))
-    most = most.where("inner < all")
-    per = F.greatest(F.floor(F.lit(NUMBERS) / F.col("dim")), F.lit(1))
-    most = most.withColumns({"outer": F.ceil((F.col("all") - F.col("inner")) / per).cast("int"), "inner": F.ceil(F.col("inner") / per).cast("int")})
-    open_ = large.join(most, _KEY)
+    per = _rows_per_block()
+    most = most.where("inner < all").withColumns({
+        "outer": F.ceil((F.col("all") - F.col("inner")) / per).cast("int"), "inner": F.ceil(F.col("inner") / per).cast("int")})
+    most, _ = stage(most, "open-runs")
+    if most.isEmpty():
+        return edges
+    open_ = large.join(broadcast_if_small(most), _KEY)
     # blocks 0 .. outer - 1 are of vectors outside the largest component, the others of it; two of these never meet
     outside = F.col("component") != F.col("most")
     b = F.when(outside, F.pmod(F.xxhash64("item"), F.col("outer"))).otherwise(
@@ -229,6 +267,7 @@ def count_links(vectors, found):
             yield pa.RecordBatch.from_arrays([pa.array([run.column(0)[0].as_py()]), pa.array([mean.tolist()], pa.list_(pa.float64()))],
                                              names=["component", "mean"])
 
+    widest = rows.agg(F.max(F.size("v"))).first()[0] or 1
     means = rows.mapInArrow(sums, "component long, mean array<double>").repartition("component").sortWithinPartitions("component")
     means = means.mapInArrow(whole, "component long, mean array<double>")
 
@@ -244,13 +283,14 @@ def count_links(vectors, found):
                                                  names=["component", "item", "copies", "v", "core"])
 
     ddl = "component long, item long, copies long, v array<double>, core boolean"
-    rows = rows.join(broadcast_if_small(means, 20_000), "component").select("component", "item", "copies", "v", "mean").mapInArrow(inside, ddl)
+    rows = rows.join(broadcast_if_small(means, max(1, MEANS // max(widest, 1))), "component").select("component", "item", "copies", "v", "mean").mapInArrow(inside, ddl)
     rows, _ = stage(rows, "core")
     sizes = rows.groupBy("component").agg(
         F.sum(F.when(F.col("core"), F.col("copies")).otherwise(0)).alias("inner"),
         F.ceil(F.count(F.when(~F.col("core"), 1)) / PROBES).cast("int").alias("probes"),
         F.ceil(F.count("*") / MEMBERS).cast("int").alias("blocks"))
-    rows = rows.join(sizes, "component")
+    sizes, _ = stage(sizes, "sizes")
+    rows = rows.join(broadcast_if_small(sizes), "component")
     certain = rows.select("item", F.when(F.col("core"), F.col("inner") - F.col("copies")).otherwise(0).alias("n"))
     open_ = rows.where("probes > 0")
     columns = ["component", "p", "b", "side", "item", "copies", "core", "v"]
@@ -279,7 +319,7 @@ def count_links(vectors, found):
 def near_duplicates(embeddings):
     """vec_id, n_links, component_id, kept of every row of `embeddings` (vec_id, embedding, label)."""
     vectors, members = distinct_vectors(embeddings)
-    edges = bucket_edges(vectors)
+    edges = run_edges(vectors)
     found, _ = stage(components(edges), "components")
     counts = count_links(vectors, found)
     info = vectors.select("item", "copies").join(found, F.col("item") == F.col("node"), "left").drop("node").join(counts, "item", "left")

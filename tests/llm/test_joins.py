@@ -7,6 +7,7 @@ from collections import defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from placelens.llm import groups, line_dedup, ngram_join, vectors
@@ -196,11 +197,10 @@ def test_vector_dedup(spark, monkeypatch):
     assert vectors.near_duplicates(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("whole", [vectors.WHOLE, 600])
-def test_vector_dedup_of_dense_groups(spark, monkeypatch, whole):
+@pytest.mark.parametrize("run", [vectors.RUN, 150])
+def test_vector_dedup_of_dense_groups(spark, monkeypatch, run):
     """A hub whose members link with it only, and twins among vectors that are all near each other; also across blocks and passes."""
-    monkeypatch.setattr(vectors, "WHOLE", whole)
-    monkeypatch.setattr(vectors, "BUCKET", 150)
+    monkeypatch.setattr(vectors, "RUN", run)
     monkeypatch.setattr(vectors, "NUMBERS", 64 * 256)
     rng = np.random.default_rng(5)
 
@@ -227,3 +227,26 @@ def test_vector_dedup_of_dense_groups(spark, monkeypatch, whole):
 def test_passes_grow_slowly():
     assert [vectors.passes_needed(n) for n in (1, 10**4, 10**9)] == sorted(vectors.passes_needed(n) for n in (1, 10**4, 10**9))
     assert vectors.passes_needed(10**9) < 150
+
+
+def test_vectors_of_any_magnitude_and_width(spark):
+    rows = [(1, [1e200, 1e200], 0), (2, [1.0, 1.0], 0), (3, [1e-200, 1.01e-200], 0), (4, [-1e300, 1e300], 0), (5, [5e-324, 5e-324], 0),
+            (6, [1.0] * 4096, 0), (7, [2.0] * 4096, 0), (8, [3.0], 0), (9, [-3.0], 0)]
+    got = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [
+        (1, 3, 1), (2, 3, 1), (3, 3, 1), (4, 0, 4), (5, 3, 1), (6, 1, 6), (7, 1, 6), (8, 0, 8), (9, 0, 9)]
+
+
+def test_windows_follow_the_order_of_the_hashes():
+    """Without the exact join of runs: equal hashes lie side by side, and each vector sees the window before it, across batches."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 8))
+    x[1::2] = x[::2] + rng.normal(size=(150, 8)) * 1e-4
+    key = vectors.hashes(vectors.matrix(pa.array(x.tolist())), 0)
+    order = np.argsort(key, kind="stable")
+    columns = [pa.array(np.zeros(300, np.int32)), pa.array(np.zeros(300, np.int32)), pa.array(np.full(300, 8, np.int32)),
+               pa.array(np.zeros(300, np.int64)), pa.array(order), pa.array(x[order].tolist())]
+    table = pa.RecordBatch.from_arrays(columns, names=["pass", "label", "dim", "prefix", "item", "v"])
+    edges = [pair for b in vectors._windows([table.slice(k, 50) for k in range(0, 300, 50)]) for pair in zip(*(c.to_pylist() for c in b.columns))]
+    linked = {tuple(sorted(e)) for e in edges}
+    assert {(k, k + 1) for k in range(0, 300, 2)} <= linked
