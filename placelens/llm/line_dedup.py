@@ -4,7 +4,8 @@ A line is a part of a text between line feeds, trimmed of ASCII white space, A-Z
 Q characters (the whole line, if shorter); two lines are similar at a Jaccard similarity of SIMILAR or more. Every distinct
 line gets BANDS * ROWS minima of multiplied shingle hashes; ROWS minima make a band. A pair at the threshold shares no band
 with probability (1 - 0.8^6)^31 < 1e-4. A line and all that share a band of which it is the smallest line form a candidate
-group, in which exact similarities are taken in blocks; links make components by distributed union-find. Of each component the first occurrence by (doc_id,
+group. Sketches of BINS bins cut the groups first, where a similarity at the threshold would need 4.5 deviations more equal bins;
+then exact similarities are taken in blocks; links make components by distributed union-find. Of each component the first occurrence by (doc_id,
 line number) stays, all others go. ROWS should grow with the logarithm of the corpus, so that unrelated lines seldom meet.
 
 Blank lines take no part and stay. Rows with null id or null text are left as they are. Repeated rows of one id and text are
@@ -13,27 +14,35 @@ line number are the same. A text of which nothing is left becomes empty; n_kept
 empty result; extra columns are carried along.
 """
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from placelens.llm.common import (ASCII_SPACE, Forest, LOWER, broadcast_if_small, distinct, mix, randoms,
+from placelens.llm.common import (ASCII_SPACE, Forest, LOWER, PAIR, broadcast_if_small, distinct, drop, expand, mix, randoms,
                                   record_batch, signed, slices, span_hashes, spans, stage, table, text_bytes)
-from placelens.llm.groups import candidate_pairs, link_groups
+from placelens.llm.groups import link_groups
 from placelens.llm.vectors import local_components
 
 Q = 4                  # one changed character leaves lines of 39 characters and more similar
 SIMILAR = (80, 100)
 BANDS, ROWS = 31, 6
 COLUMNS = 8192         # tokens of one block of the overlap product
+BINS = 64              # of a line's sketch
+PART = 1 << 20         # signatures that a task sorts at once, about
+FLUSH = 1 << 19        # signatures that a task gathers before it sends them
+SIFTED = 2048          # larger candidate groups are not sifted by sketches
 FEW = 16               # lines of a block up to which pairs are compared one by one
 SLICE = 1 << 18       # bytes of text that a task works on at once; the arrays take some hundred times as much
 
-SIGNATURES = pa.schema([("sig", pa.int64()), ("item", pa.int64())])
+BLOBS = pa.schema([("p", pa.int32()), ("blob", pa.binary())])
+STARS = pa.schema([("gid", pa.int64()), ("item", pa.int64()), ("sketch", pa.binary())])
 LINES = pa.schema([("item", pa.int64()), ("payload", pa.string())])
 OCCURRENCES = pa.schema([("item", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("line", pa.int32())])
 
+_EMPTY = np.uint32(1 << 26)
 _MIXED = mix(np.arange(256, dtype=np.uint64))
 _Q_FACTORS, _ROW_FACTORS = randoms(Q, 31) | np.uint64(1), randoms(ROWS, 41) | np.uint64(1)
 _FACTORS = (randoms(BANDS * ROWS, 77) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -80,7 +89,7 @@ def character_shingles(data, start, end):
 
 
 def signatures_of(data, start, end, key):
-    """(signature, item) rows of the distinct lines."""
+    """(signature, item) rows of the distinct lines, and (item, sketch) of each."""
     _, once = np.unique(key, return_index=True)
     once.sort()
     start, end, key = start[once], end[once], key[once]
@@ -95,7 +104,39 @@ def signatures_of(data, start, end, key):
             np.multiply(x, _FACTORS[band * ROWS + j], out=out)
             total += np.minimum.reduceat(out, bounds)[::2].astype(np.uint64) * _ROW_FACTORS[j]
         sigs.append(mix(total + mix(np.full(1, band, np.uint64))))
-    return np.concatenate(sigs), np.tile(key, BANDS)
+    return np.concatenate(sigs), np.tile(key, BANDS), key, sketches_of(x, first, count)
+
+
+def sketches_of(x, first, count):
+    """One row of BINS // 2 bytes for each line: the least hash of every bin of its shingles as four bits, 0 for an empty bin."""
+    line = np.repeat(np.arange(len(count)), count)
+    x = x[expand(first, count)]
+    least = np.full(len(count) * BINS, _EMPTY, np.uint32)
+    np.minimum.at(least, line * BINS + (x >> np.uint32(26)).astype(np.int64), x & _EMPTY - np.uint32(1))
+    value = (1 + ((least * np.uint32(0x9E3779B1)) >> np.uint32(8)) % np.uint32(15)).astype(np.uint8)
+    value[least == _EMPTY] = 0
+    value = value.reshape(-1, 2)
+    return (value[:, 0] | (value[:, 1] << 4)).reshape(len(count), BINS // 2)
+
+
+def _values(sketches):
+    return np.concatenate([sketches & 15, sketches >> 4], axis=1)
+
+
+def _enough(same, either):
+    """Whether so many equal bins leave a similarity at the threshold possible: fewer come 4.5 deviations below what it gives."""
+    num, den = SIMILAR
+    p = num / den + (1 - num / den) / 15
+    return same >= p * either - 4.5 * np.sqrt(p * (1 - p) * either)
+
+
+def may_be_similar(value, left, right):
+    """For pairs of rows of bin values, whether their sketches leave a similarity at the threshold possible."""
+    out = np.zeros(len(left), bool)
+    for k in range(0, len(left), 1 << 15):
+        a, b = value[left[k:k + (1 << 15)]], value[right[k:k + (1 << 15)]]
+        out[k:k + (1 << 15)] = _enough(((a == b) & (a > 0)).sum(axis=1), ((a | b) > 0).sum(axis=1))
+    return out
 
 
 def sets_of(lines):
@@ -155,30 +196,156 @@ def set_links(left, right):
 
 # ---- operator ----------------------------------------------------------------------------------------------------
 
-def line_components(texts):
-    """Components (node, component) of similar distinct lines of `texts` (doc_id, text); lines without others are left out."""
+def _signed(texts, parts):
+    """Rows (p, blob): signatures and items of some distinct lines for each part p, and their sketches under negative p."""
     def sign(batches):
+        held, size = [], 0
+
+        def flush():
+            sig, item, key, sketch = (np.concatenate(c) for c in zip(*held))
+            part = (sig % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            names, at = np.unique(part[order], return_index=True)
+            sig, item, at = sig[order], item[order], [*at.tolist(), len(sig)]
+            blobs = [sig[a:b].tobytes() + item[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
+            return record_batch(BLOBS, [*names.tolist(), -1 - int(key[0] % np.uint64(parts))], [*blobs, key.tobytes() + sketch.tobytes()])
+
         for batch in batches:
             for part in slices(batch, size=SLICE):
                 data, _, _, start, end, key = lines_of(part.column(1))
                 if len(key):
-                    sig, item = signatures_of(data, start, end, key)
-                    yield record_batch(SIGNATURES, signed(sig), signed(item))
+                    held.append(signatures_of(data, start, end, key))
+                    size += len(held[-1][0])
+                if size >= FLUSH:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
+
+    return texts.mapInArrow(sign, "p int, blob binary")
+
+
+def _stars(batches):
+    """Rows (gid, item) of the lines that share a signature with their smallest one, and (item, sketch), from rows sorted by p."""
+    def pairs(blobs):
+        sig, item = (np.concatenate([np.frombuffer(x, np.uint64, len(x) // 16, half * (len(x) // 2)) for x in blobs]) for half in (0, 1))
+        order = np.argsort(sig, kind="stable")
+        sig, item = sig[order], signed(item[order])
+        first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+        lead = np.repeat(np.minimum.reduceat(item, first), np.diff(np.append(first, len(sig))))
+        other = lead != item
+        lead, item = lead[other], item[other]
+        order = np.lexsort((item, lead))
+        lead, item = lead[order], item[order]
+        new = np.ones(len(lead), bool)
+        new[1:] = (lead[1:] != lead[:-1]) | (item[1:] != item[:-1])
+        return record_batch(STARS, lead[new], item[new], pa.nulls(int(new.sum()), pa.binary()))
+
+    held, name = [], None
+    for batch in batches:
+        for p, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if held and p != name:
+                yield pairs(held)
+                held = []
+            name = p
+            if p >= 0:
+                held.append(blob)
+            else:
+                n = len(blob) // (8 + BINS // 2)
+                sketch = blob[8 * n:]
+                yield record_batch(STARS, pa.nulls(n, pa.int64()), np.frombuffer(blob, np.int64, n),
+                                   [sketch[k:k + BINS // 2] for k in range(0, len(sketch), BINS // 2)])
+    if held:
+        yield pairs(held)
+
+
+def _sift(gid, item, sketch):
+    """Whole groups, sorted by gid and item: each item with the smallest one that sketches connect it with."""
+    value = _values(sketch)
+    first = np.flatnonzero(np.concatenate([[True], gid[1:] != gid[:-1]]))
+    size = np.diff(np.append(first, len(gid)))
+    left = np.flatnonzero(np.repeat(size <= FEW, size))                  # in small groups every pair, all groups at once
+    after = (np.repeat(first + size, size) - np.arange(len(gid)) - 1)[left]
+    left, right = np.repeat(left, after), expand(left + 1, after)
+    edges = [np.stack([left, right])[:, may_be_similar(value, left, right)]]
+    for a, n in zip(first[size > FEW].tolist(), size[size > FEW].tolist()):
+        root = np.arange(n)                                              # in larger ones row by row, joined rows once
+        forest = Forest(n)
+        for i in range(n):
+            j = np.arange(i + 1, n)
+            j = j[root[j] != root[i]]
+            for k in j[may_be_similar(value[a:a + n], np.full(len(j), i), j)].tolist():
+                forest.join(i, k)
+            if i % 64 == 63:
+                root = forest.roots()
+        root = forest.roots()
+        edges.append(np.stack([a + root, a + np.arange(n)])[:, root != np.arange(n)])
+    left, right = np.concatenate(edges, axis=1)
+    names, at = np.unique(np.concatenate([left, right]), return_inverse=True)
+    forest = Forest(len(names))
+    for i, j in zip(at[:len(left)].tolist(), at[len(left):].tolist()):
+        forest.join(i, j)
+    root = forest.roots()
+    other = root != np.arange(len(names))
+    return record_batch(PAIR, item[names[root[other]]], item[names[other]])
+
+
+def _sifted(batches):
+    """Groups (gid, item, sketch), sorted by gid and item, cut into the parts that their sketches leave connected. Holds one group."""
+    held = None
+    for batch in chain(batches, [None]):
+        table = batch if held is None else held if batch is None else pa.concat_batches([held, batch])
+        if table is None or not table.num_rows:
+            continue
+        gid = table.column(0).to_numpy()
+        cut = len(gid) if batch is None else int(np.searchsorted(gid, gid[-1]))
+        held = table.slice(cut)
+        if cut:
+            sketch = table.column(2).slice(0, cut)
+            flat = np.frombuffer(b"".join(sketch.to_pylist()), np.uint8).reshape(cut, BINS // 2)
+            yield _sift(gid[:cut], table.column(1).to_numpy()[:cut], flat)
+
+
+def line_components(texts, seen):
+    """Components (node, component) of similar distinct lines of `texts`; lines without others are left out. seen: their occurrences."""
+    spark = texts.sparkSession
+    parts = max(-(-seen.count() * BANDS // PART), 2 * spark.sparkContext.defaultParallelism)
+    made = _signed(texts, parts).repartition(parts, "p").sortWithinPartitions("p").mapInArrow(_stars, "gid long, item long, sketch binary")
+    made, made_path = stage(made, "signatures")
+    pairs, pairs_path = stage(made.where("gid IS NOT NULL").select("gid", "item").distinct(), "pairs")
+    large, _ = stage(pairs.groupBy("gid").agg(F.count("*").alias("n")).where(F.col("n") > SIFTED).select("gid"), "large")
+    small = pairs.join(broadcast_if_small(large), "gid", "left_anti")
+    small = small.union(small.select("gid").distinct().select("gid", F.col("gid").alias("item")))
+    sketches = made.where("gid IS NULL").select("item", "sketch").dropDuplicates(["item"])
+    small = small.join(sketches, "item").select("gid", "item", "sketch").repartition("gid").sortWithinPartitions("gid", "item")
+    sifted = small.mapInArrow(_sifted, "gid long, item long").union(pairs.join(broadcast_if_small(large), "gid", "left_semi"))
+    pairs, _ = stage(sifted.distinct(), "candidates")
+    drop(spark, made_path)
+    drop(spark, pairs_path)
+    lines, _ = stage(_line_texts(texts, seen, pairs.select("gid").union(pairs.select("item")).distinct().toDF("item")), "candidate-lines")
+    return link_groups(pairs, lines, sets_of, set_links)
+
 
-    pairs, _ = stage(candidate_pairs(texts.mapInArrow(sign, "sig long, item long")), "candidates")
-    wanted = pairs.select("gid").union(pairs.select("item")).distinct().toDF("item")
+def _line_texts(texts, seen, wanted):
+    """(item, payload) of the wanted lines, each from the first text that holds it."""
+    place = seen.join(wanted, "item", "left_semi").groupBy("item").agg(F.min(F.struct("doc_id", "text_hash", "line")).alias("at"))
+    place = place.groupBy(F.col("at.doc_id").alias("d"), F.col("at.text_hash").alias("h")).agg(
+        F.collect_list(F.struct(F.col("at.line").alias("line"), "item")).alias("w"))
+    place, _ = stage(place.select("d", "h", F.col("w.line").alias("lines"), F.col("w.item").alias("items")), "places")
+    place = broadcast_if_small(place, 100_000)
+    held = texts.join(place, (F.col("doc_id") == F.col("d")) & (F.col("text_hash") == F.col("h"))).select("text", "lines", "items")
 
     def write(batches):
         for batch in batches:
             for part in slices(batch, size=SLICE):
-                data, _, _, start, end, key = lines_of(part.column(1))
-                key, once = np.unique(signed(key), return_index=True)
+                data, row, number, start, end, _ = lines_of(part.column(0))
+                lines, items = part.column(1), part.column(2)
+                asked = np.repeat(np.arange(part.num_rows), lines.value_lengths().to_numpy()) * (1 << 32) + lines.flatten().to_numpy()
+                at = np.searchsorted(row * (1 << 32) + number, asked).tolist()
                 raw = data.tobytes()
-                yield record_batch(LINES, key, [raw[start[i]:end[i]].decode() for i in once.tolist()])
+                yield record_batch(LINES, items.flatten(), [raw[start[i]:end[i]].decode() for i in at])
 
-    lines = texts.mapInArrow(write, "item long, payload string").join(wanted, "item", "left_semi").dropDuplicates(["item"])
-    lines, _ = stage(lines, "candidate-lines")
-    return link_groups(pairs, lines, sets_of, set_links)
+    return held.mapInArrow(write, "item long, payload string").dropDuplicates(["item"])
 
 
 def removed_lines(texts):
@@ -191,7 +358,7 @@ def removed_lines(texts):
                                    part.column(2).to_numpy()[row], number.astype(np.int32))
 
     seen, _ = stage(texts.mapInArrow(occur, "item long, doc_id long, text_hash long, line int"), "lines")
-    found = line_components(texts)
+    found = line_components(texts, seen)
     seen = seen.join(broadcast_if_small(found), F.col("item") == F.col("node"), "left").select(
         F.coalesce("component", "item").alias("line_class"), "doc_id", "text_hash", "line")
     seen, _ = stage(seen, "line-classes")
