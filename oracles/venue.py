@@ -82,9 +82,9 @@ SQL = {
         FROM s JOIN t ON kind = CASE WHEN s_suppkey % 3 = 0 THEN 1 ELSE 0 END""",
     "embedding_vectors": """SELECT vec_id AS article_id, (i - 1)::INT AS dim, round(embedding[i]::DOUBLE, 6) AS val
         FROM embeddings, generate_series(1, 64) t(i)""",
-    "dump_inventory": f"""SELECT file_name, round(n_chars / 1e6, 6) AS size_mb,
+    "dump_inventory": f"""SELECT file_name, round(strlen(text) / 1e6, 6) AS size_mb,
         (89 + doc_id % 10)::BIGINT AS article_span FROM {_files}""",
-    "inventory_totals": f"""SELECT count(*) AS files, round(sum(n_chars) / 1e9, 6) AS size_gb,
+    "inventory_totals": f"""SELECT count(*) AS files, round(sum(strlen(text)) / 1e9, 6) AS size_gb,
         sum(89 + doc_id % 10)::BIGINT AS articles FROM {_files}""",
     "verify_checksums": f"""SELECT file_name, CASE WHEN listed AND doc_id % 13 = 0 THEN 'missing' WHEN NOT listed THEN 'unlisted'
           WHEN doc_id % 5 = 0 THEN 'bad' ELSE 'ok' END AS status

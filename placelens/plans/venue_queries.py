@@ -270,28 +270,34 @@ def _dump_files(spark, sf):
     return d.withColumn("file_name", name)
 
 
+def _written(spark, sf, files_of=None):
+    """A folder that holds the dump files, each with its text as content."""
+    folder = shared_dir(spark, "dumps")
+    d = _dump_files(spark, sf)
+    files.write_files(d if files_of is None else d.filter(files_of), folder, content="text").agg(F.sum("length")).first()
+    return folder
+
+
 @query()
 def dump_inventory(spark, sf):
-    found = _dump_files(spark, sf).select(F.concat(F.lit("/dumps/"), F.col("file_name")).alias("path"),
-                                          F.col("n_chars").alias("length"))
+    found = files.list_files(spark, _written(spark, sf))
     return files.dump_inventory(found).withColumn("size_mb", r6("size_mb"))
 
 
 @query()
 def inventory_totals(spark, sf):
-    found = _dump_files(spark, sf).select(F.col("file_name").alias("path"), F.col("n_chars").alias("length"))
+    found = files.list_files(spark, _written(spark, sf))
     return files.inventory_totals(files.dump_inventory(found)).withColumn("size_gb", r6("size_gb"))
 
 
 @query()
 def verify_checksums(spark, sf):
-    """A manifest of all files against those present: every 5th hash is wrong, every 13th file missing."""
-    d = _dump_files(spark, sf)
+    """A manifest of all files against those in a folder: every 5th hash is wrong, every 13th file missing."""
     n = F.col("doc_id")
     wrong = F.when(n % 5 == 0, F.md5(F.lit("x"))).otherwise(F.md5("text"))
-    lines = d.select(F.concat(wrong, F.lit("  "), F.col("file_name")).alias("value"))
-    present = d.filter(n % 13 != 0).select("file_name", F.md5("text").alias("actual"))
-    return files.compare_checksums(present, files.parse_manifest(lines))
+    manifest = shared_dir(spark, "manifest")
+    _dump_files(spark, sf).select(F.concat(wrong, F.lit("  "), F.col("file_name")).alias("value")).write.text(manifest)
+    return files.verify_checksums(spark, _written(spark, sf, n % 13 != 0), manifest)
 
 
 @query()

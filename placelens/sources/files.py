@@ -1,5 +1,10 @@
 """Tab-separated text, XML dumps, stage tables, file inventories and checksums."""
 
+import hashlib
+from urllib.parse import quote
+
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -7,6 +12,8 @@ CHECKINS_RAW = "user_id string, venue_id string, utc_time string, timezone_offse
 CITIES_RAW = ("name string, center_lat string, center_long string, country_code string, country_name string, "
               "city_type string")
 VENUES_RAW = "venue_id string, lat string, long string, category string, country_code string"
+CHUNK = 1 << 20             # bytes of a file that a task holds at once
+TASK_BYTES = 128 << 20      # of the files of one task, about
 DUMP_PAGE = "title STRING, revision STRUCT<timestamp: STRING, text: STRUCT<_VALUE: STRING>>"
 
 
@@ -54,9 +61,74 @@ def read_stage(spark, path, schema, form="parquet"):
     return (reader.option("header", True) if form == "csv" else reader).load(path)
 
 
-def list_files(spark, path):
-    """(path, length) of files without reading their content."""
-    return spark.read.format("binaryFile").load(path).select("path", "length")
+def list_files(spark, folder):
+    """(path, length) of the files in a folder, empty ones too, without reading them; names with a leading _ or . are left out."""
+    def found(batches):
+        for _ in batches:
+            fs, at = _open(folder)
+            here = [f for f in fs.get_file_info(pafs.FileSelector(at)) if f.type == pafs.FileType.File and f.base_name[0] not in "_."]
+            for k in range(0, len(here), 10_000):
+                some = here[k:k + 10_000]
+                yield pa.RecordBatch.from_arrays([pa.array([f"{folder.rstrip('/')}/{f.base_name}" for f in some], pa.string()),
+                                                  pa.array([f.size for f in some], pa.int64())], names=["path", "length"])
+
+    return spark.range(1, numPartitions=1).mapInArrow(found, "path string, length long")
+
+
+def _open(path):
+    """(file system, path in it) of a plain path or a URI, whose characters are not escaped."""
+    scheme, _, rest = path.partition(":/") if ":/" in path else ("file", "", path)
+    if scheme == "file":
+        return pafs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return pafs.FileSystem.from_uri(f"{scheme}:/{quote(rest)}")
+
+
+def write_files(contents, folder, name="file_name", content="content"):
+    """Write every row's content (string or binary) as a file of its own into a shared folder: rows (path, length).
+
+    A file appears under its name when it is whole, so a repeated task does no harm.
+    """
+    fs, at = _open(folder)
+    fs.create_dir(at, recursive=True)
+
+    def write(batches):
+        fs, at = _open(folder)
+        for batch in batches:
+            paths, sizes = [], []
+            for file_name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                with fs.open_output_stream(f"{at}/_{file_name}.part", compression=None) as out:
+                    out.write(data)
+                fs.move(f"{at}/_{file_name}.part", f"{at}/{file_name}")
+                paths.append(f"{folder.rstrip('/')}/{file_name}")
+                sizes.append(len(data))
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(sizes, pa.int64())], names=["path", "length"])
+
+    return contents.select(name, F.col(content).cast("binary")).mapInArrow(write, "path string, length long")
+
+
+def file_digests(files, algorithm="md5"):
+    """(file_name, actual) of files (path, length), of any size: read as streams, of which a task holds CHUNK bytes.
+
+    Files are dealt by size, so that a task reads about TASK_BYTES or one file.
+    """
+    spark = files.sparkSession
+    total, count = files.agg(F.sum("length"), F.count("*")).first()
+    tasks = max(min(count, max(-(-(total or 0) // TASK_BYTES), spark.sparkContext.defaultParallelism)), 1)
+
+    def digest(batches):
+        for batch in batches:
+            found = []
+            for path in batch.column(0).to_pylist():
+                fs, at = _open(path)
+                h = hashlib.new(algorithm)
+                with fs.open_input_stream(at, compression=None) as source:
+                    while chunk := source.read(CHUNK):
+                        h.update(chunk)
+                found.append(h.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], names=["path", "actual"])
+
+    dealt = files.select("path").repartition(tasks, "path")
+    return dealt.mapInArrow(digest, "path string, actual string").select(F.substring_index("path", "/", -1).alias("file_name"), "actual")
 
 
 def dump_inventory(files):
@@ -88,6 +160,5 @@ def compare_checksums(files, manifest):
 
 
 def verify_checksums(spark, path, manifest_path):
-    files = spark.read.format("binaryFile").load(path).select(
-        F.substring_index("path", "/", -1).alias("file_name"), F.md5("content").alias("actual"))
-    return compare_checksums(files, parse_manifest(spark.read.text(manifest_path)))
+    """Status of every file below `path` against a manifest of `md5  name` lines."""
+    return compare_checksums(file_digests(list_files(spark, path)), parse_manifest(spark.read.text(manifest_path)))

@@ -217,3 +217,22 @@ def test_unclosed_notes_take_linear_time():
         _without_tags(part * 200_000)
     assert time.time() - start < 20
     assert _without_tags("a<ref>b<math>c</ref>d</math>e<REF x=1>f</ref >g<ref>h<!-- i --><gallery>j") == "adeghj"
+
+
+def test_digests_of_files_of_any_size(spark, tmp_path):
+    import os
+    folder = str(tmp_path / "dump")
+    rows = [("a.xml-p1p9.bz2", b"one"), ("b.xml-p10p29.bz2", b""), ("c c%20.xml-p30p31.bz2", b"x" * 3_000_000)]
+    made = files.write_files(spark.createDataFrame(rows, "file_name string, content binary"), folder).collect()
+    assert sorted(r.length for r in made) == [0, 3, 3_000_000]
+    with open(f"{folder}/large.xml-p40p50.bz2", "wb") as f:
+        f.truncate(2_200_000_000)                                              # more than a value can hold; sparse on disk
+    want = {name: hashlib.md5(data).hexdigest() for name, data in rows}
+    h = hashlib.md5()
+    for _ in range(220):
+        h.update(bytes(10_000_000))
+    want["large.xml-p40p50.bz2"] = h.hexdigest()
+    listed = files.list_files(spark, folder)
+    got = {r.file_name: r.actual for r in files.file_digests(listed).collect()}
+    assert got == want and {r.length for r in listed.collect()} == {0, 3, 3_000_000, 2_200_000_000}
+    os.truncate(f"{folder}/large.xml-p40p50.bz2", 0)
