@@ -146,8 +146,8 @@ def blocks(spots, objects, radius, spot_block=1_000, object_block=1_000):
     return cut(spots, 0), cut(objects, 1), ["_cell", "_sp", "_op"], sides[1][0] is not None
 
 
-def block_weights(spots, objects, radius, method, weight):
-    """(weights, in-range mask) of all pairs of one block, as matrices spots x objects."""
+def block_distances(spots, objects, radius, method):
+    """Distances of all pairs of one block, as a matrix spots x objects; geodesics only where they can be in range."""
     a, b = (spots[c].to_numpy(dtype=float)[:, None] for c in ("lat", "long"))
     c, d = (objects[x].to_numpy(dtype=float)[None, :] for x in ("o_lat", "o_long"))
     dist = haversine_np(a, b, c, d)
@@ -156,4 +156,23 @@ def block_weights(spots, objects, radius, method, weight):
         exact = np.full(dist.shape, np.inf)
         exact[i, j] = geodesic_np(a[i, 0], b[i, 0], c[0, j], d[0, j])
         dist = exact
+    return dist
+
+
+def block_weights(spots, objects, radius, method, weight):
+    """(weights, in-range mask) of all pairs of one block, as matrices spots x objects."""
+    dist = block_distances(spots, objects, radius, method)
     return weight_np(dist, radius, weight), dist < radius
+
+
+def first_k(dist, ids, k):
+    """(row, column) of the k smallest finite entries of each row of a matrix, ties by id."""
+    k = min(k, dist.shape[1])
+    if not dist.size or not k:
+        return np.zeros(0, int), np.zeros(0, int)
+    limit = np.partition(dist, k - 1, axis=1)[:, k - 1]
+    row, column = np.nonzero((dist <= limit[:, None]) & np.isfinite(dist))
+    order = np.lexsort((np.argsort(np.argsort(ids, kind="stable"), kind="stable")[column], dist[row, column], row))
+    row, column = row[order], column[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < k], column[place < k]

@@ -175,8 +175,9 @@ def text_features_sum(spark, sf):
 
 @query()
 def k_closest_articles(spark, sf):
-    pairs = radius_join(probes(spark, sf).select("venue_id", "lat", "long"), article_points(spark, sf), 2000)
-    return tf.k_closest(pairs, 10).select("venue_id", "article_id", r6("dist").alias("dist"))
+    venues = probes(spark, sf).select("venue_id", "lat", "long")
+    return venues.join(tf.k_in_range(venues, article_points(spark, sf), 2000, 10), ["lat", "long"]).select(
+        "venue_id", "article_id", r6("dist").alias("dist"))
 
 
 @query()

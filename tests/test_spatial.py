@@ -189,3 +189,20 @@ def test_near_antipodal_geodesics():
     there, back = geodesic_np(lat, 0 * lat, *far), geodesic_np(*far, lat, 0 * lat)
     assert np.isfinite(there).all() and np.abs(there - back).max() < 1e-3 and there.max() < 20_003_931.5
     assert np.isnan(geodesic_np(np.array([np.nan, 0.0]), np.zeros(2), np.zeros(2), np.full(2, 180.0))).tolist() == [True, False]
+
+
+@pytest.mark.parametrize("method, keep", [("haversine", "nearest"), ("haversine", "farthest"), ("geodesic", "nearest")])
+@pytest.mark.parametrize("block", [4_000, 9])
+def test_k_in_range_equals_brute_force(spark, method, keep, block):
+    a = points(60, (40.70, 40.72), (-74.0, -73.98), 4)
+    b = points(300, (40.70, 40.72), (-74.0, -73.98), 5, "o_").rename(columns={"id": "article_id"})
+    b.loc[:99, ["o_lat", "o_long"]] = [40.71, -73.99]                    # a third at one spot: ties by id
+    dist = (geodesic_np if method == "geodesic" else haversine_np)(*np.broadcast_arrays(a.lat.values[:, None], a.long.values[:, None], b.o_lat.values, b.o_long.values))
+    want = set()
+    for i in range(len(a)):
+        inside = np.flatnonzero(dist[i] < 500)
+        order = np.lexsort((b.article_id.values[inside], np.round(dist[i][inside], 7) * (1 if keep == "nearest" else -1)))[:7]
+        want |= {(i, int(b.article_id[j])) for j in inside[order]}
+    found = tf.k_in_range(spark.createDataFrame(a), spark.createDataFrame(b), 500, 7, method, keep, spot_block=block, article_block=block)
+    got = spark.createDataFrame(a).join(found, ["lat", "long"]).collect()
+    assert {(r.id, r.article_id) for r in got} == want and len(got) == len(want)
