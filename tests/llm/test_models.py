@@ -214,3 +214,10 @@ def test_tagger_adds_what_patterns_miss():
 def test_surface_features_of_odd_texts(texts):
     rows = quality.surface_features(pa.array(texts, pa.string()))
     assert len(rows) == len(quality.NAMES) and all(len(r) == len(texts) and np.isfinite(r).all() for r in rows)
+
+
+@pytest.mark.parametrize("text, want", [("0" * 5000 + ".1.1.1", 1), ("1." + "0" * 5000 + "9.2.3", 1), ("9" * 5000 + ".1.1.1", 0), ("1.2.3." + "0" * 4301, 1),
+                                        ("1.2.3.256", 0), ("000255.0.0.0", 1)])
+def test_addresses_of_any_length(text, want):
+    assert [(k, a, b) for k, a, b in pii.base_spans(text) if k == 1] == [(1, 0, len(text))] * want
+    assert pii.plausible(1, text) == bool(want)
