@@ -86,6 +86,7 @@ def _z(col, src, std):
 
 
 SQL = {
+    "dropped_features": chain(_closed("region", "c1 / v11"), _left),
     "ols_left_out": chain(_closed("region", *_ols), _left),
     "ridge_left_out": chain(_closed("region", *_ridge), _left),
     "lasso_left_out": chain(_closed("region", *_lasso), _left),

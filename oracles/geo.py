@@ -123,8 +123,8 @@ SQL = {
     "distance_weights": chain(w("", "probes", "v_articles"), _in_range(500), """SELECT venue_id, article_id, round(b, 6) AS w_linear,
         round(b * b * b, 6) AS w_cubic, round(1 - exp(-pow(b + 0.3::DOUBLE, 6)), 6) AS w_tanh
         FROM (SELECT *, 1 - dist / 500::DOUBLE AS b FROM inr)"""),
-    "articles_with_vectors": """SELECT doc_id AS article_id, lang, len(embedding)::INT AS dims, round(embedding[1]::DOUBLE, 6) AS first_val
-        FROM documents JOIN embeddings ON doc_id = vec_id""",
+    "articles_with_vectors": """SELECT article_id, lang, dim - 1 AS dim, round(embedding[dim]::DOUBLE, 6) AS val FROM (
+        SELECT doc_id AS article_id, lang, embedding, unnest(range(1, len(embedding) + 1))::INT AS dim FROM documents JOIN embeddings ON doc_id = vec_id)""",
     "text_features_mean": _vectors(2000, _tanh, "c"),
     "text_features_sum": _vectors(1000, "b * b * b", ""),
     "k_closest_articles": chain(w("", "probes", "v_articles"), _in_range(2000), """SELECT venue_id, article_id, round(dist, 6) AS dist

@@ -64,7 +64,7 @@ SQL = {
     "union_categories": w("""SELECT venue_id, category FROM v_venues WHERE category = 'Bar' UNION ALL
         SELECT venue_id, category FROM v_venues WHERE category = 'Pub' UNION ALL
         SELECT venue_id, category FROM v_venues WHERE category = 'Wine Bar'""", "v_venues"),
-    "first_articles": w("""SELECT article_id, md5(text) AS text_md5 FROM v_articles ORDER BY article_id LIMIT 500""",
+    "first_articles": w("""SELECT article_id, md5(text) AS text_md5 FROM v_articles ORDER BY article_id LIMIT 50""",
                         "v_articles"),
     "decode_article_records": w(_flat, "v_articles"),
     "write_read_articles": w(_flat, "v_articles"),

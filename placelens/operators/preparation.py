@@ -11,10 +11,16 @@ from placelens.functions.hashing import hash32
 # over regions, population weighted by size.
 
 
+MOST_LEVELS = 10_000   # values that become columns
+
+
 def dummy_columns(df, column, values=None, prefix="dummy_"):
     """One 0/1 column per value (spaces as underscores) in place of `column`."""
     if values is None:   # becomes one column each, so their number is bounded by the schema
-        values = sorted(r[0] for r in df.select(column).distinct().collect() if r[0] is not None)
+        found = df.select(column).distinct().limit(MOST_LEVELS + 1).collect()
+        if len(found) > MOST_LEVELS:
+            raise ValueError(f"{column} has more than {MOST_LEVELS} values; name the ones to become columns")
+        values = sorted(r[0] for r in found if r[0] is not None)
     hot = [F.coalesce((F.col(column) == v).cast("int"), F.lit(0)).alias(prefix + v.replace(" ", "_")) for v in values]
     return df.select(*[c for c in df.columns if c != column], *hot)
 
@@ -39,13 +45,15 @@ def nested_split(df, key, seed=42, share=0.25):
     return df.withColumn("split", F.when(in_test(key, seed, share), "test").when(again, "validation").otherwise("train"))
 
 
-def make_train_test(df, key, target, dummies=(), drop=(), seed=42, share=0.25):
+def make_train_test(df, key, target, dummies=(), drop=(), seed=42, share=0.25, levels=None):
     """Nested split with one-hot columns, leak columns dropped, and levels unseen in training removed.
 
+    `levels` names the values of a column that become columns ({column: values}); otherwise all that occur do.
+
     Returns (table with `split`, names of the feature columns)."""
     out = nested_split(df.drop(*[c for c in drop if c not in dummies]), key, seed, share)
     for d in dummies:
-        out = dummy_columns(out, d, prefix=d + "_")
+        out = dummy_columns(out, d, (levels or {}).get(d), prefix=d + "_")
     names = [c for c in out.columns if c not in (key, target, "split")]
     dead = dead_levels(out.filter(F.col("split") != "test"), [c for c in names if "_" in c])
     return out.drop(*dead), [c for c in names if c not in dead]

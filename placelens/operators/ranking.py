@@ -16,24 +16,21 @@ def rank_table(df, value, group=None, weight=None):
     """Rows (group, value, n, rank, total): competition rank of every distinct value, largest first.
     A row stands for `weight` rows if that column is named.
 
-    Rows are first counted per value. The distinct values are then cut into buckets at approximate
-    quantiles; a running count inside each bucket plus the sum of the buckets above gives the rank.
-    No window spans a whole group, so one group may hold most of the table.
+    Rows are first counted per value. The distinct values are range-partitioned by group and value; a running count inside
+    each partition plus the sum of the partitions above gives the rank. No window spans a whole group, so one group may hold
+    most of the table, and partitions grow in number with the session's shuffle partitions.
     """
-    spark, keys = df.sparkSession, _list(group)
+    keys = _list(group)
     hist = df.groupBy(*keys, value).agg((F.sum(weight) if weight else F.count("*")).alias("n"))
-    buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1_000)
-    cuts = hist.agg(F.percentile_approx(value, [i / buckets for i in range(1, buckets)] or [0.5], 10_000)).first()[0] or []
-    bounds = F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]).cast("array<double>")
-    v = F.col(value).cast("double")
-    hist = hist.withColumn("_bucket", F.size(F.filter(bounds, lambda b: b < v)))
-    sums = hist.groupBy(*keys, "_bucket").agg(F.sum("n").alias("_in_bucket"))
-    above = Window.partitionBy(*keys).orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*keys, "_bucket", F.coalesce(F.sum("_in_bucket").over(above), F.lit(0)).alias("_above"),
-                       F.sum("_in_bucket").over(Window.partitionBy(*keys)).alias("total"))   # one row per bucket
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1)
+    # stored: the ranges come from a sample, so they are drawn once
+    hist = cut_lineage(hist.repartitionByRange(*keys, F.desc(value)).withColumn("_part", F.spark_partition_id()))
+    sums = hist.groupBy(*keys, "_part").agg(F.sum("n").alias("_in_part"))
+    above = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*keys, "_part", F.coalesce(F.sum("_in_part").over(above), F.lit(0)).alias("_above"),
+                       F.sum("_in_part").over(Window.partitionBy(*keys)).alias("total"))   # one row per group and partition
+    inside = Window.partitionBy(*keys, "_part").orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1)
     return (hist.withColumn("_before", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-            .join(sums, [*keys, "_bucket"])
+            .join(sums, [*keys, "_part"])
             .select(*keys, value, "n", (F.col("_above") + F.col("_before") + 1).alias("rank"), "total"))
 
 

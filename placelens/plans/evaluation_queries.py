@@ -109,7 +109,7 @@ def train_test_split(spark, sf):
 @query()
 def nested_split(spark, sf):
     table, names = pr.make_train_test(scores(spark, sf).select("venue_id", "y", "region", "f2", "dummy_rare", "dummy_common", "lat"),
-                                      "venue_id", "y", dummies=["region"], drop=["lat"])
+                                      "venue_id", "y", dummies=["region"], drop=["lat"], levels={"region": ["East", "North", "South", "West"]})
     return table.select("venue_id", "split", *[c for c in names if c != "f2"], r6("f2").alias("f2"))
 
 
@@ -204,6 +204,14 @@ def lasso_left_out(spark, sf):
     return _left_out(spark, sf, "lasso", 0.02, ("lat",))
 
 
+@query()
+def dropped_features(spark, sf):
+    """Least squares on three named features of which two are dropped by name."""
+    p = linear.predict_left_out(_place_arrays(spark, sf, ("lat", "f2", "long")), "region", kind="ols",
+                                names=["lat", "f2", "long"], drops=["f2", "long"])
+    return p.select("venue_id", F.round("prediction", 5).alias("prediction"))
+
+
 def _ols(df, group):
     return linear.predict_left_out(df, group, kind="ols")
 

@@ -159,8 +159,8 @@ def articles_with_vectors(spark, sf):
     docs = v.read(spark, sf, "documents").select(F.col("doc_id").alias("article_id"), "lang")
     vecs = v.read(spark, sf, "embeddings").select(F.col("vec_id").alias("article_id"), "embedding")
     joined = tf.with_vectors(docs, vecs)
-    return joined.select("article_id", "lang", F.size("embedding").alias("dims"),
-                         r6(F.col("embedding")[0].cast("double")).alias("first_val"))
+    return joined.select("article_id", "lang", F.posexplode("embedding").alias("dim", "val")).select(
+        "article_id", "lang", "dim", r6(F.col("val").cast("double")).alias("val"))
 
 
 @query()
