@@ -8,7 +8,7 @@ from tests.oracle_check import ROOT, differences, duck
 
 SF = f"{ROOT}/sf0.001"
 ROWS_ONLY = {"fit_ols", "fit_lasso", "fit_ridge", "fit_svr_rff", "cross_validation", "soos_validation",
-             "feature_ranking", "feature_sweep"}
+             "feature_ranking", "feature_sweep", "selection_chain"}
 
 
 @pytest.fixture(scope="module")
