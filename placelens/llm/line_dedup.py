@@ -34,6 +34,7 @@ BINS = 64              # of a line's sketch
 PART = 1 << 20         # signatures that a task sorts at once, about
 FLUSH = 1 << 19        # signatures that a task gathers before it sends them
 SIFTED = 2048          # larger candidate groups are not sifted by sketches
+HOT = 1000             # occurrences of a line class that meet its first one in one task, about
 FEW = 16               # lines of a block up to which pairs are compared one by one
 SLICE = 1 << 18       # bytes of text that a task works on at once; the arrays take some hundred times as much
 
@@ -363,8 +364,15 @@ def removed_lines(texts):
         F.coalesce("component", "item").alias("line_class"), "doc_id", "text_hash", "line")
     seen, _ = stage(seen, "line-classes")
     first = seen.groupBy("line_class").agg(F.min(F.struct("doc_id", "line", "text_hash")).alias("first"), F.count("*").alias("n"))
-    first = first.where("n > 1").select("line_class", F.col("first.doc_id").alias("d"), F.col("first.line").alias("l"), F.col("first.text_hash").alias("h"))
-    return seen.join(first, "line_class").where("doc_id != d OR line != l OR text_hash != h").select(
+    first, _ = stage(first.where("n > 1").select(
+        "line_class", F.col("first.doc_id").alias("d"), F.col("first.line").alias("l"), F.col("first.text_hash").alias("h"),
+        F.ceil(F.col("n") / HOT).cast("int").alias("salts")), "first-lines")
+    # a class of very many occurrences is dealt to several tasks; there are few such classes
+    hot = broadcast_if_small(first.where("salts > 1").select("line_class", "salts"))
+    seen = seen.join(hot, "line_class", "left").withColumn(
+        "salt", F.pmod(F.xxhash64("doc_id", "line", "text_hash"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    first = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    return seen.join(first, ["line_class", "salt"]).where("doc_id != d OR line != l OR text_hash != h").select(
         "doc_id", "text_hash", "line").distinct()
 
 

@@ -295,3 +295,12 @@ def test_large_candidate_groups_are_sifted_like_small_ones():
         gid, item = np.zeros(size, np.int64), np.arange(100, 100 + size)
         got = set(zip(*(c.to_pylist() for c in line_dedup._sift(gid, item, sketch[:size]).columns)))
         assert got == {(100 + n % 3, 100 + n) for n in range(3, size)}
+
+
+def test_a_line_of_very_many_documents(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HOT", 3)
+    rng = random.Random(23)
+    shared = cases.text(rng, 14)
+    rows = [(k, f"{cases.text(rng, 15)}\n{shared}") for k in range(40)]
+    got = {r.doc_id: (r.text, r["__lines"], r["__kept"]) for r in line_dedup.dedup_lines(cases.table(spark, rows)).collect()}
+    assert got == {k: (t, 2, 2) if k == 0 else (t.split("\n")[0], 2, 1) for k, t in rows}
