@@ -181,8 +181,8 @@ def union_categories(spark, sf):
 
 @query()
 def first_articles(spark, sf):
-    """The first 50 articles with coordinates, by id (the early stop of the extraction): a bounded list per task, no full sort."""
-    return v.articles(spark, sf).orderBy("article_id").limit(50).select("article_id", F.md5("text").alias("text_md5"))
+    """The first 500 articles with coordinates, by id (the early stop of the extraction): a bounded list per task, no full sort."""
+    return v.articles(spark, sf).orderBy("article_id").limit(500).select("article_id", F.md5("text").alias("text_md5"))
 
 
 @query()

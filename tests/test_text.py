@@ -236,3 +236,11 @@ def test_digests_of_files_of_any_size(spark, tmp_path):
     got = {r.file_name: r.actual for r in files.file_digests(listed).collect()}
     assert got == want and {r.length for r in listed.collect()} == {0, 3, 3_000_000, 2_200_000_000}
     os.truncate(f"{folder}/large.xml-p40p50.bz2", 0)
+
+
+def test_first_articles_keeps_five_hundred(spark, tmp_path):
+    from placelens.plans import all_queries
+    spark.range(600).selectExpr("600 - id AS doc_id", "concat('t', id) AS text").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.range(600).selectExpr("id + 1 AS vec_id", "array(1.0f) AS embedding").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = all_queries()["first_articles"](spark, str(tmp_path)).collect()
+    assert sorted(r.article_id for r in got) == list(range(1, 501))
