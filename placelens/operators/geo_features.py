@@ -61,7 +61,7 @@ def with_dist_center(df, centre=CENTRE):
     return df.withColumn("dist_center", euclidean("lat", "long", F.lit(centre[0]), F.lit(centre[1])))
 
 
-def geo_features(probes, places, categories, max_dist=200, centre=CENTRE, key="venue_id", leaf=2_000):
+def geo_features(probes, places, categories, max_dist=200, centre=CENTRE, key="venue_id", leaf=200_000):
     """All geographic features. `places` has o_lat, o_long, category; the probe itself counts too.
 
     `categories` is the known list of place categories, so the schema does not depend on the data.
@@ -75,7 +75,7 @@ def geo_features(probes, places, categories, max_dist=200, centre=CENTRE, key="v
     return out.select(*order)
 
 
-def count_and_nearest(probes, objects, max_dist, method="haversine", key="venue_id", leaf=2_000):
+def count_and_nearest(probes, objects, max_dist, method="haversine", key="venue_id", leaf=200_000):
     """Rows (key, category, count, dist) for every probe and every category: objects closer than
     `max_dist` metres and distance to the nearest one at any range."""
     near = nearest(probes, objects, key=key, by="category", method=method)

@@ -71,6 +71,27 @@ def test_disc_at_a_pole_is_not_covered_by_a_wide_part(spark):
         assert [r.n for r in count_within(a, b, Disc(500), key="id", leaf=leaf).collect()] == [2]
 
 
+@pytest.mark.parametrize("shape", [Box(200), Disc(200)])
+def test_counts_of_a_dense_cell_need_no_stage_tables(spark, shape):
+    from placelens import session
+    a = points(300, (40.70, 40.704), (-74.0, -73.996), 4)
+    b = points(6_000, (40.70, 40.704), (-74.0, -73.996), 5, "o_").drop(columns="id").assign(category=None).astype({"category": "object"})
+    b.loc[:4_999, "category"] = "x"
+    a, b = pd.concat([a, a.iloc[:1]]), pd.concat([b, b.iloc[:50]])        # a probe and 50 objects twice
+    la, lo = a.lat.values[:, None], a.long.values[:, None]
+    d = np.degrees(200 / 6371000.0)
+    inside = (np.abs(b.o_lat.values - la) < d) & (np.abs(b.o_long.values - lo) < d / np.cos(np.radians(la))) if isinstance(shape, Box) else \
+        haversine_np(la, lo, b.o_lat.values[None], b.o_long.values[None]) < 200
+    want = pd.DataFrame({"id": a.id.values, "x": inside[:, (b.category == "x").values].sum(axis=1), "none": inside[:, b.category.isna().values].sum(axis=1)})
+    want = want.groupby("id").sum()
+    stages = len(session._STAGES)
+    schema = "o_lat double, o_long double, category string"
+    out = count_within(spark.createDataFrame(a), spark.createDataFrame(b.values.tolist(), schema), shape, key="id")
+    got = {(r.id, r.category): r.n for r in out.collect()}
+    assert len(session._STAGES) == stages
+    assert got == {(i, c): int(r[k]) for i, r in want.iterrows() for c, k in (("x", "x"), (None, "none")) if r[k]}
+
+
 @pytest.mark.parametrize("method", ["degrees", "haversine", "geodesic"])
 @pytest.mark.parametrize("lats, longs", [((40.68, 40.76), (-74.02, -73.92)), ((-80, 85), (-180, 180)), ((-2, 2), (175, 185))])
 def test_nearest_equals_brute_force(spark, method, lats, longs):
