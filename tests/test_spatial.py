@@ -198,6 +198,28 @@ def test_no_cartesian_products(spark):
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+def test_wide_word_rows_are_not_shuffled(spark):
+    v = spark.createDataFrame([(1, 40.7, -74.0), (2, 40.7, -74.0), (2, 40.7, -74.0)], "venue_id int, lat double, long double")
+    a = spark.createDataFrame([(1, 40.7, -74.0), (2, 40.7001, -74.0)], "article_id int, lat double, long double")
+    w = spark.createDataFrame([(1, "a", 2.0), (2, "a", 1.0), (2, "b", 0.0)], "article_id int, word string, tfidf double")
+    features, vocabulary = words.venue_words(v, a, w, 500, None, mean=False)
+    long = words.venue_words_long(features, vocabulary)
+    plan = long._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan[:plan.index("FlatMapCoGroups")].split("BroadcastExchange")[0]
+    assert sorted(map(tuple, long.collect())) == [(1, "a", 3.0), (2, "a", 3.0), (2, "a", 3.0)]
+
+
+def test_vector_blocks_hold_few_distances_at_once():
+    import tracemalloc
+    a, b = points(1_000, (40.70, 40.72), (-74.0, -73.98), 4), points(4_000, (40.70, 40.72), (-74.0, -73.98), 5, "o_")
+    b["n"], b["v"] = 1, list(np.ones((4_000, 3)))
+    tracemalloc.start()
+    count, total = tf._weighted_sums(a, b, 5_000, "haversine", None)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (count == 4_000).all() and (total == 4_000).all() and peak < 60e6
+
+
 def test_near_antipodal_geodesics():
     """Published distances (Karney, 2013, and the half meridian), in every order and mirrored; symmetric for random pairs."""
     for lat1, long1, lat2, long2, want in ((-30, 0, 29.9, 179.8, 19_989_832.827610), (0, 0, 0, 180, 20_003_931.4586), (90, 0, -90, 10, 20_003_931.4586),
