@@ -74,8 +74,8 @@ def test_disc_at_a_pole_is_not_covered_by_a_wide_part(spark):
 @pytest.mark.parametrize("shape", [Box(200), Disc(200)])
 def test_counts_of_a_dense_cell_need_no_stage_tables(spark, shape):
     from placelens import session
-    a = points(300, (40.70, 40.704), (-74.0, -73.996), 4)
-    b = points(6_000, (40.70, 40.704), (-74.0, -73.996), 5, "o_").drop(columns="id").assign(category=None).astype({"category": "object"})
+    a = points(300, (40.70, 40.7025), (-74.0, -73.9975), 4)
+    b = points(12_000, (40.70, 40.7015), (-74.0, -73.9985), 5, "o_").drop(columns="id").assign(category=None).astype({"category": "object"})
     b.loc[:4_999, "category"] = "x"
     a, b = pd.concat([a, a.iloc[:1]]), pd.concat([b, b.iloc[:50]])        # a probe and 50 objects twice
     la, lo = a.lat.values[:, None], a.long.values[:, None]
