@@ -107,6 +107,29 @@ def test_nearest_equals_brute_force(spark, method, lats, longs):
     assert (got.oid.values == d.argmin(axis=1)).all()
 
 
+@pytest.mark.parametrize("method", ["degrees", "haversine"])
+def test_nearest_per_category_in_cut_blocks_without_windows_over_probes(spark, method):
+    rng = np.random.default_rng(8)
+    a, b = points(400, (40.70, 40.72), (-74.0, -73.98), 4), points(1_500, (40.70, 40.72), (-74.0, -73.98), 5, "o_").drop(columns="id")
+    a.loc[:99, ["lat", "long"]] = [40.71, -73.99]                # a quarter of the probes at one spot
+    a.loc[100:199, "lat"] = 40.7105 + rng.normal(0, 1e-6, 100)   # a quarter within centimetres
+    b.loc[:499, "o_lat"] = 40.7105 + rng.normal(0, 1e-6, 500)
+    b["category"] = rng.choice(["x", "y", "far"], len(b), p=[0.6, 0.399, 0.001])
+    b.loc[b.category == "far", "o_lat"] += 5
+    b.loc[:20, "category"] = None
+    d = np.hypot(a.lat.values[:, None] - b.o_lat.values, a.long.values[:, None] - b.o_long.values) if method == "degrees" else \
+        haversine_np(a.lat.values[:, None], a.long.values[:, None], b.o_lat.values[None], b.o_long.values[None])
+    want = {(i, c): d[i, (b.category == c).values].min() for i in range(len(a)) for c in ("x", "y", "far")}
+    probes, objects = spark.createDataFrame(a), spark.createDataFrame(b.values.tolist(), "o_lat double, o_long double, category string")
+    out = nearest(probes, objects, key="id", by="category", method=method)
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+    small = nearest(probes, objects, key="id", by="category", method=method, leaf=16, probe_leaf=8, probe_block=20, object_block=60)
+    for found in (out.collect(), small.collect()):
+        got = {(r.id, r.category): r.dist for r in found}
+        assert len(found) == len(got) and got.keys() == want.keys()
+        np.testing.assert_allclose([got[k] for k in want], list(want.values()), rtol=1e-7, atol=1e-9)
+
+
 def test_geodesic_matches_published_pairs(spark):
     # one degree along the equator and along the meridian
     assert abs(float(geodesic_np(0.0, 0.0, 0.0, 1.0)) - 111319.4908) < 1e-3
