@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from placelens.functions.geo import distance, geodesic_np, haversine_np
+from placelens.functions.geo import distance, geodesic_np, haversine_np, sphere_np
 from placelens.operators.counting import _known
 from placelens.operators.grid import MARGIN, SMALL_TABLE
 from placelens.session import cut_lineage
@@ -85,10 +85,7 @@ def _axes(method, lat, long):
 
 
 def _axes_np(method, lat, long):
-    if method == "degrees":
-        return np.column_stack([lat, long])
-    la, lo = np.radians(lat), np.radians(long)
-    return np.column_stack([np.cos(la) * np.cos(lo), np.cos(la) * np.sin(lo), np.sin(la)])
+    return np.column_stack([lat, long]) if method == "degrees" else sphere_np(lat, long)
 
 
 def _slack(method):

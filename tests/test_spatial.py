@@ -243,6 +243,29 @@ def test_vector_blocks_hold_few_distances_at_once():
     assert (count == 4_000).all() and (total == 4_000).all() and peak < 60e6
 
 
+def test_weights_compare_few_distances_beyond_the_radius(monkeypatch):
+    a, b = points(2_000, (40.68, 40.70), (-74.0, -73.98), 4), points(3_000, (40.64, 40.74), (-74.05, -73.93), 5, "o_")
+    a.loc[:499, ["lat", "long"]] += np.random.default_rng(1).normal(0, 1e-5, (500, 2))
+    a.loc[1_999, "lat"] = np.nan
+    b["n"], b["v"] = 2, list(np.random.default_rng(2).normal(size=(3_000, 3)))
+    compared, weigh = [], tf.chord_weights
+    monkeypatch.setattr(tf, "chord_weights", lambda *args: compared.append(weigh(*args)) or compared[-1])
+    count, total = tf._weighted_sums(a, b, 2_000, "haversine", "tanh")
+    d = haversine_np(a.lat.values[:, None], a.long.values[:, None], b.o_lat.values, b.o_long.values)
+    w = np.where(d < 2_000, 1 - np.exp(-(1.3 - d / 2_000) ** 6), 0)
+    np.testing.assert_allclose(total, w @ np.stack(b.v), rtol=1e-9, atol=1e-9)
+    assert (count == 2 * (d < 2_000).sum(axis=1)).all()
+    assert sum(w.size for w, _ in compared) < 2 * (d < 2_000).sum()     # before: all pairs
+
+
+def test_distances_at_the_radius_follow_the_plain_formula():
+    a, b = points(30, (40.68, 40.70), (-74.0, -73.98), 4), points(40, (40.68, 40.70), (-74.0, -73.98), 5, "o_")
+    d = haversine_np(a.lat.values[:, None], a.long.values[:, None], b.o_lat.values, b.o_long.values)
+    for radius in d[::7, ::11].ravel():
+        for r in (radius, np.nextafter(radius, np.inf)):
+            assert (grid.chord_weights(a, b, r, "haversine", None)[1] == (d < r)).all()
+
+
 def test_near_antipodal_geodesics():
     """Published distances (Karney, 2013, and the half meridian), in every order and mirrored; symmetric for random pairs."""
     for lat1, long1, lat2, long2, want in ((-30, 0, 29.9, 179.8, 19_989_832.827610), (0, 0, 0, 180, 20_003_931.4586), (90, 0, -90, 10, 20_003_931.4586),
