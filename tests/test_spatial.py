@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from placelens.functions.geo import geodesic_np, haversine_np
+from placelens.functions.geo import geodesic_np, haversine_np, rounded
 from placelens.operators import grid, text_features as tf, words
 from placelens.operators.counting import Box, Disc, count_within
 from placelens.operators.nearest import nearest
@@ -32,6 +32,39 @@ def test_radius_join_equals_brute_force(spark, lats, longs, radius, cut):
     assert len(got) == len(set(got)) and {tuple(r) for r in got} == want
 
 
+@pytest.mark.parametrize("lats, longs, half", [((40.68, 40.76), (-74.02, -73.92), 200), ((-60, 75), (-170, 170), 300_000)])
+@pytest.mark.parametrize("cut", [4_000, 5])
+def test_rectangle_join_equals_brute_force(spark, lats, longs, half, cut):
+    a, b = points(250, lats, longs, 1), points(300, lats, longs, 2, "o_").rename(columns={"id": "oid"})
+    d, la, lo = np.degrees(half / 6371000.0), a.lat.values[:, None], a.long.values[:, None]
+    inside = (np.abs(b.o_lat.values - la) < d) & (np.abs(b.o_long.values - lo) < d / np.cos(np.radians(la)))
+    got = grid.rectangle_join(spark.createDataFrame(a), spark.createDataFrame(b), half, max_cell=cut).select("id", "oid").collect()
+    assert len(got) == len(set(got)) and {tuple(r) for r in got} == set(zip(*np.nonzero(inside)))
+
+
+def test_pair_lists_have_tasks_by_pairs_and_distances_once(spark, monkeypatch):
+    monkeypatch.setattr(grid, "LEAST_PAIRS", 1_000)
+    monkeypatch.setattr(grid, "TASK_PAIRS", 1_000)
+    a, b = points(250, (40.70, 40.701), (-74.0, -73.999), 1), points(300, (40.70, 40.701), (-74.0, -73.999), 2, "o_").rename(columns={"id": "oid"})
+    for join in (lambda x, y: grid.radius_join(x, y, 500), lambda x, y: grid.radius_join(x, y, 500, "geodesic"), lambda x, y: grid.rectangle_join(x, y, 200)):
+        pairs = join(spark.createDataFrame(a), spark.createDataFrame(b))
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+        assert pairs.rdd.getNumPartitions() >= 250 * 300 // 1_000 and "SortMergeJoin" in plan
+        assert plan.count("ArrowEvalPython") <= 1 and pairs.count() == 250 * 300
+
+
+@pytest.mark.parametrize("digits", [4, 6])
+def test_rounded_equals_round_to_the_last_bit(spark, digits):
+    rng = np.random.default_rng(1)
+    ties = np.round(rng.uniform(-500, 500, 2_000), digits + 1)
+    ties = np.where(rng.random(2_000) < 0.5, np.floor(ties * 10.0 ** digits) / 10.0 ** digits + 0.5 / 10.0 ** digits, ties)
+    x = [*rng.uniform(-500, 500, 2_000), *ties, *rng.uniform(-1, 1, 500) * 10.0 ** -digits, 0.0, -0.0, 1e15 + 0.3, -1e300, None,
+         float("nan"), float("inf"), float("-inf")]
+    df = spark.createDataFrame([(v if v is None else float(v),) for v in x], "x double")
+    for got, want in df.select(rounded("x", digits), F.round("x", digits)).collect():
+        assert repr(got) == repr(want)
+
+
 @pytest.mark.parametrize("shape, leaf", [("box", 2_000), ("box", 3), ("disc", 2_000), ("disc", 3), ("geodesic", 3)])
 def test_counts_equal_brute_force_also_in_hot_cells(spark, shape, leaf):
     rng = np.random.default_rng(3)
