@@ -167,7 +167,7 @@ def link_groups(pairs, items, prepare, links):
 
     cells = left.union(right).join(items, "item").select("gid", "p", "block", "side", "item", "component", "payload")
     met = cells.repartition("gid", "p", "block").sortWithinPartitions("gid", "p", "block").mapInArrow(meet, "a long, b long")
-    return components(joined.union(met))
+    return components(joined.union(stage(met, "links")[0]))          # stored, as a task with two Python workers takes twice the memory
 
 
 def stars(batches):

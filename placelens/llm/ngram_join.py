@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from placelens.llm.common import (Forest, broadcast_if_small, components, mix, record_batch, shingle_set, signed, slices,
-                                  stage, table, text_bytes, words)
+                                  small_batches, stage, table, text_bytes, words)
 from placelens.llm.groups import candidate_pairs, link_groups
 
 SIZES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64())])
@@ -221,6 +221,7 @@ def tree_links(left, right, num, den):
 
 def ngram_join(documents, n=5, num=80, den=100):
     """doc_id, n_shingles, component_id of every row; links at den * |intersection| >= num * |union|."""
+    small_batches(documents.sparkSession)
     texts = documents.select(F.col("doc_id").cast("long"), "text")
 
     def measure(batches):

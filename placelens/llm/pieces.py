@@ -21,12 +21,13 @@ import pyarrow.compute
 import zlib
 from pyspark.sql import functions as F
 
-from placelens.llm.common import ChunkCache, expand, slices, span_hashes, table, text_bytes
+from placelens.llm.common import ChunkCache, expand, slices, small_batches, span_hashes, table, text_bytes
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 UNKNOWN_PENALTY = 10.0
-SIZE = 1 << 20
+SIZE = 1 << 18         # bytes of text that a task works on at once
+AT_ONCE = 1 << 16      # bytes of chunks whose paths are searched at once; the arrays take some hundred times as much
 
 
 def _varint(raw, i):
@@ -252,8 +253,17 @@ class Codec:
         data = data.tobytes()
         return pa.array([data[a:b].decode("utf-8", "replace") for a, b in zip(start.tolist(), end.tolist())], pa.large_string())
 
+    def paths(self, chunks):
+        """As viterbi, some chunks at a time, so that working arrays stay small."""
+        size = np.cumsum([0, *map(len, chunks)])
+        cuts, out = [0], []
+        while cuts[-1] < len(chunks):
+            cuts.append(max(cuts[-1] + 1, int(np.searchsorted(size, size[cuts[-1]] + AT_ONCE, "right")) - 1))
+            out.append(self.viterbi(chunks[cuts[-2]:cuts[-1]]))
+        return tuple(map(np.concatenate, zip(*out))) if out else self.viterbi(chunks)
+
     def cache(self):
-        return ChunkCache(self.viterbi, np.int32)
+        return ChunkCache(self.paths, np.int32)
 
 
 _CACHES = {}
@@ -270,6 +280,7 @@ def _worker(shared):
 
 def encode(documents, pieces=None):
     """doc_id, ids, n_tokens, n_fallback (byte pieces), ids_crc32 (of 32-bit little-endian ids), round_trip."""
+    small_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(Codec(pieces or read_model()))
 
     def run(batches):

@@ -342,3 +342,18 @@ def test_registered_query(spark, name):
 
 def test_line_dedup_threshold_matches_its_docstring():
     assert (1 - 0.8 ** line_dedup.ROWS) ** line_dedup.BANDS < 1e-4
+
+
+def test_paths_are_searched_a_bounded_number_of_bytes_at_once(monkeypatch):
+    monkeypatch.setattr(pieces, "AT_ONCE", 64)
+    codec, seen = pieces.Codec(pieces.read_model()), []
+    search = codec.viterbi
+    chunks = [f"▁word{k}".encode() for k in range(200)] + ["▁".encode() + b"x" * 300]
+    want, size = search(chunks)
+    monkeypatch.setattr(codec, "viterbi", lambda some: seen.append(sum(map(len, some))) or search(some))
+    cache = codec.cache()
+    keys = np.arange(len(chunks), dtype=np.uint64)[::-1] * np.uint64(977)
+    for _ in range(2):
+        ids, count = cache.ids_of(keys, lambda i: chunks[i])
+        assert ids.tolist() == want.tolist() and count.tolist() == size.tolist()
+    assert len(seen) > 10 and sorted(seen)[-2] <= 64
