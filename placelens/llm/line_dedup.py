@@ -4,7 +4,7 @@ A line is a part of a text between line feeds, trimmed of ASCII white space, A-Z
 Q characters (the whole line, if shorter); two lines are similar at a Jaccard similarity of SIMILAR or more. Every distinct
 line gets BANDS * ROWS minima of multiplied shingle hashes; ROWS minima make a band. A pair at the threshold shares no band
 with probability (1 - 0.8^6)^31 < 1e-4. A line and all that share a band of which it is the smallest line form a candidate
-group. Sketches of BINS bins cut the groups first, where a similarity at the threshold would need 4.5 deviations more equal bins;
+group, cut where the sizes of their sets differ too much. Sketches of BINS bins cut the groups first, where a similarity at the threshold would need 4.5 deviations more equal bins;
 then exact similarities are taken in blocks; links make components by distributed union-find. Of each component the first occurrence by (doc_id,
 line number) stays, all others go. ROWS should grow with the logarithm of the corpus, so that unrelated lines seldom meet.
 
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from placelens.llm.common import (ASCII_SPACE, Forest, LOWER, PAIR, broadcast_if_small, distinct, drop, expand, mix, randoms,
-                                  record_batch, signed, slices, span_hashes, spans, stage, table, text_bytes)
+                                  record_batch, signed, slices, small_batches, span_hashes, spans, stage, table, text_bytes)
 from placelens.llm.groups import link_groups
 from placelens.llm.vectors import local_components
 
@@ -33,19 +33,25 @@ COLUMNS = 8192         # tokens of one block of the overlap product
 BINS = 64              # of a line's sketch
 PART = 1 << 20         # signatures that a task sorts at once, about
 FLUSH = 1 << 19        # signatures that a task gathers before it sends them
+DONE = 1 << 17         # lines that a task knows as signed at once
+ROWS_AT_ONCE = 32      # of a larger candidate group that sketches compare with all others
 SIFTED = 2048          # larger candidate groups are not sifted by sketches
 HOT = 1000             # occurrences of a line class that meet its first one in one task, about
 FEW = 16               # lines of a block up to which pairs are compared one by one
+CHUNK = 1 << 16        # shingles that are hashed at once
+SIZE_STEP, NEAR = 1.06, 4     # ratio of sizes from one code to the next; 1.06^4 > 1 / 0.8
 SLICE = 1 << 18       # bytes of text that a task works on at once; the arrays take some hundred times as much
 
 BLOBS = pa.schema([("p", pa.int32()), ("blob", pa.binary())])
-STARS = pa.schema([("gid", pa.int64()), ("item", pa.int64()), ("sketch", pa.binary())])
+STARS = pa.schema([("gid", pa.int64()), ("short", pa.int64()), ("item", pa.int64()), ("sketch", pa.binary())])
 LINES = pa.schema([("item", pa.int64()), ("payload", pa.string())])
 OCCURRENCES = pa.schema([("item", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("line", pa.int32())])
 
-_EMPTY = np.uint32(1 << 26)
+SHORT = np.uint64(32)
+_LOW = np.uint32((1 << 26) - 1)
 _MIXED = mix(np.arange(256, dtype=np.uint64))
 _Q_FACTORS, _ROW_FACTORS = randoms(Q, 31) | np.uint64(1), randoms(ROWS, 41) | np.uint64(1)
+_BAND_SALTS = mix(np.arange(BANDS))
 _FACTORS = (randoms(BANDS * ROWS, 77) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
@@ -89,39 +95,71 @@ def character_shingles(data, start, end):
     return total, first, np.maximum(chars - Q + 1, 1)
 
 
-def signatures_of(data, start, end, key):
-    """(signature, item) rows of the distinct lines, and (item, sketch) of each."""
+def distinct_shingles(data, start, end):
+    """(32-bit hashes of the distinct shingles, line by line in ascending order, place of each line's first one, number of each line)."""
+    hashes, first, count = character_shingles(data, start, end)
+    line = np.repeat(np.arange(len(count), dtype=np.uint64), count)
+    both = np.sort(line << np.uint64(32) | hashes[expand(first, count)] >> np.uint64(32))
+    both = both[np.concatenate([[True], both[1:] != both[:-1]])]
+    count = np.bincount((both >> np.uint64(32)).astype(np.int64), minlength=len(count))
+    return both.astype(np.uint32), np.cumsum(count) - count, count
+
+
+def signed_lines(data, start, end, key):
+    """Of the distinct lines: signatures (a row for each band), keys, sketches and codes of their sizes."""
     _, once = np.unique(key, return_index=True)
     once.sort()
     start, end, key = start[once], end[once], key[once]
-    hashes, first, count = character_shingles(data, start, end)
-    x = np.append((hashes >> np.uint64(32)).astype(np.uint32), np.uint32(0))
-    bounds = np.column_stack([first, first + count]).ravel()            # what lies between two lines is left out
-    out = np.empty_like(x)
-    sigs = []
-    for band in range(BANDS):
-        total = np.full(len(key), band + 1, np.uint64)
-        for j in range(ROWS):
-            np.multiply(x, _FACTORS[band * ROWS + j], out=out)
-            total += np.minimum.reduceat(out, bounds)[::2].astype(np.uint64) * _ROW_FACTORS[j]
-        sigs.append(mix(total + mix(np.full(1, band, np.uint64))))
-    return np.concatenate(sigs), np.tile(key, BANDS), key, sketches_of(x, first, count)
-
-
-def sketches_of(x, first, count):
-    """One row of BINS // 2 bytes for each line: the least hash of every bin of its shingles as four bits, 0 for an empty bin."""
-    line = np.repeat(np.arange(len(count)), count)
-    x = x[expand(first, count)]
-    least = np.full(len(count) * BINS, _EMPTY, np.uint32)
-    np.minimum.at(least, line * BINS + (x >> np.uint32(26)).astype(np.int64), x & _EMPTY - np.uint32(1))
-    value = (1 + ((least * np.uint32(0x9E3779B1)) >> np.uint32(8)) % np.uint32(15)).astype(np.uint8)
-    value[least == _EMPTY] = 0
+    x, first, count = distinct_shingles(data, start, end)
+    sig = np.empty((BANDS, len(key)), np.uint64)
+    out = np.empty(min(len(x), CHUNK) + int(count.max()), np.uint32)
+    cuts = distinct(np.append(np.searchsorted(first, np.arange(0, len(x), CHUNK)), len(key)))    # lines that are worked on at once
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        part, begin = x[first[a]:first[b - 1] + count[b - 1]], first[a:b] - first[a]
+        product = out[:len(part)]
+        for band in range(BANDS):
+            total = np.full(b - a, band + 1, np.uint64)
+            for j in range(ROWS):
+                np.multiply(part, _FACTORS[band * ROWS + j], out=product)
+                total += np.minimum.reduceat(product, begin).astype(np.uint64) * _ROW_FACTORS[j]
+            sig[band, a:b] = mix(total + _BAND_SALTS[band])
+    return sig, key, sketches_of(x, count), size_codes(count)
+
+
+def size_codes(count):
+    """Sizes of sets on a logarithmic scale: codes of two sets that may be similar differ by at most NEAR."""
+    return np.minimum(np.log(count) / np.log(SIZE_STEP), 255).astype(np.uint8)
+
+
+def signatures_of(data, start, end, key):
+    """(signature, item) rows of the distinct lines, and (item, sketch) of each."""
+    sig, key, sketch, _ = signed_lines(data, start, end, key)
+    return sig.ravel(), np.tile(key, BANDS), key, sketch
+
+
+def sketches_of(x, count):
+    """One row of BINS // 2 bytes for each line: the least hash of every bin of its shingles as four bits, 0 for an empty bin.
+
+    x: the hashes line by line, ascending, so that the first one of each bin is the least.
+    """
+    place = np.repeat(np.arange(len(count)) * BINS, count) + (x >> np.uint32(26))
+    least = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+    value = np.zeros(len(count) * BINS, np.uint8)
+    value[place[least]] = 1 + (((x[least] & _LOW) * np.uint32(0x9E3779B1)) >> np.uint32(8)) % np.uint32(15)
     value = value.reshape(-1, 2)
     return (value[:, 0] | (value[:, 1] << 4)).reshape(len(count), BINS // 2)
 
 
+def _filled(words):
+    """A bit for each four bits that are not all zero."""
+    words = words | words >> np.uint64(1)
+    return (words | words >> np.uint64(2)) & np.uint64(0x1111111111111111)
+
+
 def _values(sketches):
-    return np.concatenate([sketches & 15, sketches >> 4], axis=1)
+    """Of each sketch its 64-bit words, and after them those words with a bit for each bin that is not empty."""
+    words = np.ascontiguousarray(sketches).view(np.uint64)
+    return np.concatenate([words, _filled(words)], axis=1)
 
 
 def _enough(same, either):
@@ -132,11 +170,13 @@ def _enough(same, either):
 
 
 def may_be_similar(value, left, right):
-    """For pairs of rows of bin values, whether their sketches leave a similarity at the threshold possible."""
-    out = np.zeros(len(left), bool)
+    """For pairs of rows of _values, whether their sketches leave a similarity at the threshold possible."""
+    out, half = np.zeros(len(left), bool), value.shape[1] // 2
     for k in range(0, len(left), 1 << 15):
         a, b = value[left[k:k + (1 << 15)]], value[right[k:k + (1 << 15)]]
-        out[k:k + (1 << 15)] = _enough(((a == b) & (a > 0)).sum(axis=1), ((a | b) > 0).sum(axis=1))
+        either = a[:, half:] | b[:, half:]
+        same = either & ~_filled(a[:, :half] ^ b[:, :half])
+        out[k:k + (1 << 15)] = _enough(np.bitwise_count(same).sum(axis=1), np.bitwise_count(either).sum(axis=1))
     return out
 
 
@@ -198,25 +238,33 @@ def set_links(left, right):
 # ---- operator ----------------------------------------------------------------------------------------------------
 
 def _signed(texts, parts):
-    """Rows (p, blob): signatures and items of some distinct lines for each part p, and their sketches under negative p."""
+    """Rows (p, blob): entries of some distinct lines for each part p, and their keys and sketches under negative p.
+
+    An entry is 32 bits of a signature (p tells it from others), the line's short key of 32 bits, and the code of its size.
+    """
     def sign(batches):
-        held, size = [], 0
+        held, size, done = [], 0, set()
 
         def flush():
-            sig, item, key, sketch = (np.concatenate(c) for c in zip(*held))
-            part = (sig % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
+            sig, key, sketch, code = (np.concatenate(c, axis=c[0].ndim - 1 if c[0].dtype == np.uint64 else 0) for c in zip(*held))
+            part = (sig % np.uint64(parts)).ravel()
+            order = np.argsort(part.astype(np.uint16 if parts < 1 << 16 else np.int64), kind="stable")
             names, at = np.unique(part[order], return_index=True)
-            sig, item, at = sig[order], item[order], [*at.tolist(), len(sig)]
-            blobs = [sig[a:b].tobytes() + item[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
-            return record_batch(BLOBS, [*names.tolist(), -1 - int(key[0] % np.uint64(parts))], [*blobs, key.tobytes() + sketch.tobytes()])
+            at = [*at.tolist(), len(part)]
+            sig, line = (sig.ravel()[order] >> np.uint64(32)).astype(np.uint32), order % len(key)
+            short, code = (key >> SHORT).astype(np.uint32)[line], code[line]
+            blobs = [b"".join(x[a:b].tobytes() for x in (sig, short, code)) for a, b in zip(at[:-1], at[1:])]
+            return record_batch(BLOBS, [*names.astype(np.int64).tolist(), -1 - int(key[0] % np.uint64(parts))], [*blobs, key.tobytes() + sketch.tobytes()])
 
         for batch in batches:
             for part in slices(batch, size=SLICE):
                 data, _, _, start, end, key = lines_of(part.column(1))
-                if len(key):
-                    held.append(signatures_of(data, start, end, key))
-                    size += len(held[-1][0])
+                if len(done) > DONE:
+                    done.clear()
+                new = [i for i, k in enumerate(key.tolist()) if not (k in done or done.add(k))]        # once for each task, about
+                if new:
+                    held.append(signed_lines(data, start[new], end[new], key[new]))
+                    size += held[-1][0].size
                 if size >= FLUSH:
                     yield flush()
                     held, size = [], 0
@@ -226,38 +274,58 @@ def _signed(texts, parts):
     return texts.mapInArrow(sign, "p int, blob binary")
 
 
-def _stars(batches):
-    """Rows (gid, item) of the lines that share a signature with their smallest one, and (item, sketch), from rows sorted by p."""
-    def pairs(blobs):
-        sig, item = (np.concatenate([np.frombuffer(x, np.uint64, len(x) // 16, half * (len(x) // 2)) for x in blobs]) for half in (0, 1))
-        order = np.argsort(sig, kind="stable")
-        sig, item = sig[order], signed(item[order])
-        first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-        lead = np.repeat(np.minimum.reduceat(item, first), np.diff(np.append(first, len(sig))))
-        other = lead != item
-        lead, item = lead[other], item[other]
-        order = np.lexsort((item, lead))
-        lead, item = lead[order], item[order]
-        new = np.ones(len(lead), bool)
-        new[1:] = (lead[1:] != lead[:-1]) | (item[1:] != item[:-1])
-        return record_batch(STARS, lead[new], item[new], pa.nulls(int(new.sum()), pa.binary()))
+def _entries(blobs):
+    """(signature, short key, code of the size) of entries by signature and size, without signatures that occur once."""
+    fields = [[], [], []]
+    for x in blobs:
+        n = len(x) // 9
+        for k, kind in enumerate(("<u4", "<u4", "u1")):
+            fields[k].append(np.frombuffer(x, kind, n, 4 * k * n))
+    sig, short, code = map(np.concatenate, fields)
+    order = np.sort(sig.astype(np.uint64) << np.uint64(32) | np.arange(len(sig), dtype=np.uint64))
+    sig = (order >> np.uint64(32)).astype(np.int64)
+    alike = np.zeros(len(sig), bool)
+    alike[1:] = sig[1:] == sig[:-1]
+    alike[:-1] |= alike[1:]
+    sig, order = sig[alike], order[alike].astype(np.uint32)
+    short, code = short[order].astype(np.int64), code[order].astype(np.int64)
+    order = np.lexsort((code, sig))
+    return sig[order], short[order], code[order]
+
+
+def _candidates(sig, short, code):
+    """Rows (gid, short key): lines of one signature meet the one of the smallest key, cut where sizes leave no similarity possible."""
+    if not len(sig):
+        return record_batch(STARS, *(pa.nulls(0, f.type) for f in STARS))
+    first = np.flatnonzero(np.concatenate([[True], (sig[1:] != sig[:-1]) | (code[1:] > code[:-1] + NEAR)]))
+    lead = np.repeat(np.minimum.reduceat(short, first), np.diff(np.append(first, len(sig))))
+    lead, other = lead[lead != short], short[lead != short]
+    order = np.lexsort((other, lead))
+    lead, other = lead[order], other[order]
+    new = np.ones(len(lead), bool)
+    new[1:] = (lead[1:] != lead[:-1]) | (other[1:] != other[:-1])
+    n = int(new.sum())
+    return record_batch(STARS, lead[new], other[new], pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()))
 
+
+def _stars(batches):
+    """Rows (gid, short key) of candidate groups, in short keys, and (short key, null, item, sketch), from rows sorted by p."""
     held, name = [], None
     for batch in batches:
         for p, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if held and p != name:
-                yield pairs(held)
+                yield _candidates(*_entries(held))
                 held = []
             name = p
             if p >= 0:
                 held.append(blob)
             else:
                 n = len(blob) // (8 + BINS // 2)
-                sketch = blob[8 * n:]
-                yield record_batch(STARS, pa.nulls(n, pa.int64()), np.frombuffer(blob, np.int64, n),
+                key, sketch = np.frombuffer(blob, np.uint64, n), blob[8 * n:]
+                yield record_batch(STARS, signed(key >> SHORT), pa.nulls(n, pa.int64()), signed(key),
                                    [sketch[k:k + BINS // 2] for k in range(0, len(sketch), BINS // 2)])
     if held:
-        yield pairs(held)
+        yield _candidates(*_entries(held))
 
 
 def _sift(gid, item, sketch):
@@ -270,16 +338,16 @@ def _sift(gid, item, sketch):
     left, right = np.repeat(left, after), expand(left + 1, after)
     edges = [np.stack([left, right])[:, may_be_similar(value, left, right)]]
     for a, n in zip(first[size > FEW].tolist(), size[size > FEW].tolist()):
-        root = np.arange(n)                                              # in larger ones row by row, joined rows once
+        root = np.arange(n)                                              # in larger ones some rows at a time, joined rows once
         forest = Forest(n)
-        for i in range(n):
-            j = np.arange(i + 1, n)
-            j = j[root[j] != root[i]]
-            for k in j[may_be_similar(value[a:a + n], np.full(len(j), i), j)].tolist():
-                forest.join(i, k)
-            if i % 64 == 63:
+        for low in range(0, n, ROWS_AT_ONCE):
+            i, j = np.nonzero(root[low:low + ROWS_AT_ONCE, None] != root[None, low:])
+            i, j = (x[j > i] + low for x in (i, j))
+            alike = np.flatnonzero(may_be_similar(value[a:a + n], i, j))
+            for x, y in zip(i[alike].tolist(), j[alike].tolist()):
+                forest.join(x, y)
+            if len(alike):
                 root = forest.roots()
-        root = forest.roots()
         edges.append(np.stack([a + root, a + np.arange(n)])[:, root != np.arange(n)])
     left, right = np.concatenate(edges, axis=1)
     names, at = np.unique(np.concatenate([left, right]), return_inverse=True)
@@ -304,25 +372,36 @@ def _sifted(batches):
         if cut:
             sketch = table.column(2).slice(0, cut)
             flat = np.frombuffer(b"".join(sketch.to_pylist()), np.uint8).reshape(cut, BINS // 2)
-            yield _sift(gid[:cut], table.column(1).to_numpy()[:cut], flat)
+            gid, item = gid[:cut], table.column(1).to_numpy()[:cut]
+            new = np.ones(cut, bool)                                     # a line that several tasks signed comes several times
+            new[1:] = (gid[1:] != gid[:-1]) | (item[1:] != item[:-1])
+            yield _sift(gid[new], item[new], flat[new])
 
 
 def line_components(texts, seen):
     """Components (node, component) of similar distinct lines of `texts`; lines without others are left out. seen: their occurrences."""
     spark = texts.sparkSession
     parts = max(-(-seen.count() * BANDS // PART), 2 * spark.sparkContext.defaultParallelism)
-    made = _signed(texts, parts).repartition(parts, "p").sortWithinPartitions("p").mapInArrow(_stars, "gid long, item long, sketch binary")
+    made = _signed(texts, parts).repartition(parts, "p").sortWithinPartitions("p").mapInArrow(_stars, "gid long, short long, item long, sketch binary")
     made, made_path = stage(made, "signatures")
-    pairs, pairs_path = stage(made.where("gid IS NOT NULL").select("gid", "item").distinct(), "pairs")
-    large, _ = stage(pairs.groupBy("gid").agg(F.count("*").alias("n")).where(F.col("n") > SIFTED).select("gid"), "large")
-    small = pairs.join(broadcast_if_small(large), "gid", "left_anti")
-    small = small.union(small.select("gid").distinct().select("gid", F.col("gid").alias("item")))
-    sketches = made.where("gid IS NULL").select("item", "sketch").dropDuplicates(["item"])
-    small = small.join(sketches, "item").select("gid", "item", "sketch").repartition("gid").sortWithinPartitions("gid", "item")
-    sifted = small.mapInArrow(_sifted, "gid long, item long").union(pairs.join(broadcast_if_small(large), "gid", "left_semi"))
-    pairs, _ = stage(sifted.distinct(), "candidates")
+    pairs = made.where("short IS NOT NULL").select("gid", "short")
+    # pairs may repeat: those of groups that seem large are told apart first
+    sizes = pairs.groupBy("gid").agg(F.count("*").alias("n")).where(F.col("n") > SIFTED).select("gid")
+    large, _ = stage(pairs.join(broadcast_if_small(sizes), "gid", "left_semi").distinct().groupBy("gid").agg(
+        F.count("*").alias("n")).where(F.col("n") > SIFTED).select("gid"), "large")
+    # short keys stand for all lines that have them; these are told apart from here on
+    sketches = made.where("short IS NULL").select(F.col("gid").alias("short"), "item", "sketch")
+    groups = pairs.union(pairs.select("gid").distinct().select("gid", F.col("gid").alias("short")))
+    small = groups.join(broadcast_if_small(large), "gid", "left_anti").repartition("short").distinct()
+    small = small.join(sketches, "short").select("gid", "item", "sketch")
+    found = small.repartition("gid").sortWithinPartitions("gid", "item").mapInArrow(_sifted, "gid long, item long")
+    if not large.isEmpty():
+        whole = groups.join(broadcast_if_small(large), "gid", "left_semi").join(sketches, "short").select("gid", "item").distinct()
+        whole, _ = stage(whole, "whole")
+        lead = broadcast_if_small(whole.groupBy("gid").agg(F.min("item").alias("lead")))
+        found = found.union(whole.join(lead, "gid").where("item != lead").select(F.col("lead").alias("gid"), "item"))
+    pairs, _ = stage(found.distinct(), "candidates")
     drop(spark, made_path)
-    drop(spark, pairs_path)
     lines, _ = stage(_line_texts(texts, seen, pairs.select("gid").union(pairs.select("item")).distinct().toDF("item")), "candidate-lines")
     return link_groups(pairs, lines, sets_of, set_links)
 
@@ -378,6 +457,7 @@ def removed_lines(texts):
 
 def dedup_lines(documents, broadcast_lines=1_000_000):
     """`documents` with the removed lines taken out of `text`; columns __lines and __kept tell how many there were and stay."""
+    small_batches(documents.sparkSession)
     texts = documents.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     removed, _ = stage(removed_lines(texts), "removed")
     gone = removed.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.collect_list("line").alias("__gone"))

@@ -304,3 +304,34 @@ def test_a_line_of_very_many_documents(spark, monkeypatch):
     rows = [(k, f"{cases.text(rng, 15)}\n{shared}") for k in range(40)]
     got = {r.doc_id: (r.text, r["__lines"], r["__kept"]) for r in line_dedup.dedup_lines(cases.table(spark, rows)).collect()}
     assert got == {k: (t, 2, 2) if k == 0 else (t.split("\n")[0], 2, 1) for k, t in rows}
+
+
+def test_signed_entries_are_small_and_lose_no_pair():
+    """An entry takes 9 bytes, a line is signed once for a task, and lines of one signature meet unless their sizes are too far apart."""
+    rng = random.Random(29)
+    lines = [cases.text(rng, 30) for _ in range(300)]
+    column = pa.array(["\n".join(lines)] * 3)
+    data, _, _, start, end, key = line_dedup.lines_of(column)
+    sig, names, _, code = line_dedup.signed_lines(data, start, end, key)
+    assert len(names) == len(set(lines)) and sig.shape == (line_dedup.BANDS, len(names))
+    short = (names >> line_dedup.SHORT).astype(np.uint32)
+    part = np.repeat(np.uint32(7), 3).tobytes() + np.arange(3, dtype=np.uint32).tobytes() + np.array([10, 14, 19], np.uint8).tobytes()
+    got = line_dedup._candidates(*line_dedup._entries([part]))
+    assert list(zip(got.column(0).to_pylist(), got.column(1).to_pylist())) == [(0, 1)]
+    blob = b"".join(x.tobytes() for x in ((sig[0] >> np.uint64(32)).astype(np.uint32), short, code))
+    assert len(blob) == 9 * len(names)
+    near = line_dedup.size_codes(np.arange(1, 5000))
+    size = np.arange(1, 5000)
+    least = -(-size * 8 // 10)
+    assert (near - line_dedup.size_codes(least)).max() <= line_dedup.NEAR
+
+
+def test_chosen_rows_of_a_large_group_are_compared_at_once():
+    rng = np.random.default_rng(31)
+    sketch = rng.integers(0, 256, (90, line_dedup.BINS // 2)).astype(np.uint8)
+    sketch[1::2] = sketch[::2]
+    left, right = np.triu_indices(90, 1)
+    bins = np.concatenate([sketch & 15, sketch >> 4], axis=1)
+    same, either = ((bins[left] == bins[right]) & (bins[left] > 0)).sum(axis=1), ((bins[left] | bins[right]) > 0).sum(axis=1)
+    got = line_dedup.may_be_similar(line_dedup._values(sketch), left, right)
+    assert (got == line_dedup._enough(same, either)).all() and got.sum() >= 45
