@@ -3,10 +3,12 @@
 A line is a part of a text between line feeds, trimmed of ASCII white space, A-Z in lower case. Its set holds its shingles of
 Q characters (the whole line, if shorter); two lines are similar at a Jaccard similarity of SIMILAR or more. Every distinct
 line gets BANDS * ROWS minima of multiplied shingle hashes; ROWS minima make a band. A pair at the threshold shares no band
-with probability (1 - 0.8^6)^31 < 1e-4. A line and all that share a band of which it is the smallest line form a candidate
+with probability (1 - 0.8^6)^31 < 1e-4. Longer lines, of which unrelated ones are more alike, get more bands of more rows
+(SCHEMES), from the minima of hashed bins; lines not far below a scheme's least size are in both schemes, as they may be similar
+to lines in it. Schemes are signed in passes, so that disk holds the signatures of one. A line and all that share a band of which it is the smallest line form a candidate
 group, cut where the sizes of their sets differ too much. Sketches of BINS bins cut the groups first, where a similarity at the threshold would need 4.5 deviations more equal bins;
 then exact similarities are taken in blocks; links make components by distributed union-find. Of each component the first occurrence by (doc_id,
-line number) stays, all others go. ROWS should grow with the logarithm of the corpus, so that unrelated lines seldom meet.
+line number) stays, all others go. Rows should grow with the logarithm of the corpus, so that unrelated lines seldom meet.
 
 Blank lines take no part and stay. Rows with null id or null text are left as they are. Repeated rows of one id and text are
 alike: they keep the same lines. Different texts of one id are known apart by the texts' hash, which orders them where id and
@@ -14,10 +16,12 @@ line number are the same. A text of which nothing is left becomes empty; n_kept
 empty result; extra columns are carried along.
 """
 
+from functools import reduce
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -29,6 +33,8 @@ from placelens.llm.vectors import local_components
 Q = 4                  # one changed character leaves lines of 39 characters and more similar
 SIMILAR = (80, 100)
 BANDS, ROWS = 31, 6
+SCHEMES = [(160, 8, 4, 13), (512, 10, 6, 14)]     # least size of a set, rows of a band, bands of a permutation, permutations
+PASSES = [(0, 1), (2,)]                           # schemes that are signed together; 0 has BANDS and ROWS
 COLUMNS = 8192         # tokens of one block of the overlap product
 BINS = 64              # of a line's sketch
 PART = 1 << 20         # signatures that a task sorts at once, about
@@ -52,6 +58,9 @@ _LOW = np.uint32((1 << 26) - 1)
 _MIXED = mix(np.arange(256, dtype=np.uint64))
 _Q_FACTORS, _ROW_FACTORS = randoms(Q, 31) | np.uint64(1), randoms(ROWS, 41) | np.uint64(1)
 _BAND_SALTS = mix(np.arange(BANDS))
+_BIN_FACTORS = [(randoms(c, 78 + k) >> np.uint64(32)).astype(np.uint32) | np.uint32(1) for k, (_, _, _, c) in enumerate(SCHEMES)]
+_BIN_ROWS = [randoms(r, 90 + k) | np.uint64(1) for k, (_, r, _, _) in enumerate(SCHEMES)]
+_BIN_SALTS = [randoms(b * c, 100 + k) for k, (_, _, b, c) in enumerate(SCHEMES)]
 _FACTORS = (randoms(BANDS * ROWS, 77) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
@@ -111,9 +120,16 @@ def signed_lines(data, start, end, key):
     once.sort()
     start, end, key = start[once], end[once], key[once]
     x, first, count = distinct_shingles(data, start, end)
-    sig = np.empty((BANDS, len(key)), np.uint64)
+    return _minima(x, first, count), key, sketches_of(x, count), size_codes(count)
+
+
+def _minima(x, first, count):
+    """Signatures (a row for each band) of sets given by their hashes one after another."""
+    sig = np.empty((BANDS, len(count)), np.uint64)
+    if not len(count):
+        return sig
     out = np.empty(min(len(x), CHUNK) + int(count.max()), np.uint32)
-    cuts = distinct(np.append(np.searchsorted(first, np.arange(0, len(x), CHUNK)), len(key)))    # lines that are worked on at once
+    cuts = distinct(np.append(np.searchsorted(first, np.arange(0, len(x), CHUNK)), len(count)))    # lines that are worked on at once
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
         part, begin = x[first[a]:first[b - 1] + count[b - 1]], first[a:b] - first[a]
         product = out[:len(part)]
@@ -123,7 +139,48 @@ def signed_lines(data, start, end, key):
                 np.multiply(part, _FACTORS[band * ROWS + j], out=product)
                 total += np.minimum.reduceat(product, begin).astype(np.uint64) * _ROW_FACTORS[j]
             sig[band, a:b] = mix(total + _BAND_SALTS[band])
-    return sig, key, sketches_of(x, count), size_codes(count)
+    return sig
+
+
+def _bin_minima(x, count, scheme):
+    """Like _minima, by a scheme of SCHEMES: every permutation deals the hashes to bins, whose least hashes are the rows of its bands."""
+    _, rows, bands, permutations = SCHEMES[scheme - 1]
+    bins, n = rows * bands, len(count)
+    sig = np.empty((permutations * bands, n), np.uint64)
+    owner = np.repeat(np.arange(n) * bins, count)
+    for k, factor in enumerate(_BIN_FACTORS[scheme - 1]):
+        value = x * factor
+        least = np.full(n * bins, 0xFFFFFFFF, np.uint32)
+        np.minimum.at(least, owner + (value.astype(np.uint64) * np.uint64(bins) >> np.uint64(32)).astype(np.int64), value)
+        total = (least.reshape(n, bands, rows).astype(np.uint64) * _BIN_ROWS[scheme - 1]).sum(axis=2)
+        sig[k * bands:(k + 1) * bands] = mix(total + _BIN_SALTS[scheme - 1][k * bands:(k + 1) * bands]).T
+    return sig
+
+
+def _least_size(scheme):
+    """Least size of a set that can be similar to one that has no lower scheme."""
+    num, den = SIMILAR
+    return -(-SCHEMES[scheme - 1][0] * num // den) if scheme else 0
+
+
+def scheme_signatures(data, start, end, key, schemes):
+    """(signatures, number of the line of each, keys, codes of sizes, which lines a later pass does not sign, their sketches) of
+    some distinct lines, without those that none of `schemes` signs."""
+    some = np.flatnonzero(end - start >= _least_size(schemes[0]))             # a set is no larger than its line
+    if not len(some):
+        return None
+    x, first, count = distinct_shingles(data, start[some], end[some])
+    low = np.array([0, *(t for t, *_ in SCHEMES), 1 << 62])
+    sig, line = [], []
+    for k in schemes:
+        own = np.flatnonzero((count >= _least_size(k)) & (count < low[k + 1]))
+        part, n = x[expand(first[own], count[own])], count[own]
+        found = _bin_minima(part, n, k) if k else _minima(part, np.cumsum(n) - n, n)
+        sig.append(found.ravel())
+        line.append(np.tile(own, len(found)))
+    here = np.flatnonzero((count >= low[schemes[0]]) & (count < low[schemes[-1] + 1]))
+    sketch = sketches_of(x[expand(first[here], count[here])], count[here]) if len(here) else np.zeros((0, BINS // 2), np.uint8)
+    return np.concatenate(sig), np.concatenate(line), key[some], size_codes(count), here, sketch
 
 
 def size_codes(count):
@@ -237,7 +294,7 @@ def set_links(left, right):
 
 # ---- operator ----------------------------------------------------------------------------------------------------
 
-def _signed(texts, parts):
+def _signed(texts, parts, schemes):
     """Rows (p, blob): entries of some distinct lines for each part p, and their keys and sketches under negative p.
 
     An entry is 32 bits of a signature (p tells it from others), the line's short key of 32 bits, and the code of its size.
@@ -246,15 +303,15 @@ def _signed(texts, parts):
         held, size, done = [], 0, set()
 
         def flush():
-            sig, key, sketch, code = (np.concatenate(c, axis=c[0].ndim - 1 if c[0].dtype == np.uint64 else 0) for c in zip(*held))
-            part = (sig % np.uint64(parts)).ravel()
+            sig, short, code, key, sketch = map(np.concatenate, zip(*held))
+            part = sig % np.uint64(parts)
             order = np.argsort(part.astype(np.uint16 if parts < 1 << 16 else np.int64), kind="stable")
             names, at = np.unique(part[order], return_index=True)
             at = [*at.tolist(), len(part)]
-            sig, line = (sig.ravel()[order] >> np.uint64(32)).astype(np.uint32), order % len(key)
-            short, code = (key >> SHORT).astype(np.uint32)[line], code[line]
+            sig, short, code = (sig[order] >> np.uint64(32)).astype(np.uint32), short[order], code[order]
             blobs = [b"".join(x[a:b].tobytes() for x in (sig, short, code)) for a, b in zip(at[:-1], at[1:])]
-            return record_batch(BLOBS, [*names.astype(np.int64).tolist(), -1 - int(key[0] % np.uint64(parts))], [*blobs, key.tobytes() + sketch.tobytes()])
+            own = [-1 - int(key[0] % np.uint64(parts))] if len(key) else []
+            return record_batch(BLOBS, [*names.astype(np.int64).tolist(), *own], [*blobs, *[key.tobytes() + sketch.tobytes()] * len(own)])
 
         for batch in batches:
             for part in slices(batch, size=SLICE):
@@ -262,9 +319,11 @@ def _signed(texts, parts):
                 if len(done) > DONE:
                     done.clear()
                 new = [i for i, k in enumerate(key.tolist()) if not (k in done or done.add(k))]        # once for each task, about
-                if new:
-                    held.append(signed_lines(data, start[new], end[new], key[new]))
-                    size += held[-1][0].size
+                found = scheme_signatures(data, start[new], end[new], key[new], schemes) if new else None
+                if found:
+                    sig, line, key, code, here, sketch = found
+                    held.append((sig, (key >> SHORT).astype(np.uint32)[line], code[line], key[here], sketch))
+                    size += len(sig)
                 if size >= FLUSH:
                     yield flush()
                     held, size = [], 0
@@ -381,9 +440,10 @@ def _sifted(batches):
 def line_components(texts, seen):
     """Components (node, component) of similar distinct lines of `texts`; lines without others are left out. seen: their occurrences."""
     spark = texts.sparkSession
-    parts = max(-(-seen.count() * BANDS // PART), 2 * spark.sparkContext.defaultParallelism)
-    made = _signed(texts, parts).repartition(parts, "p").sortWithinPartitions("p").mapInArrow(_stars, "gid long, short long, item long, sketch binary")
-    made, made_path = stage(made, "signatures")
+    parts = max(-(-seen.count() * SCHEMES[0][2] * SCHEMES[0][3] // PART), 2 * spark.sparkContext.defaultParallelism)
+    passes = [stage(_signed(texts, parts, schemes).repartition(parts, "p").sortWithinPartitions("p").mapInArrow(
+        _stars, "gid long, short long, item long, sketch binary"), "signatures") for schemes in PASSES]
+    made = reduce(DataFrame.union, [t for t, _ in passes])
     pairs = made.where("short IS NOT NULL").select("gid", "short")
     # pairs may repeat: those of groups that seem large are told apart first
     sizes = pairs.groupBy("gid").agg(F.count("*").alias("n")).where(F.col("n") > SIFTED).select("gid")
@@ -401,7 +461,8 @@ def line_components(texts, seen):
         lead = broadcast_if_small(whole.groupBy("gid").agg(F.min("item").alias("lead")))
         found = found.union(whole.join(lead, "gid").where("item != lead").select(F.col("lead").alias("gid"), "item"))
     pairs, _ = stage(found.distinct(), "candidates")
-    drop(spark, made_path)
+    for _, path in passes:
+        drop(spark, path)
     lines, _ = stage(_line_texts(texts, seen, pairs.select("gid").union(pairs.select("item")).distinct().toDF("item")), "candidate-lines")
     return link_groups(pairs, lines, sets_of, set_links)
 

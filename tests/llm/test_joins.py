@@ -335,3 +335,37 @@ def test_chosen_rows_of_a_large_group_are_compared_at_once():
     same, either = ((bins[left] == bins[right]) & (bins[left] > 0)).sum(axis=1), ((bins[left] | bins[right]) > 0).sum(axis=1)
     got = line_dedup.may_be_similar(line_dedup._values(sketch), left, right)
     assert (got == line_dedup._enough(same, either)).all() and got.sum() >= 45
+
+
+def _planted(rng, size, apart):
+    """Two ascending sets of `size` hashes, of which `apart` are in one only."""
+    x = rng.choice(1 << 32, size + apart, replace=False).astype(np.uint32)
+    return np.sort(x[:size]), np.sort(x[apart:])
+
+
+def test_long_lines_are_signed_so_that_few_unrelated_ones_meet():
+    """Sets of 200 and 700 shingles: at 0.3 (unrelated lines of a language) they seldom share a signature, at 0.8 they always do."""
+    rng = np.random.default_rng(37)
+    for scheme, size, most in ((1, 200, 4), (2, 700, 2)):
+        for alike in (False, True):
+            sets = [x for _ in range(300) for x in _planted(rng, size, size // 9 if alike else size * 7 // 13)]
+            sig = line_dedup._bin_minima(np.concatenate(sets), np.array([len(x) for x in sets]), scheme)
+            shared = (sig[:, ::2] == sig[:, 1::2]).any(axis=0).sum()
+            assert shared == 300 if alike else shared <= most          # before: 0.024 of such pairs, 7 of 300, at any size
+
+
+def test_lines_on_both_sides_of_a_size_share_a_scheme():
+    rng = random.Random(41)
+    for least, *_ in line_dedup.SCHEMES:
+        for _ in range(40):
+            line = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(least + 2 + rng.randrange(least // 12)))
+            other = line[:least - 2 - rng.randrange(least // 20)]
+            data, _, _, start, end, key = line_dedup.lines_of(pa.array([line + "\n" + other]))
+            shared, sketches = 0, []
+            for schemes in line_dedup.PASSES:
+                found = line_dedup.scheme_signatures(data, start, end, key, schemes)
+                if found:
+                    sig, at, keys, code, here, sketch = found
+                    shared += len(set(sig[at == 0].tolist()) & set(sig[at == 1].tolist()))
+                    sketches += keys[here].tolist()
+            assert shared and sorted(sketches) == sorted(key.tolist())     # each line is signed, its sketch sent once
