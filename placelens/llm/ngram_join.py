@@ -8,8 +8,9 @@ exact, in these steps:
    overlapping ranges; for a range whose linked sets differ in at most d shingles, the shingles are dealt by hash to d + m
    parts, and each part's shingles give one signature. At least m parts of two linked sets agree; sets with fewer than m
    empty parts leave those out. A passage that many documents share fills a part alone only where it is most of the text.
-3. A node and all that share a signature of which it is the smallest node form a candidate group; within these, blocks of
-   bounded size build signature trees.
+3. A node and all that share a signature of which it is the smallest node form a candidate group. Texts that share a passage
+   meet in large groups; so bitmaps of the sets, which bound every overlap from above, cut the groups before any text moves.
+   Within what is left, blocks of bounded size build signature trees.
    A tree node holds the OR of its sets' token bitmaps, its range of sizes, and the largest number of shingles of a set that
    share a bit. Two trees (or one with itself) are traversed together; a pair of nodes is left when the sizes cannot reach the
    threshold, when the common bits bound the overlap below what is needed, or when all its sets are in one component already.
@@ -29,14 +30,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from placelens.llm.common import (Forest, broadcast_if_small, components, mix, record_batch, shingle_set, signed, slices,
-                                  small_batches, stage, table, text_bytes, words)
-from placelens.llm.groups import candidate_pairs, link_groups
+from placelens.llm.common import (PAIR, Forest, broadcast_if_small, components, drop, mix, record_batch, shingle_set, signed,
+                                  slices, small_batches, stage, table, text_bytes, words)
+from placelens.llm.groups import candidate_pairs, link_groups, runs
 
 SIZES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64())])
+BITMAPS = pa.schema([("item", pa.int64()), ("size", pa.int64()), ("bits", pa.binary())])
 SIGNATURES = pa.schema([("sig", pa.int64()), ("item", pa.int64())])
 GROWTH = 1.3        # ratio of the bounds of size classes
 LEAF = 4            # sets of a tree's leaf
+SIFTED = 1 << 15    # larger candidate groups are not sifted by bitmaps
+AT_ONCE, BITS = 256, 1 << 21          # bitmaps of one block of the product that compares them, and their bits
 
 
 def sets_of(column, n):
@@ -105,6 +109,59 @@ def signatures_of(hashes, num, den):
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+# ---- bitmaps -----------------------------------------------------------------------------------------------------
+
+def bitmap(hashes):
+    """Bytes with a bit for each value of the hashes' last bits; four bits and more for a hash."""
+    width = 64
+    while width < 4 * len(hashes):
+        width *= 2
+    one = np.zeros(width, bool)
+    one[(hashes & np.uint64(width - 1)).astype(np.int64)] = True
+    return np.packbits(one).tobytes()
+
+
+def sift(item, size, bits, num, den):
+    """Of the sets of one group: pairs (smallest item, other) of those that a chain of possible links connects.
+
+    A link is possible unless the sizes, or the common bits and the hashes that share one, leave too small an overlap: an exact bound.
+    """
+    names, at = np.unique(item, return_inverse=True)
+    forest, root = Forest(len(names)), np.arange(len(names))
+    length = np.array([len(b) for b in bits])
+    rows = {n: (own := np.flatnonzero(length == n))[np.argsort(size[own], kind="stable")] for n in np.unique(length).tolist()}
+
+    def matrix(rows, fold):
+        flat = np.frombuffer(b"".join(bits[i] for i in rows.tolist()), np.uint8).reshape(len(rows), fold, -1)
+        one = np.unpackbits(np.bitwise_or.reduce(flat, axis=1), axis=1).astype(np.float32)
+        return one, size[rows] - one.sum(axis=1)
+
+    for n, left in rows.items():
+        step = max(1, min(AT_ONCE, BITS // (8 * n)))
+        for fold in (1, 2):                              # sets of one link have at most twice as wide bitmaps
+            right = rows.get(n * fold)
+            for i in range(0, len(left) if right is not None else 0, step):
+                own = left[i:i + step]
+                high = int(np.searchsorted(size[right] * num, size[own[-1]] * den, "right"))
+                (a, spare), known = matrix(own, 1), root[at[own]]
+                for j in range(i if fold == 1 else 0, high, step):
+                    other = right[j:min(j + step, high)]
+                    if (known == known[0]).all() and (root[at[other]] == known[0]).all():
+                        continue
+                    b, more = matrix(other, fold)
+                    both = np.minimum(a @ b.T + np.minimum.outer(spare, more), np.minimum.outer(size[own], size[other]))
+                    x, y = np.nonzero(both * (den + num) >= num * np.add.outer(size[own], size[other]))
+                    pairs = np.unique(known[x] * len(names) + root[at[other]][y])
+                    pairs = pairs[pairs // len(names) != pairs % len(names)]
+                    for u, v in zip((pairs // len(names)).tolist(), (pairs % len(names)).tolist()):
+                        forest.join(u, v)
+                    if len(pairs):
+                        root = forest.roots()
+                        known = root[at[own]]
+    other = np.flatnonzero(root != np.arange(len(names)))
+    return names[root[other]], names[other]
+
+
 # ---- signature tree ----------------------------------------------------------------------------------------------
 
 class Node:
@@ -221,7 +278,8 @@ def tree_links(left, right, num, den):
 
 def ngram_join(documents, n=5, num=80, den=100):
     """doc_id, n_shingles, component_id of every row; links at den * |intersection| >= num * |union|."""
-    small_batches(documents.sparkSession)
+    spark = documents.sparkSession
+    small_batches(spark)
     texts = documents.select(F.col("doc_id").cast("long"), "text")
 
     def measure(batches):
@@ -249,11 +307,35 @@ def ngram_join(documents, n=5, num=80, den=100):
 
     single = texts.where("doc_id IS NOT NULL AND text IS NOT NULL")
     single = single.join(broadcast_if_small(copies.select("doc_id")), "doc_id", "left_anti")
-    pairs, _ = stage(candidate_pairs(single.mapInArrow(sign, "sig long, item long")), "candidates")
+    def texts_of(pairs):
+        wanted = pairs.select("gid").union(pairs.select("item")).distinct()
+        wanted = broadcast_if_small(wanted.toDF("doc_id"))
+        return single.join(wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("item"), F.col("text").alias("payload"))
 
-    wanted = pairs.select("gid").union(pairs.select("item")).distinct()
-    wanted = broadcast_if_small(wanted.toDF("doc_id"))
-    items = single.join(wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("item"), F.col("text").alias("payload"))
+    def measured(batches):
+        for batch in batches:
+            for part in slices(batch, "payload"):
+                sets = sets_of(part.column(1), n)
+                yield record_batch(BITMAPS, part.column(0), [len(s) for s in sets], [bitmap(s) for s in sets])
+
+    def sifted(batches):
+        for run in runs(batches, 1):
+            found = sift(run.column("item").to_numpy(), run.column("size").to_numpy(), run.column("bits").to_pylist(), num, den)
+            if len(found[0]):
+                yield record_batch(PAIR, *found)
+
+    pairs, path = stage(candidate_pairs(single.mapInArrow(sign, "sig long, item long")), "candidates")
+    large = pairs.groupBy("gid").agg(F.count("*").alias("n")).where(F.col("n") > SIFTED).select("gid")
+    large, _ = stage(large, "large")
+    small = pairs.join(broadcast_if_small(large), "gid", "left_anti")
+    small = small.union(small.select("gid", "gid").distinct()).join(
+        texts_of(small).mapInArrow(measured, "item long, size long, bits binary"), "item").select("gid", "item", "size", "bits")
+    kept = small.repartition("gid").sortWithinPartitions("gid").mapInArrow(sifted, "gid long, item long")
+    if not large.isEmpty():
+        kept = kept.union(pairs.join(broadcast_if_small(large), "gid", "left_semi"))
+    pairs, _ = stage(kept.distinct(), "sifted")
+    drop(spark, path)
+    items = texts_of(pairs)
     found = link_groups(pairs, items, lambda texts: sets_of(texts, n), lambda left, right: tree_links(left, right, num, den))
     # a copy is linked with the first of its kind; ids that hold several texts connect what each of them links with
     links = found.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))

@@ -1,5 +1,6 @@
 """N-gram join, line dedup and vector dedup against brute force over all pairs."""
 
+import itertools
 import math
 import random
 import re
@@ -369,3 +370,23 @@ def test_lines_on_both_sides_of_a_size_share_a_scheme():
                     shared += len(set(sig[at == 0].tolist()) & set(sig[at == 1].tolist()))
                     sketches += keys[here].tolist()
             assert shared and sorted(sketches) == sorted(key.tolist())     # each line is signed, its sketch sent once
+
+
+def test_bitmaps_cut_groups_and_lose_no_link():
+    """Texts that share a passage are one candidate group; what is connected by links stays so, the others are apart before texts move."""
+    rng = np.random.default_rng(43)
+    passage = rng.integers(0, 1 << 63, 60).astype(np.uint64)
+    sets = [np.unique(np.concatenate([passage, rng.integers(0, 1 << 63, int(k)).astype(np.uint64)])) for k in rng.integers(60, 140, 120)]
+    sets += [np.unique(np.concatenate([s[k % 8:], rng.integers(0, 1 << 63, k % 7).astype(np.uint64)])) for k, s in enumerate(sets[:60])]
+    item = rng.permutation(len(sets)).astype(np.int64)
+    for num in (80, 85):
+        found = ngram_join.sift(item, np.array([len(s) for s in sets]), [ngram_join.bitmap(s) for s in sets], num, 100)
+        forest = ngram_join.Forest(len(sets))
+        for a, b in zip(*(x.tolist() for x in found)):
+            forest.join(a, b)
+        root, links = forest.roots(), 0
+        for i, j in itertools.combinations(range(len(sets)), 2):
+            if ngram_join.linked(sets[i], sets[j], num, 100):
+                links += 1
+                assert root[item[i]] == root[item[j]]
+        assert links >= 50 and len(found[0]) <= 60 and (found[0] < found[1]).all()
