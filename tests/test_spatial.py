@@ -328,3 +328,23 @@ def test_k_in_range_equals_brute_force(spark, method, keep, block):
     found = tf.k_in_range(spark.createDataFrame(a), spark.createDataFrame(b), 500, 7, method, keep, spot_block=block, article_block=block)
     got = spark.createDataFrame(a).join(found, ["lat", "long"]).collect()
     assert {(r.id, r.article_id) for r in got} == want and len(got) == len(want)
+
+
+def test_the_k_nearest_are_found_among_few_candidates():
+    """Tiles of spots meet few of the points in range, also where many points lie at one place; before: all pairs."""
+    a, b = points(4_000, (40.68, 40.72), (-74.02, -73.98), 4), points(6_000, (40.68, 40.72), (-74.02, -73.98), 5, "o_").rename(columns={"id": "article_id"})
+    b.loc[:1_999, ["o_lat", "o_long"]] = [40.70, -74.0]
+    a.loc[0, "lat"] = np.nan
+    b.loc[2_000, "o_long"] = np.nan
+    for method, radius in (("haversine", 2_000), ("haversine", 40), ("geodesic", 300)):
+        met, got = 0, {}
+        for rows, some in tf._near_tiles(a, b, radius, 7, method, "article_id"):
+            met += len(rows) * len(some)
+            d = grid.block_distances(a.iloc[rows], b.iloc[some], radius, method)
+            for i, j in zip(*grid.first_k(np.where(d < radius, d, np.inf), b.article_id.to_numpy()[some], 7)):
+                got.setdefault(int(rows[i]), []).append(int(some[j]))
+        assert met < 0.04 * len(a) * len(b)
+        for i in range(1, len(a), 40):
+            d = grid.block_distances(a.iloc[[i]], b, radius, method)
+            assert got.get(i, []) == grid.first_k(np.where(d < radius, d, np.inf), b.article_id.to_numpy(), 7)[1].tolist()
+        assert 0 not in got
