@@ -348,3 +348,22 @@ def test_the_k_nearest_are_found_among_few_candidates():
             d = grid.block_distances(a.iloc[[i]], b, radius, method)
             assert got.get(i, []) == grid.first_k(np.where(d < radius, d, np.inf), b.article_id.to_numpy(), 7)[1].tolist()
         assert 0 not in got
+
+
+def test_word_summaries_copy_articles_to_few_pieces_of_venues(spark, monkeypatch):
+    """Summaries are those of the long form, and venues of a cell meet its articles in one task, tile by tile."""
+    rng = np.random.default_rng(13)
+    v = [(i, 40.70 + i % 20 * 1e-4, -74.0) for i in range(40)]
+    a = [(i, 40.70 + i * 1e-4, -74.0) for i in range(30)]
+    w = [(i, f"w{x}", float(rng.uniform(.1, 2))) for i in range(30) for x in rng.choice(20, 5, replace=False)]
+    v, a, w = spark.createDataFrame(v, "venue_id int, lat double, long double"), spark.createDataFrame(a, "article_id int, lat double, long double"), \
+        spark.createDataFrame(w, "article_id int, word string, tfidf double")
+    long = words.venue_words_long(*words.venue_words(v, a, w, 1_000, "linear", mean=False))
+    want = {r[0]: (r[1], pytest.approx(r[2]), pytest.approx(r[3])) for r in long.groupBy("venue_id").agg(F.count("*"), F.sum("value"), F.max("value")).collect()}
+    made, plain = [], words.blocks
+    monkeypatch.setattr(words, "blocks", lambda *args, **names: made.append(plain(*args, **names)) or made[-1])
+    found, _ = words.venue_words(v, a, w, 1_000, "linear", mean=False, spot_block=5, summary=True)
+    got = found.groupBy("venue_id").agg(F.sum("words"), F.sum("total"), F.max("largest")).collect()
+    assert {r[0]: tuple(r[1:]) for r in got} == want and len(want) == 40
+    spots, points_, _, _ = made[-1]
+    assert spots.select("_cell", "_sp").distinct().count() == spots.select("_cell").distinct().count()     # before: a piece for 5 venues
